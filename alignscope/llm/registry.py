@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, secrets
 
-QUERIES = {"op6_exact_dedup": exact_dedup.query}
-SQL = {"op6_exact_dedup": exact_dedup.SQL}
+QUERIES = {"op6_exact_dedup": exact_dedup.query, "op2_secrets": secrets.query}
+SQL = {"op6_exact_dedup": exact_dedup.SQL, "op2_secrets": secrets.SQL}
