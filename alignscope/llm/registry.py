@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets
+from . import exact_dedup, secrets, url_filter
 
-QUERIES = {"op6_exact_dedup": exact_dedup.query, "op2_secrets": secrets.query}
-SQL = {"op6_exact_dedup": exact_dedup.SQL, "op2_secrets": secrets.SQL}
+QUERIES = {
+    "op2_secrets": secrets.query,
+    "op3_url_filter": url_filter.query,
+    "op6_exact_dedup": exact_dedup.query,
+}
+SQL = {
+    "op2_secrets": secrets.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
+}
