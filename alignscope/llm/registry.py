@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, url_filter
+from . import decontaminate, exact_dedup, secrets, url_filter
 
 QUERIES = {
     "op2_secrets": secrets.query,
     "op3_url_filter": url_filter.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_decontaminate": decontaminate.query,
 }
 SQL = {
     "op2_secrets": secrets.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op8_decontaminate": decontaminate.SQL,
 }
