@@ -9,6 +9,7 @@ record with a derived identifier, an ISO timestamp, a type and a payload digest.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -136,7 +137,7 @@ def parse_warc(data: bytes):
 
 
 def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int | None = None) -> DataFrame:
-    """(name, arc): one single-record ARC file per page; even ids are version 1 and odd ones version 2 unless given.
+    """(name, arc): one gzipped single-record ARC file per page; even ids are version 1 and odd ones version 2 unless given.
 
     The HTTP header in the body names the page and the payload's length. Null html is empty, a null url is `-`.
     """
@@ -150,7 +151,7 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 v = version or (2 if (page or 0) % 2 else 1)
                 name, date = f"page-{page}.arc", f"{20000101000000 + (page or 0) % 28 * 1000000}"
                 names.append(name)
-                files.append(version_block(v, name, date) + arc_record(v, url or "", date, body, name=name))
+                files.append(gzip.compress(version_block(v, name, date) + arc_record(v, url or "", date, body, name=name), 1, mtime=0))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(files, pa.binary())], ["name", "arc"])
 
     return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, "name string, arc binary")
@@ -164,7 +165,7 @@ def _meta(batches):
     for batch in batches:
         cols: list[list] = [[] for _ in range(6)]
         for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for row, body in parse_arc(data):
+            for row, body in parse_arc(gzip.decompress(data)):
                 http, payload = split_http(body)
                 page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
                 for col, v in zip(cols, (name, row["URL"], iso_date(row["Archive-date"]), int(page[1]) if page else None, hashlib.sha256(payload).hexdigest(), len(payload)), strict=True):
@@ -174,7 +175,7 @@ def _meta(batches):
 
 
 def convert(arcs: DataFrame, path: str, min_bytes: int = 100, records_per_file: int = 2000) -> None:
-    """Writes the WARC files of single-record ARC files (name, arc) below path, through Spark's own file system.
+    """Writes gzipped WARC files from single-record ARC files (name, arc) below path, through Spark's own file system.
 
     Of records with equal payloads of at least min_bytes the one with the smallest page id is a response. The choice is
     made from digests alone (a count with map-side combining), and joined back with hot digests salted.
@@ -189,7 +190,7 @@ def convert(arcs: DataFrame, path: str, min_bytes: int = 100, records_per_file:
     )
     again = lookup(meta.select("name", "page_id", "payload_digest"), first, "payload_digest", "name").where("first is not null and page_id <> first.page_id")
     refers = again.select("name", F.col("first.url").alias("r_url"), F.col("first.date").alias("r_date"), F.col("first.name").alias("r_name"))
-    arcs.join(refers, "name", "left").select("name", "arc", "r_url", "r_date", "r_name").mapInArrow(_records, "value string").write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\r\n").text(path)
+    arcs.join(refers, "name", "left").select("name", "arc", "r_url", "r_date", "r_name").mapInArrow(_records, "value string").write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _records(batches):
@@ -197,7 +198,7 @@ def _records(batches):
     for batch in batches:
         out = []
         for name, data, url, date, other in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            for row, body in parse_arc(data):
+            for row, body in parse_arc(gzip.decompress(data)):
                 refers = None if other is None else (record_id(url, re.sub(r"\D", "", date), other), url, date)
                 out.append(warc_record(row, body, name, refers)[:-2].decode("utf-8", "surrogatepass"))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
@@ -210,7 +211,7 @@ def _read(batches):
     for batch in batches:
         for data in batch.column(0):
             cols: list[list] = [[] for _ in range(7)]
-            for _, head, block in parse_warc(data.as_py()):
+            for _, head, block in parse_warc(gzip.decompress(data.as_py())):
                 http, payload = split_http(block)
                 page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
                 revisit = head["WARC-Type"] == "revisit"
