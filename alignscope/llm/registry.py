@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, secrets, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, secrets, url_filter, warc
 
 QUERIES = {
     "op2_secrets": secrets.query,
     "op3_url_filter": url_filter.query,
     "op5_warc": warc.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_chat_format": chat_format.query,
     "op8_decontaminate": decontaminate.query,
 }
 SQL = {
     "op2_secrets": secrets.SQL,
     "op5_warc": warc.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op7_chat_format": chat_format.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
