@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, secrets, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, secrets, url_filter, warc
 
 QUERIES = {
     "op2_secrets": secrets.query,
     "op3_url_filter": url_filter.query,
+    "op4_language_id": language_id.query,
     "op5_warc": warc.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_chat_format": chat_format.query,
