@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, secrets, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, secrets, sentencepiece_trie, url_filter, warc
 
 QUERIES = {
+    "op10_sentencepiece": sentencepiece_trie.query,
     "op2_secrets": secrets.query,
     "op3_url_filter": url_filter.query,
     "op4_language_id": language_id.query,
