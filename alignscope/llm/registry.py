@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, secrets, sentencepiece_trie, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, near_dup, secrets, sentencepiece_trie, url_filter, warc
 
 QUERIES = {
     "op10_sentencepiece": sentencepiece_trie.query,
+    "op1_near_dup": near_dup.query,
     "op2_secrets": secrets.query,
     "op3_url_filter": url_filter.query,
     "op4_language_id": language_id.query,
