@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, near_dup, secrets, sentencepiece_trie, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, near_dup, secrets, sentencepiece_trie, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op10_sentencepiece": sentencepiece_trie.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_chat_format": chat_format.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_suffix_dedup": suffix_dedup.query,
 }
 SQL = {
     "op2_secrets": secrets.SQL,
