@@ -188,7 +188,14 @@ def encode_and_decode(docs: DataFrame, content: bytes) -> DataFrame:
     return df.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("text_sha256"), (F.col("decoded") == original).alias("round_trip"))
 
 
-def query(spark: SparkSession, sf_dir: str, model_file: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
-    with open(model_file, "rb") as f:
-        content = f.read()
-    return encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), content)
+#: The default model file; every operator takes the bytes of any other.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def model_content(path: str = MODEL_FILE) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def query(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
+    return encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_content(model_file))

@@ -1,25 +1,73 @@
-"""A corpus pipeline: language ID, exact dedup, near-duplicate join, decontamination, SentencePiece."""
+"""A corpus pipeline over `documents`: each stage works on all that the one before kept.
+
+Language ID drops documents in which no language can be named; exact dedup and the near-duplicate join keep one
+document of each group; decontamination drops documents with benchmark passages; the rest is encoded to piece ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from alignscope.llm.common import stored
+from alignscope.llm.decontaminate import decontaminate
 from alignscope.llm.exact_dedup import exact_dedup
+from alignscope.llm.language_id import learn_and_predict
+from alignscope.llm.near_dup import jaccard_join
+from alignscope.llm.sentencepiece_trie import MODEL_FILE, decode, encode, model_content
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose largest language has a smaller share is rejected.
+LEAST_SHARE = 0.3
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def name_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a letter and a language of at least LEAST_SHARE; learns from their labels."""
+    return _keep(docs, learn_and_predict(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the row with the largest doc_id of equal texts."""
+    return _keep(docs, exact_dedup(docs).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of each class of the near-duplicate join."""
+    return _keep(docs, jaccard_join(docs).where("doc_id = class_id"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents without a window of a benchmark item."""
+    return _keep(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_ids, round_trip): the piece ids, and whether they decode to the text."""
+    content = model_content(MODEL_FILE)
+    coded = decode(encode(docs, content), content)
+    original = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == original).alias("round_trip"))
 
 
-STAGES = [("exact_dedup", drop_copies)]
+STAGES = [
+    ("language_id", name_language),
+    ("exact_dedup", drop_copies),
+    ("near_dup", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("sentencepiece", encode_pieces),
+]
+#: Language ID and the encoding have no SQL; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{name}")
     return docs
