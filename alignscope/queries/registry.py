@@ -1,4 +1,4 @@
 """All queries by name."""
 
-from . import matching, profile  # noqa: F401
+from . import matching, profile, reporting  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
