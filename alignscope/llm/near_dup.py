@@ -264,7 +264,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")).select("root", "blocks")
     members = lookup(members, sizes, "root", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = stored(members.select("root", "node", "copies", "block", "blocks"), "members")
-    sets = docs.join(members, F.col("doc_id") == F.col("node")).select("root", "node", "copies", "block", "blocks", "text").mapInArrow(_sets(width), "root long, node long, copies long, block int, blocks int, set array<long>")
+    # members are a share of the documents, so both sides are shuffled at every size
+    sets = docs.join(members.hint("merge"), F.col("doc_id") == F.col("node")).select("root", "node", "copies", "block", "blocks", "text").mapInArrow(_sets(width), "root long, node long, copies long, block int, blocks int, set array<long>")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "copies", "block", "set")
     verified = stored(pairs.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_verify(threshold), "node long, links long, least long"), "verified")
     links = verified.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0")
