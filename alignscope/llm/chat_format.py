@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 Turn = tuple[str, str]
 
 
@@ -158,7 +160,7 @@ def format_chats(conversations: DataFrame, template: Template = MARKED, loss_rol
 
         yield from _gathered(formatted(), schema)
 
-    return rows.withColumn("conv_id", F.col("conv_id").cast("long")).mapInArrow(run, f"conv_id long, text string, spans {SPANS}, rewrites boolean")
+    return rows.withColumn("conv_id", F.col("conv_id").cast("long")).mapInArrow(lean(run), f"conv_id long, text string, spans {SPANS}, rewrites boolean")
 
 
 def digests(formatted: DataFrame, template: Template = MARKED) -> DataFrame:
@@ -176,7 +178,7 @@ def digests(formatted: DataFrame, template: Template = MARKED) -> DataFrame:
 
         yield from _gathered(rows(), schema)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
+    return formatted.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
 
 
 #: A conversation whose texts hold the template's own control strings.

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,10 +46,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that are no longer referenced, instead of at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # ---------------------------------------------------------------- joins and components
 
 
@@ -93,7 +103,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     Alternating large-star and small-star rounds over stored tables after a local contraction; the driver sees
     only a count and a checksum of each round. Hot nodes are salted. Raises if max_rounds do not suffice.
     """
-    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
+    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(_contract), "a long, b long").distinct()
     e = stored(e, "edges")
     seen = None
     for _ in range(max_rounds):
@@ -115,6 +125,24 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+# ---------------------------------------------------------------- Python workers
+
+
+def lean(run):
+    """run, after whose last batch the worker gives unused memory back: workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- text kernel: UTF-8 bytes in numpy
 
 

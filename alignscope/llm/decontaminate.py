@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, LOWER, UPPER, Words, chunks
+from .common import FOLD, LOWER, UPPER, Words, chunks, lean
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -98,7 +98,7 @@ def _rarity(windows: Windows):
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["k", "n"])
 
-    return run
+    return lean(run)
 
 
 def _prefixes(windows: Windows, counts: dict[int, int]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -154,7 +154,7 @@ def _match(windows: Windows, counts: dict[int, int]):
                 ids = part.column(0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(w.bounds), pa.int64()), pa.array(runs, _OUT.field("runs").type), pa.array(items, _OUT.field("items").type)], schema=_OUT)
 
-    return run
+    return lean(run)
 
 
 def _merged(spans):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored
+from .common import LOWER, UPPER, lean, stored
 
 
 def normalised(text: str):
@@ -39,7 +39,7 @@ def misra_gries(capacity: int):
                 held = {k: v - less for k, v in held.items() if v > less}
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["digest", "n"])
 
-    return run
+    return lean(run)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, chunks
+from .common import FOLD, chunks, lean
 
 LETTER = re.compile(r"[^\W\d_]")
 IS_LETTER = np.zeros(256, bool)
@@ -57,7 +57,7 @@ def _counts(langs: list[str]):
         i, j = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j], pa.int64())], ["lang", "bucket", "n"])
 
-    return run
+    return lean(run)
 
 
 class Model:
@@ -157,7 +157,7 @@ def _predict(model: Model):
                         sets[d] = ",".join(f"{model.langs[k]}:{share[k, i]:.3f}" for k in np.argsort(-share[:, i], kind="stable") if share[k, i] > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

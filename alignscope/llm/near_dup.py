@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, components, long_of, lookup, mix, stored
+from .common import Words, chunks, components, lean, long_of, lookup, mix, stored
 
 WIDTH, THRESHOLD = 5, (4, 5)  # words of a shingle; least similarity as a fraction
 TREES, DEPTH, RECALL = 20, 6, 0.9999
@@ -79,7 +79,7 @@ def _sign(trees: int, depth: int, width: int):
                 none = n == 0
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(long_of(d1), pa.int64(), mask=none), pa.array(long_of(d2), pa.int64(), mask=none), pa.array(sigs, pa.binary())], ["doc_id", "n", "d1", "d2", "sig"])
 
-    return run
+    return lean(run)
 
 
 # ---------------------------------------------------------------- the forest
@@ -115,7 +115,7 @@ def _tries(trees: int, depth: int, cut: int):
                 ["key", "a", "b"],
             )
 
-    return run
+    return lean(run)
 
 
 def _runs(batches):
@@ -140,7 +140,7 @@ def candidates(signed: DataFrame, trees: int, depth: int, cut: int) -> DataFrame
     """Edges (a, b) that connect all documents under one node of a trie: signed has (node, sig)."""
     forest = stored(signed.select("node", "sig").mapInArrow(_tries(trees, depth, cut), "key long, a long, b long"), "forest")
     local = forest.where("key is null").select("a", "b")
-    over_all = forest.where("key is not null").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(_runs, "a long, b long")
+    over_all = forest.where("key is not null").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean(_runs), "a long, b long")
     return local.union(over_all)
 
 
@@ -155,7 +155,7 @@ def _sets(width: int):
                 sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(long_of(h), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(5)] + [sets], ["root", "node", "copies", "block", "blocks", "set"])
 
-    return run
+    return lean(run)
 
 
 def _shared(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -233,7 +233,7 @@ def _verify(threshold):
         if out:
             yield _rows(out)
 
-    return run
+    return lean(run)
 
 
 def _rows(out):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, shared_path, stored
+from .common import lean, lookup, shared_path, stored
 
 # fixed values: the field lines of the two ARC versions
 FIELDS = {
@@ -154,7 +154,7 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 files.append(gzip.compress(version_block(v, name, date) + arc_record(v, url or "", date, body, name=name), 1, mtime=0))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(files, pa.binary())], ["name", "arc"])
 
-    return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, "name string, arc binary")
+    return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(lean(run), "name string, arc binary")
 
 
 _META = "name string, url string, date string, page_id long, payload_digest string, payload_bytes long"
@@ -180,7 +180,7 @@ def convert(arcs: DataFrame, path: str, min_bytes: int = 100, records_per_file:
     Of records with equal payloads of at least min_bytes the one with the smallest page id is a response. The choice is
     made from digests alone (a count with map-side combining), and joined back with hot digests salted.
     """
-    meta = stored(arcs.mapInArrow(_meta, _META), "arc-meta")
+    meta = stored(arcs.mapInArrow(lean(_meta), _META), "arc-meta")
     first = (
         meta.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
         .groupBy("payload_digest")
@@ -190,7 +190,7 @@ def convert(arcs: DataFrame, path: str, min_bytes: int = 100, records_per_file:
     )
     again = lookup(meta.select("name", "page_id", "payload_digest"), first, "payload_digest", "name").where("first is not null and page_id <> first.page_id")
     refers = again.select("name", F.col("first.url").alias("r_url"), F.col("first.date").alias("r_date"), F.col("first.name").alias("r_name"))
-    arcs.join(refers, "name", "left").select("name", "arc", "r_url", "r_date", "r_name").mapInArrow(_records, "value string").write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    arcs.join(refers, "name", "left").select("name", "arc", "r_url", "r_date", "r_name").mapInArrow(lean(_records), "value string").write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _records(batches):
@@ -227,7 +227,7 @@ def _read(batches):
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the WARC files below path; payload digests of responses are verified."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, _READ)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lean(_read), _READ)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 100) -> DataFrame:
