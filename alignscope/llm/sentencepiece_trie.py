@@ -13,16 +13,20 @@ would, without merging.
 
 from __future__ import annotations
 
-import os.path
 import re
+from array import array
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"
-_SPLIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
 
 
@@ -47,7 +51,15 @@ class PieceModel:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == m.SentencePiece.BYTE}
         of_byte = {i: bytes([b]) for b, i in self.byte.items()}
         self.bytes = [of_byte.get(i, p.piece.encode()) for i, p in enumerate(m.pieces)]
+        self.spelled = pa.array([b.replace(MARK.encode(), b" ") for b in self.bytes], pa.binary())
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.longest = max(map(len, self.id), default=1)
+        #: all pieces that end at a place of a word
+        self.ending = ahocorasick.Automaton()
+        for p, i in self.id.items():
+            self.ending.add_word(p, (len(p), p, self.score[p], array("i", [i]).tobytes()))
+        self.ending.make_automaton()
         #: in a unigram model an unknown character costs ten more than the worst piece
         self.unknown = min(self.score.values(), default=0.0) - 10
         self._apart: dict[tuple[str, str], bool] = {}
@@ -71,61 +83,128 @@ class PieceModel:
         """Whether merging the characters of left + right ends with these two pieces ('' on the left: with right)."""
         key = (left, right)
         if key not in self._apart:
-            if len(self._apart) > 300_000:
+            if len(self._apart) > 200_000:
                 self._apart.clear()
             self._apart[key] = self._merged(left + right) == [x for x in key if x]
         return self._apart[key]
 
     # ------------------------------------------------------------ forward pass
 
-    def _state(self, word: str, end: int, states: list) -> tuple[float, int]:
-        """(score, start of the last piece) of the best path to `end`; states holds those of the positions before it.
+    def encode_sorted(self, words: list[str]):
+        """Yields (word, ids as int32 bytes) for sorted distinct words, keeping the states of the prefix shared with the word before.
 
-        A character that is no piece is an edge of its own: its bytes stand for it.
+        The state of a position: score of the best path to it, that path's last piece and its ids (int32 bytes).
         """
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            s = self.score.get(piece)
-            if s is None:
-                if start < end - 1:
-                    continue
-                s = self.unknown
-            s += states[start][0]
-            if (best is None or s > best[0]) and (self.kind == UNIGRAM or self.apart(word[states[start][1] : start], piece)):
-                best = (s, start)
-                if self.kind == BPE:
-                    break  # the only admissible path
-        if best is None:
-            raise ValueError(f"no admissible path to {end} of {word!r}")
-        return best
-
-    def encode_sorted(self, words: list[str]):
-        """Yields (word, ids) for sorted distinct words, keeping the states of the prefix shared with the word before."""
-        states: list[tuple[float, int]] = [(0.0, 0)]
+        extend = self._extend_bpe if self.kind == BPE else self._extend_unigram
+        scores, pieces, paths = [0.0], [""], [b""]
         last = ""
         for word in words:
-            shared = len(os.path.commonprefix([last, word]))
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(self._state(word, end, states))
+            shared = 0
+            for a, b in zip(last, word, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del scores[shared + 1 :], pieces[shared + 1 :], paths[shared + 1 :]
             last = word
-            out: list[int] = []
-            at = len(word)
-            while at:
-                start = states[at][1]
-                piece = self.id.get(word[start:at])
-                out.extend([piece] if piece is not None else (self.byte[b] for b in reversed(word[start:at].encode("utf-8", "surrogatepass"))))
-                at = start
-            yield word, out[::-1]
-
-    def marked(self, text: str) -> str:
-        return ((MARK if self.dummy_prefix else "") + text.replace(" ", MARK)) if text else ""
-
-    def decode(self, ids) -> str:
-        """The text of ids; a mark in the text that was encoded comes back as a space."""
-        text = b"".join([self.bytes[i] for i in ids]).decode("utf-8", "surrogatepass").replace(MARK, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+            extend(word, shared, scores, pieces, paths)
+            yield word, paths[-1]
+
+    def _extend_bpe(self, word: str, done: int, scores: list, pieces: list, paths: list) -> None:
+        """Adds the states after `done`; the first admissible edge is the only one."""
+        apart = self._apart.get
+        for at, (size, piece, score, coded) in self.ending.iter(word, max(0, done + 1 - self.longest)):
+            if at < done:
+                continue
+            while done < at:
+                self._add_bytes(word, done, scores, pieces, paths)
+                done += 1
+            start = at + 1 - size
+            ok = apart((pieces[start], piece))
+            if ok is None:
+                ok = self.apart(pieces[start], piece)
+            if ok:
+                scores.append(scores[start] + score)
+                pieces.append(piece)
+                paths.append(paths[start] + coded)
+                done = at + 1
+        while done < len(word):
+            self._add_bytes(word, done, scores, pieces, paths)
+            done += 1
+
+    def _extend_unigram(self, word: str, done: int, scores: list, pieces: list, paths: list) -> None:
+        """Adds the states after `done`; of equal sums the longer last piece wins."""
+        edges: list[list] = [[] for _ in range(len(word))]
+        for at, edge in self.ending.iter(word, max(0, done + 1 - self.longest)):
+            edges[at].append(edge)
+        for at in range(done, len(word)):
+            best = max(((scores[at + 1 - e[0]] + e[2], e[0], e) for e in edges[at]), default=None)
+            if word[at] not in self.id and (best is None or scores[at] + self.unknown > best[0]):
+                self._add_bytes(word, at, scores, pieces, paths)
+            else:
+                size, piece, _, coded = best[2]
+                scores.append(best[0])
+                pieces.append(piece)
+                paths.append(paths[at + 1 - size] + coded)
+
+    def _add_bytes(self, word: str, at: int, scores: list, pieces: list, paths: list) -> None:
+        """The state after a character that is no piece: an edge of its own, its bytes stand for it."""
+        if word[at] in self.id:
+            raise ValueError(f"no admissible path to {at + 1} of {word!r}")
+        scores.append(scores[at] + self.unknown)
+        pieces.append(word[at])
+        paths.append(paths[at] + array("i", [self.byte[b] for b in word[at].encode("utf-8", "surrogatepass")]).tobytes())
+
+    # ------------------------------------------------------------ whole texts, column by column
+
+    def encode_texts(self, texts: pa.Array, cache: int = 150_000) -> pa.ListArray:
+        """The ids of each text; null is empty. Words seen before are remembered, at most about twice `cache` of them."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+        if self.dummy_prefix:
+            texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        # a word begins at a text's begin and at a space after another byte
+        begin = data == 32
+        begin[1:] &= data[:-1] != 32
+        begin[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begin)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data.tobytes())).dictionary_encode()
+        distinct = [w.replace(" ", MARK) for w in words.dictionary.to_pylist()]
+        if len(self.known) > cache:  # words not met again for a while are forgotten
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = set(distinct) - known.keys()
+        again = fresh & older.keys()
+        known.update((w, older[w]) for w in again)
+        for word, ids in self.encode_sorted(sorted(fresh - again)):
+            known[word] = ids
+        coded = [known[w] for w in distinct]
+        bounds = np.cumsum([0, *map(len, coded)]) // 4
+        by_word = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+        ids = by_word.take(words.indices)
+        at = np.append(0, np.cumsum(np.diff(bounds)[words.indices.to_numpy()]))[np.searchsorted(starts, offsets)]
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids.flatten())
+
+    def decode_ids(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of ids (null: empty); a mark in the text that was encoded comes back as a space."""
+        flat = self.spelled.take(ids.flatten())
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()))
+        at = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1][ends].astype(np.int64)
+        data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[: at[-1]]
+        if self.dummy_prefix:  # the first space of a text is not its own
+            first = at[:-1][at[1:] > at[:-1]]
+            first = first[data[first] == 32]
+            data = np.delete(data, first)
+            at = at - np.searchsorted(first, at)
+        out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data.tobytes())])
+        return out.cast(pa.string())
+
+
+@lru_cache(maxsize=2)
+def piece_model(content: bytes) -> PieceModel:
+    """One model for each worker, whose memory of words outlasts a task."""
+    return PieceModel(content)
 
 
 # ---------------------------------------------------------------- DataFrames
@@ -139,53 +218,49 @@ def _parts(batch: pa.RecordBatch, limit: int = 2 << 20):
         yield batch.slice(i, step)
 
 
-def encode(docs: DataFrame, content: bytes, id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000) -> DataFrame:
+_FIELDS = {"doc_id": "long", "text": "string", "ids": "array<int>", "decoded": "string"}
+
+
+def encode(docs: DataFrame, content: bytes, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """One row per row of docs: (doc_id, text, ids array<int>), as the model's library encodes the text.
 
-    content: the bytes of a model file. Null and empty texts have no ids; repeated rows repeat their ids; an empty table
-    gives an empty table; other columns are not read. There is no shuffle; a worker remembers about `cache` words and
-    those of one slice.
+    content: the bytes of a model file. decoded adds the text of the ids, decoded in the same pass. Null and empty texts
+    have no ids; repeated rows repeat their ids; an empty table gives an empty table; other columns are not read. There
+    is no shuffle; a worker remembers a bounded number of words.
     """
+    names = list(_FIELDS)[: 4 if decoded else 3]
 
     def run(batches):
-        model = PieceModel(content)
-        known: dict[str, np.ndarray] = {}
+        model = piece_model(content)
         for batch in batches:
             for part in _parts(batch):
-                split = [_SPLIT.findall(model.marked(t)) if t else [] for t in part.column(1).to_pylist()]
-                if len(known) > cache:
-                    known.clear()
-                for word, ids in model.encode_sorted(sorted({w for words in split for w in words} - known.keys())):
-                    known[word] = np.array(ids, np.int32)
-                rows = [np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.int32) for words in split]
-                bounds = np.cumsum([0, *map(len, rows)])
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "text", "ids"])
+                ids = model.encode_texts(part.column(1))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *([model.decode_ids(ids)] if decoded else [])], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), ", ".join(f"{n} {_FIELDS[n]}" for n in names))
 
 
 def decode(encoded: DataFrame, content: bytes) -> DataFrame:
     """Adds `decoded`, the text of ids, to (doc_id, text, ids). Null ids decode to an empty text."""
 
     def run(batches):
-        model = PieceModel(content)
+        model = piece_model(content)
         for batch in batches:
             for part in _parts(batch):
-                texts = [model.decode(ids.values.to_numpy().tolist()) if ids.is_valid else "" for ids in part.column(2)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, model.decode_ids(part.column(2))], list(_FIELDS))
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
+    return encoded.select("doc_id", "text", "ids").mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in _FIELDS.items()))
 
 
-def encode_and_decode(docs: DataFrame, content: bytes) -> DataFrame:
-    """(doc_id, n_ids, ids_sha256, text_sha256, round_trip): digests of the ids (decimal, comma-joined) and of the decoded text.
+def round_trip():
+    """Whether the decoded text is the original one (null: empty), whose marks (U+2581) count as spaces."""
+    return F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
 
-    round_trip: the decoded text is the original one (null: empty), whose marks (U+2581) count as spaces.
-    """
-    df = decode(encode(docs, content), content)
-    original = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
-    return df.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("text_sha256"), (F.col("decoded") == original).alias("round_trip"))
+
+def encode_and_decode(docs: DataFrame, content: bytes) -> DataFrame:
+    """(doc_id, n_ids, ids_sha256, text_sha256, round_trip): digests of the ids (decimal, comma-joined) and of the decoded text."""
+    df = encode(docs, content, decoded=True)
+    return df.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("text_sha256"), round_trip().alias("round_trip"))
 
 
 #: The default model file; every operator takes the bytes of any other.

@@ -14,7 +14,7 @@ from alignscope.llm.decontaminate import decontaminate
 from alignscope.llm.exact_dedup import exact_dedup
 from alignscope.llm.language_id import learn_and_predict
 from alignscope.llm.near_dup import jaccard_join
-from alignscope.llm.sentencepiece_trie import MODEL_FILE, decode, encode, model_content
+from alignscope.llm.sentencepiece_trie import MODEL_FILE, encode, model_content, round_trip
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose largest language has a smaller share is rejected.
@@ -47,10 +47,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip): the piece ids, and whether they decode to the text."""
-    content = model_content(MODEL_FILE)
-    coded = decode(encode(docs, content), content)
-    original = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == original).alias("round_trip"))
+    coded = encode(docs, model_content(MODEL_FILE), decoded=True)
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), round_trip().alias("round_trip"))
 
 
 STAGES = [

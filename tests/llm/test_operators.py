@@ -421,7 +421,7 @@ def test_unigram_paths_are_the_best(content):
     for word, ids in model.encode_sorted(words):
         total, byte_run = 0, b""
         pieces = {v: k for k, v in model.id.items()}
-        for i in ids:
+        for i in np.frombuffer(ids, np.int32).tolist():
             if i in pieces:
                 total += model.score[pieces[i]]
             else:
