@@ -2,7 +2,7 @@
 
 Which 100-byte strings repeat is decided by suffixes at anchors only. An anchor is the k-gram of a 100-byte window
 with the least hash (the first of equals), so equal windows have the same anchor at the same offset, and about one
-position in 27 is an anchor. Anchors whose k-gram occurs once are dropped. Around the others, the text to the right
+position in 32 is an anchor. Anchors whose k-gram occurs once are dropped. Around the others, the text to the right
 and (reversed) to the left of the anchor is sorted: multikey quicksort on 8-byte words to a shallow depth, then blind
 tries for the groups that still share their prefix. With the common prefixes of neighbours, each offset's equal windows
 are runs of both orders, and all but a run's first window begin a removed string.
@@ -17,13 +17,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE, INVERSE, chunks, lookup, mix, powers, prefix_hash, stored
+from .common import BYTE, INVERSE, chunks, lean, lookup, mix, powers, prefix_hash, release, stored
 
-SPAN, GRAM = 100, 50
-OFFSETS = SPAN - GRAM + 1  # of an anchor in a window: 0 .. SPAN - GRAM; a set of them is a mask of 51 bits
+SPAN, GRAM = 100, 38
+OFFSETS = SPAN - GRAM + 1  # of an anchor in a window: 0 .. SPAN - GRAM; a set of them is a mask of 63 bits
 SHALLOW = 16
 
 
@@ -63,21 +64,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, block: int = 4000):
     return p - offsets[d], d, p - s[last], p - s[first], h[p]
 
 
-_ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("n", "u1")])
+#: Within a bucket 40 bits of the hash are kept: two k-grams that share them are only compared for nothing.
+_ENTRY = np.dtype([("h", "<u4"), ("g", "u1"), ("doc", "<i8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("n", "u1")])
+_FOUND = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("n", "u1")])
 
 
-def _columns(e: np.ndarray) -> bytes:
-    """Entries column by column, which compresses better."""
-    return b"".join(np.ascontiguousarray(e[f]).tobytes() for f in _ENTRY.names)
+def _columns(e: np.ndarray, buckets: int) -> bytes:
+    """Entries column by column, in order of document and place, which compresses better."""
+    out = np.empty(len(e), _ENTRY)
+    for f in ("doc", "pos", "lo", "hi", "n"):
+        out[f] = e[f]
+    h = e["h"] // np.uint64(buckets)
+    out["h"], out["g"] = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) & np.uint64(255)
+    return b"".join(np.ascontiguousarray(out[f]).tobytes() for f in _ENTRY.names)
 
 
 def _entries(blob: bytes) -> np.ndarray:
     n = len(blob) // _ENTRY.itemsize
-    e, at = np.empty(n, _ENTRY), 0
+    columns, at = {}, 0
     for f in _ENTRY.names:
         t = _ENTRY.fields[f][0]
-        e[f] = np.frombuffer(blob, t, n, at)
+        columns[f] = np.frombuffer(blob, t, n, at)
         at += n * t.itemsize
+    e = np.empty(n, _FOUND)
+    for f in ("doc", "pos", "lo", "hi", "n"):
+        e[f] = columns[f]
+    e["h"] = columns["g"].astype(np.uint64) << np.uint64(32) | columns["h"]
     return e
 
 
@@ -86,18 +98,21 @@ def _find_anchors(buckets: int, held_entries: int = 1_500_000):
 
     def flush(parts, serial):
         e = np.concatenate(parts)
-        e = e[np.argsort(e["h"], kind="stable")]
+        by_hash = np.argsort(e["h"], kind="stable")
+        h = e["h"][by_hash]
         new = np.ones(len(e), bool)
-        new[1:] = e["h"][1:] != e["h"][:-1]
-        n = np.diff(np.append(np.flatnonzero(new), len(e)))
-        e["n"][new] = np.minimum(n, 2)
-        first, rest = e[new], e[~new]
+        new[1:] = h[1:] != h[:-1]
+        heads = by_hash[new]
+        e["n"][heads] = np.minimum(np.diff(np.append(np.flatnonzero(new), len(e))), 2)
+        is_head = np.zeros(len(e), bool)
+        is_head[heads] = True
+        first, rest = e[is_head], e[~is_head]
         bucket = (first["h"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         first, bucket = first[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(k, 0, _columns(first[cuts[k] : cuts[k + 1]])) for k in range(buckets) if cuts[k] < cuts[k + 1]]
-        rows += [((serial + k) % buckets, 1, _columns(rest[i : i + 50_000])) for k, i in enumerate(range(0, len(rest), 50_000))]
+        rows = [(k, 0, _columns(first[cuts[k] : cuts[k + 1]], buckets)) for k in range(buckets) if cuts[k] < cuts[k + 1]]
+        rows += [((serial + k) % buckets, 1, _columns(rest[i : i + 50_000], buckets)) for k, i in enumerate(range(0, len(rest), 50_000))]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "settled", "entries"])
 
     def run(batches):
@@ -106,7 +121,7 @@ def _find_anchors(buckets: int, held_entries: int = 1_500_000):
             for part, data, offsets in chunks(batch, "text", 1 << 18):
                 pos, d, lo, hi, h = anchors(data, offsets)
                 ids = part.column(0)
-                e = np.zeros(len(pos), _ENTRY)
+                e = np.zeros(len(pos), _FOUND)
                 e["h"], e["pos"], e["lo"], e["hi"], e["n"] = h, pos, lo, hi, 1
                 e["doc"] = ids.to_numpy(zero_copy_only=False)[d]
                 parts.append(e)
@@ -118,7 +133,7 @@ def _find_anchors(buckets: int, held_entries: int = 1_500_000):
         if size:
             yield flush(parts, serial)
 
-    return run
+    return lean(run)
 
 
 def _repeating(batches):
@@ -152,6 +167,24 @@ def _repeating(batches):
         yield settle(parts)
 
 
+# ---------------------------------------------------------------- texts on their way through a shuffle
+
+
+def _pack(batches):
+    """(doc_id, packed): texts compressed one by one, which takes less room in a shuffle than its own block compression."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in batch.column(1)], pa.binary())], ["doc_id", "packed"])
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    return docs.mapInArrow(lean(_pack), "doc_id long, packed binary")
+
+
+def _unpacked(packed: pa.Scalar, open_) -> bytes:
+    return open_.decompress(packed.as_py()) if packed.is_valid else b""
+
+
 # ---------------------------------------------------------------- surroundings of anchors
 
 
@@ -175,9 +208,10 @@ def _surround(limit: int = 150_000):
 
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
         names = ["doc_id", "pos", "lo", "hi", "left", "right", "mask"]
+        open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, text, found in zip(*(batch.column(i) for i in range(3)), strict=True):
-                doc, raw = doc.as_py(), text.as_buffer().to_pybytes() if text.is_valid else b""
+            for doc, packed, found in zip(*(batch.column(i) for i in range(3)), strict=True):
+                doc, raw = doc.as_py(), _unpacked(packed, open_)
                 for v in np.unique(found.values.to_numpy()).tolist():
                     pos, lo, hi = v >> 16, v >> 8 & 255, v & 255
                     key = (raw[pos - hi : pos], raw[pos : pos - lo + SPAN])
@@ -197,7 +231,7 @@ def _surround(limit: int = 150_000):
         if first or rows:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -313,10 +347,9 @@ def _settle(rows_at_once: int = 150_000):
 
     def run(batches):
         def settle(table: pa.Table):
-            done = [table.column(c).to_numpy() for c in ("key", "doc_id", "pos", "lo", "hi", "mask")]
-            key, doc, pos, lo, hi, mask = done
-            mask = mask.astype(np.uint64)
-            todo = np.flatnonzero(mask == 0)
+            key, doc, pos, lo, hi = (table.column(c).to_numpy() for c in ("key", "doc_id", "pos", "lo", "hi"))
+            mask = np.zeros(len(key), np.uint64)
+            todo = np.arange(len(key))
             _, group, size = np.unique(key[todo], return_inverse=True, return_counts=True)
             todo, group = todo[size[group] > 1], group[size[group] > 1]
             if len(todo):
@@ -341,7 +374,7 @@ def _settle(rows_at_once: int = 150_000):
         if size:
             yield settle(pa.Table.from_batches(held))
 
-    return run
+    return lean(run)
 
 
 def _windows(batches):
@@ -361,10 +394,11 @@ def _windows(batches):
 
 
 def _remove(batches):
+    open_ = zstandard.ZstdDecompressor()
     for batch in batches:
         cols: list[list] = [[] for _ in range(5)]
-        for doc, text, found in zip(*(batch.column(i) for i in range(3)), strict=True):
-            raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
+        for doc, packed, found in zip(*(batch.column(i) for i in range(3)), strict=True):
+            raw = np.frombuffer(_unpacked(packed, open_), np.uint8)
             n_removed = n_spans = 0
             if found.is_valid:
                 pos, mask = (found.values.field(i).to_numpy() for i in range(2))
@@ -390,19 +424,21 @@ def repeated_strings(docs: DataFrame, bucket_bytes: int = 24 << 20, hot_rows: in
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // bucket_bytes + 1)
     entries = docs.mapInArrow(_find_anchors(buckets), "bucket int, settled int, entries binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = entries.mapInArrow(_repeating, "doc_id long, anchor long").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    around = docs.join(found, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_surround(), "doc_id long, pos long, lo int, hi int, left binary, right binary, mask long")
+    found = entries.mapInArrow(lean(_repeating), "doc_id long, anchor long").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    around = _packed(docs).join(found, "doc_id").select("doc_id", "packed", "anchors").mapInArrow(_surround(), "doc_id long, pos long, lo int, hi int, left binary, right binary, mask long")
     key = F.when(F.col("mask") == 0, F.xxhash64(F.substring("right", 1, GRAM))).otherwise(F.xxhash64("doc_id", "pos"))
     around = stored(around.withColumn("key", key), "around")
+    del entries, found
+    release(spark)
     open_rows = around.where("mask = 0")
     # fewer than hot_keys keys can have more than rows / hot_keys rows each
     counts = open_rows.groupBy("key").agg(F.count("*").alias("n"))
     limit = max(hot_rows, (counts.agg(F.sum("n")).first()[0] or 0) // hot_keys)
     hot = stored(counts.where(F.col("n") > limit).select("key"), "hot-anchors")
-    columns = ["key", "doc_id", "pos", "lo", "hi", "left", "right", "mask"]
+    columns = ["key", "doc_id", "pos", "lo", "hi", "left", "right"]
     settled = around.where("mask <> 0").select("doc_id", "pos", "mask")
     cold = open_rows.join(F.broadcast(hot), "key", "left_anti").select(*columns).repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(_settle(), "doc_id long, pos long, mask long")
-    windows = open_rows.join(F.broadcast(hot), "key", "left_semi").select(*columns).mapInArrow(_windows, "w1 long, w2 long, doc_id long, start long, pos long, j long")
+    windows = open_rows.join(F.broadcast(hot), "key", "left_semi").select(*columns).mapInArrow(lean(_windows), "w1 long, w2 long, doc_id long, start long, pos long, j long")
     windows = stored(windows, "windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.struct("w1", "w2").alias("w"), "first")
     again = lookup(windows.withColumn("w", F.struct("w1", "w2")).drop("w1", "w2"), firsts, "w", "start").where("first is not null and struct(doc_id, start) <> first")
@@ -420,7 +456,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     masks = repeated_strings(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
-    return docs.join(masks, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _packed(docs).join(masks, "doc_id", "left").select("doc_id", "packed", "found").mapInArrow(lean(_remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple]:
