@@ -149,7 +149,7 @@ query("structural_full")(lambda p: M.structural(iterations=2).match(order_pair(p
 
 
 def small_pair(p: KGPair) -> KGPair:
-    """Suppliers, customers and nations: the literal-rich part, for the iterative matchers."""
+    """Suppliers, customers and nations alone: the part over which the SQL of the linkage queries is written."""
     keep = F.col("relation").rlike("(inNation|inRegion|country|partOf)$")
     heads = F.col("head").rlike("(/c/|/s/|/C_|/S_)")
     return p.with_frames(rel=p.rel.where(keep), attr=p.attr.where(heads), align=p.align.where(F.col("e1").rlike("(/c/|/s/)")))
@@ -168,9 +168,14 @@ query("meta_blocking_weights", f""", {_EDGES} select e1, e2, {r6("weight")} as w
 _SIM = f"""{_EDGES}, gr as (select kg, entity, list_distinct(case when length(text) >= 3 then list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) else [text] end) as g from rec),
 sim as (select e1, e2, round(len(list_intersect(x.g, y.g)) / sqrt(len(x.g)::double * len(y.g)), 9) as score from mb join gr x on x.kg = 'kg1' and x.entity = e1 join gr y on y.kg = 'kg2' and y.entity = e2)"""
 query("ngram_similarity", f""", {_SIM} select e1, e2, {r6("score")} as score from sim""")(lambda p: K.candidate_graph(small_pair(p)))
-query("ngram_match")(lambda p: K.ngram_matcher().match(small_pair(p)))
-query("unique_mapping")(lambda p: K.unique_mapping(M.value_scores(small_pair(p)), 0.2))
-query("paris_fixpoint")(lambda p: R.paris_matcher(rounds=3).match(small_pair(p)))
+# over the whole graph, orders and parts included; no SQL, compared with brute force on a small fixture
+query("entity_records_whole")(K.entity_records)
+query("token_blocks_whole")(lambda p: K.clean_blocks(K.token_blocks(K.entity_records(p))))
+query("meta_blocking_weights_whole")(lambda p: K.meta_blocking(K.clean_blocks(K.token_blocks(K.entity_records(p)))))
+query("ngram_similarity_whole")(K.candidate_graph)
+query("ngram_match")(lambda p: K.ngram_matcher().match(p))
+query("unique_mapping")(lambda p: K.unique_mapping(M.value_scores(p), 0.2))
+query("paris_fixpoint")(lambda p: R.paris_matcher().match(p))
 
 # ---------------------------------------------------------------- evaluation
 
