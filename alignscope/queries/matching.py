@@ -122,7 +122,7 @@ query("relation_functionality", f""", d as (select distinct kg, relation, head,
 
 
 def order_pair(p: KGPair) -> KGPair:
-    """The relations of orders and nations, without hubs such as types and suppliers: what the structural matcher gets."""
+    """The relations of orders and nations alone: the part over which the SQL of structural_round1 is written."""
     keep = F.col("relation").rlike("(placedBy|contains|inNation|hasOrder|item|country)$")
     return p.with_frames(rel=p.rel.where(keep))
 
@@ -143,7 +143,9 @@ def structural_round1(p):
     return M.top_k(M.propagate(p, seeds, M.align_relations(p, seeds)), 10)
 
 
-query("structural_full")(lambda p: M.structural(iterations=2).match(order_pair(p)))
+# over the whole graph, where availableFrom joins seeded entities and gives typed blocks; no SQL
+query("structural_round1_whole")(lambda p: M.top_k(M.propagate(p, M.seed_pairs(p), M.align_relations(p, M.seed_pairs(p))), 10))
+query("structural_full")(lambda p: M.structural().match(p))
 
 # ---------------------------------------------------------------- linkage and the fixpoint
 

@@ -113,3 +113,68 @@ def test_linkage_reads_the_whole_graph(run):
 def test_mapping_and_fixpoint_reach_parts_and_orders(run):
     assert kinds(run("unique_mapping")) == {"c", "s", "p", "o"}
     assert kinds(run("paris_fixpoint")) >= {"c", "s", "p", "o"}
+
+
+# ---------------------------------------------------------------- structure
+
+
+def aligned(seeds):
+    rel = tables()[0]
+    two, to = {r for r in rel if r[0] == "kg2"}, dict(seeds)
+    co, c1, c2 = Counter(), Counter(), Counter()
+    for kg, h, r, t in rel:
+        if kg == "kg1" and h in to and t in to:
+            c1[r] += 1
+            for _, a, r2, b in two:
+                co[r, r2, False] += (a, b) == (to[h], to[t])
+                co[r, r2, True] += (b, a) == (to[h], to[t])
+    for (_, r2, _), n in co.items():
+        c2[r2] += n
+    best = {}
+    for (r1, r2, inv), n in sorted(co.items()):
+        if n >= 3 and (w := round(2 * n / (c1[r1] + c2[r2]), 9)) > best.get(r1, (0,))[0]:
+            best[r1] = (w, r2, inv)
+    return best
+
+
+def propagated(seeds, al):
+    rel, score = tables()[0], Counter()
+    blocks = [({r1}, {r2}, w, inv) for r1, (w, r2, inv) in al.items()] + [(None, None, 0.3 if al else 1.0, False)]
+
+    def rows(kg, names, turn):
+        out = defaultdict(Counter)
+        for g, h, r, t in rel:
+            if g == kg and (names is None or r in names):
+                out[t if turn else h][h if turn else t] += 1
+        return out
+
+    unit = lambda c: {k: v / math.sqrt(sum(x * x for x in c.values())) for k, v in c.items()}
+    for (r1, r2, w, inv), turn in product(blocks, (False, True)):
+        two = {x: unit(c) for x, c in rows("kg2", r2, turn != inv).items()}
+        for e1, c in rows("kg1", r1, turn).items():
+            m = Counter()
+            for y, n in c.items():
+                for a, z in seeds:
+                    if a == y:
+                        m[z] += n
+            for e2, u in two.items() if m else ():
+                if common := sum(v * u.get(z, 0) for z, v in unit(m).items()):
+                    score[e1, e2] += w * common
+    by = defaultdict(list)
+    for (e1, e2), s in score.items():
+        by[e1].append((-round(s, 9), e2))
+    return {e1: [(-s, e2) for s, e2 in sorted(x)[:10]] for e1, x in by.items()}
+
+
+def test_structure_uses_every_relation_and_five_rounds(run):
+    seeds = {(a, b) for a, b, s in tables()[2] if s == "train" and b}
+    al = aligned(seeds)
+    assert f"{L}p/availableFrom" in al
+    one = propagated(seeds, al)
+    assert {r[:2]: r[2] for r in run("structural_round1_whole")} == pytest.approx({(a, b): s for a, x in one.items() for s, b in x}, abs=2e-6)
+    for _ in range(5):
+        last = {a: [(s / x[0][0], b) for s, b in x] for a, x in propagated(seeds, al).items()}
+        lead = {a: (x[0][1], round(x[0][0] - (x[1][0] if len(x) > 1 else 0), 9)) for a, x in last.items()}
+        seeds |= {(a, b) for a, (b, m) in lead.items() if m >= 0.1}
+    want = {(a, b): m for a, (b, m) in lead.items() if m >= 0.1}
+    assert {r[:2]: r[2] for r in run("structural_full")} == pytest.approx(want, abs=2e-6) and kinds(want) >= {"p", "s", "o"}
