@@ -22,7 +22,7 @@ from .profile import VALUES
 
 
 def star_pair(p: KGPair) -> KGPair:
-    """Customers with their orders alone: one small component per customer, which SQL can tell in closed form."""
+    """Customers with their orders alone: one small component per customer, the part over which the SQL is written."""
     keep = F.col("relation").endswith("placedBy") | F.col("relation").endswith("hasOrder")
     rel = p.rel.where(keep)
     return p.with_frames(rel=rel, attr=p.attr.limit(0), align=p.align.limit(0))
@@ -32,6 +32,9 @@ _STAR = """, se as (select kg, case when kg = 'kg1' then tail else head end as c
 lab as (select kg, c, least(c, min(o)) as component from se group by kg, c), comp as (select kg, c as node, component from lab union select se.kg, o, component from se join lab using (kg, c))"""
 query("components", f"{_STAR} select kg, node, component from comp")(lambda p: G.pair_components(star_pair(p)))
 query("component_sizes", f"""{_STAR}, s as (select kg, component, count(*) as size from comp group by all) select kg, r as rank, size as component_size from (select *, row_number() over (partition by kg order by size desc, component) as r from s) where r <= 20""")(lambda p: G.component_table(G.pair_components(star_pair(p))))
+# over the whole graph, with its giant component and the entities without an edge; no SQL
+query("components_whole")(G.pair_components)
+query("component_sizes_whole")(lambda p: G.component_table(G.pair_components(p)))
 # the whole graph is connected but for entities without an edge, which SQL shows by their degree
 query("connectivity", f"""
 , e as (select distinct kg, least(head, tail) as a, greatest(head, tail) as b from rel where head <> tail), ew as (select kg, a, b from e union all select kg, b, a from e), dg as (select kg, a as node, count(*) as d from ew group by kg, a),

@@ -115,6 +115,31 @@ def test_mapping_and_fixpoint_reach_parts_and_orders(run):
     assert kinds(run("paris_fixpoint")) >= {"c", "s", "p", "o"}
 
 
+# ---------------------------------------------------------------- components
+
+
+def test_components_of_the_whole_graph(run):
+    rel, attr, align = tables()
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for kg, h, _, t in rel:
+        a, b = sorted((find((kg, h)), find((kg, t))))
+        parent[b] = a
+    for k in [(kg, h) for kg, h, _, _ in attr] + [("kg1", a) for a, _, _ in align] + [("kg2", b) for _, b, _ in align if b]:
+        find(k)
+    want = {(kg, e, find((kg, e))[1]) for kg, e in parent}
+    assert set(run("components_whole")) == want and len(want) > 50
+    sizes = Counter((kg, c) for kg, _, c in want)
+    got = run("component_sizes_whole")
+    assert sorted((kg, n) for kg, _, n in got) == sorted((kg, n) for (kg, _), n in sizes.items())
+    assert (L + "c/7") in {e for _, e, c in want if e == c} and max(sizes.values()) > 20
+
+
 # ---------------------------------------------------------------- structure
 
 
