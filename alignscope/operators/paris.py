@@ -16,14 +16,17 @@ from .matching import Matcher, top_k
 from .metrics import entity_values
 
 
-def statements(pair: KGPair, max_value_entities: int = 50) -> DataFrame:
-    """(kg, r, x, y, literal): relations in both directions and attributes; hub values (too common to tell) left out."""
+def statements(pair: KGPair, hot: int = 50) -> DataFrame:
+    """(kg, r, x, y, literal, hot): relations in both directions and attributes; hot: (r, y) has more than `hot` of them.
+
+    The mark chooses how equality() joins a statement, not whether it counts.
+    """
     rel = pair.rel.select("kg", F.col("relation").alias("r"), F.col("head").alias("x"), F.col("tail").alias("y"), F.lit(False).alias("literal")).distinct()
     back = rel.select("kg", F.concat(F.col("r"), F.lit("^-1")).alias("r"), F.col("y").alias("x"), F.col("x").alias("y"), "literal")
     values = entity_values(pair).select("kg", F.lit("value").alias("r"), F.col("entity").alias("x"), F.col("value").alias("y"), F.lit(True).alias("literal"))
     out = rel.union(back).union(values)
-    common = out.groupBy("kg", "r", "y").agg(F.count("*").alias("n")).where(F.col("n") > max_value_entities).drop("n")
-    return out.join(common, ["kg", "r", "y"], "left_anti")
+    common = out.groupBy("kg", "r", "y").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("kg", "r", "y", F.lit(True).alias("hot"))
+    return out.join(common, ["kg", "r", "y"], "left").na.fill(False, ["hot"])
 
 
 def inverse_functionality(facts: DataFrame) -> DataFrame:
@@ -31,12 +34,10 @@ def inverse_functionality(facts: DataFrame) -> DataFrame:
     return facts.groupBy("kg", "r").agg((F.countDistinct("y") / F.count("*")).alias("inv"))
 
 
-def equality(facts: DataFrame, equal: DataFrame, sub: DataFrame | None, start: float) -> DataFrame:
-    """(e1, e2, score): the noisy-or over statement pairs whose objects are equal."""
-    inv = inverse_functionality(facts)
-    f = facts.join(F.broadcast(inv), ["kg", "r"])
-    one = f.where("kg = 'kg1'").select(F.col("r").alias("r1"), F.col("x").alias("e1"), F.col("y").alias("y1"), "literal", F.col("inv").alias("i1"))
-    two = f.where("kg = 'kg2'").select(F.col("r").alias("r2"), F.col("x").alias("e2"), F.col("y").alias("y2"), F.col("literal").alias("literal2"), F.col("inv").alias("i2"))
+def evidence(one: DataFrame, two: DataFrame, equal: DataFrame, sub: DataFrame | None, start: float) -> DataFrame:
+    """(e1, e2, miss): log of the product of what each statement pair with equal objects leaves open."""
+    one = one.select(F.col("r").alias("r1"), F.col("x").alias("e1"), F.col("y").alias("y1"), "literal", F.col("inv").alias("i1"))
+    two = two.select(F.col("r").alias("r2"), F.col("x").alias("e2"), F.col("y").alias("y2"), F.col("literal").alias("literal2"), F.col("inv").alias("i2"))
     values = one.where("literal").join(two.where("literal2"), F.col("y1") == F.col("y2")).withColumn("p", F.lit(1.0))
     nodes = one.where("not literal").join(equal.select(F.col("e1").alias("y1"), F.col("e2").alias("y2"), F.col("score").alias("p")), "y1").join(two.where("not literal2"), "y2")
     cols = ["r1", "r2", "e1", "e2", "i1", "i2", "p"]
@@ -48,8 +49,34 @@ def equality(facts: DataFrame, equal: DataFrame, sub: DataFrame | None, start: f
         fixed = F.col("r1") == "value"
         t = t.withColumns({k: F.when(fixed & (F.col("r2") == "value"), 1.0).otherwise(F.col(k)) for k in ("s12", "s21")})
     miss = (1 - F.col("s21") * F.col("i1") * F.col("p")) * (1 - F.col("s12") * F.col("i2") * F.col("p"))
-    t = t.groupBy("e1", "e2").agg((1 - F.exp(F.sum(F.log(F.greatest(miss, F.lit(1e-12)))))).alias("score"))
-    return t.select("e1", "e2", F.round("score", 9).alias("score")).where("score > 0")
+    return t.groupBy("e1", "e2").agg(F.sum(F.log(F.greatest(miss, F.lit(1e-12)))).alias("miss"))
+
+
+def equality(facts: DataFrame, equal: DataFrame, sub: DataFrame | None, start: float, keep: int) -> DataFrame:
+    """(e1, e2, score): the noisy-or over statement pairs whose objects are equal; holds the `keep` best of each e1.
+
+    Two hot statements never meet entity by entity: entities with the same hot statements form a group, groups meet, and
+    of a group's partners only the first can be among the best unless other statements, which do meet, speak for them.
+    """
+    f = facts.join(F.broadcast(inverse_functionality(facts)), ["kg", "r"])
+    said = F.to_json(F.sort_array(F.collect_set(F.struct("r", "y"))))
+    groups = checkpointed(facts.where("hot").groupBy("kg", "x").agg(F.sha2(said, 256).alias("g")))
+    shared = f.where("hot").join(groups, ["kg", "x"]).select("kg", "r", F.col("g").alias("x"), "y", "literal", "inv").distinct()
+    side = lambda t, i: t.where(F.col("kg") == f"kg{i}")
+    score = lambda miss: F.round(1 - F.exp(miss), 9).alias("score")
+    common = checkpointed(evidence(side(shared, 1), side(shared, 2), equal, sub, start).select(F.col("e1").alias("g1"), F.col("e2").alias("g2"), F.col("miss").alias("more")))
+    one, two = side(f, 1), side(f, 2)
+    cold = evidence(one.where("not hot"), two, equal, sub, start).union(evidence(one.where("hot"), two.where("not hot"), equal, sub, start))
+    cold = cold.groupBy("e1", "e2").agg(F.sum("miss").alias("miss"))
+    g1, g2 = (side(groups, i).select(F.col("x").alias(f"e{i}"), F.col("g").alias(f"g{i}")) for i in (1, 2))
+    met = cold.join(g1, "e1", "left").join(g2, "e2", "left").join(common, ["g1", "g2"], "left")
+    met = met.select("e1", "e2", score(F.col("miss") + F.coalesce("more", F.lit(0.0))))
+    first = g2.withColumn("_r", F.row_number().over(W.partitionBy("g2").orderBy("e2"))).where(F.col("_r") <= keep).drop("_r")
+    best = F.row_number().over(W.partitionBy("g1").orderBy(F.desc("score"), "e2"))
+    only = common.select("g1", "g2", score(F.col("more"))).join(first, "g2").withColumn("_r", best).where(F.col("_r") <= keep)
+    t = met.union(only.join(g1, "g1").select("e1", "e2", "score"))
+    # a pair in both has its whole score in the first
+    return t.groupBy("e1", "e2").agg(F.max("score").alias("score")).where("score > 0")
 
 
 def subrelations(facts: DataFrame, equal: DataFrame) -> DataFrame:
@@ -67,13 +94,13 @@ def subrelations(facts: DataFrame, equal: DataFrame) -> DataFrame:
     return both.join(F.broadcast(d1), "r1").join(F.broadcast(d2), "r2").select("r1", "r2", share("d1").alias("s12"), share("d2").alias("s21"))
 
 
-def paris_scores(pair: KGPair, rounds: int = 4, start: float = 0.1, keep: int = 3) -> DataFrame:
+def paris_scores(pair: KGPair, rounds: int = 4, start: float = 0.1, keep: int = 3, hot: int = 50) -> DataFrame:
     """Rounds of equality and subrelation estimates; each entity keeps its few best, and between rounds its best match."""
-    facts = checkpointed(statements(pair))
+    facts = checkpointed(statements(pair, hot))
     equal = facts.sparkSession.createDataFrame([], "e1 string, e2 string, score double")
     sub = None
     for _ in range(rounds):
-        scores = checkpointed(top_k(equality(facts, equal, sub, start), keep))
+        scores = checkpointed(top_k(equality(facts, equal, sub, start, keep), keep))
         best = F.row_number().over(W.partitionBy("e1").orderBy(F.desc("score"), "e2"))
         equal = checkpointed(scores.withColumn("_r", best).where("_r = 1").drop("_r"))
         sub = checkpointed(subrelations(facts, equal))

@@ -8,6 +8,7 @@ from itertools import product
 import pytest
 
 from alignscope.model import ALIGN, ATTR, REL, KGPair
+from alignscope.operators import paris
 from alignscope.queries import base, registry
 
 L, R = "http://left.example/", "http://right.example/resource/"
@@ -203,3 +204,53 @@ def test_structure_uses_every_relation_and_five_rounds(run):
         seeds |= {(a, b) for a, (b, m) in lead.items() if m >= 0.1}
     want = {(a, b): m for a, (b, m) in lead.items() if m >= 0.1}
     assert {r[:2]: r[2] for r in run("structural_full")} == pytest.approx(want, abs=2e-6) and kinds(want) >= {"p", "s", "o"}
+
+
+# ---------------------------------------------------------------- the fixpoint
+
+
+def test_fixpoint_counts_hub_statements(spark):
+    n = 54  # more than the 50 that make a statement hot
+    rel, attr = [], []
+    for kg, e in (("kg1", "a"), ("kg2", "b")):
+        rel += [(kg, f"{e}{i:02}", "in", f"{e}n{i % 7 == 0:d}") for i in range(n)] + [(kg, f"{e}{i:02}", "by", f"{e}{(i * 5 + 1) % n:02}") for i in range(20)]
+        attr += [(kg, f"{e}{i:02}", "is", '"common"') for i in range(n)] + [(kg, f"{e}{i:02}", "name", f'"x{i % 9}"') for i in range(0, n, 2)] + [(kg, f"{e}n{i}", "name", f'"place {i}"') for i in (0, 1)]
+    pair = KGPair("hubs", spark.createDataFrame(rel, REL), spark.createDataFrame(attr, ATTR), spark.createDataFrame([], ALIGN))
+    facts = {(kg, r, h, t, False) for kg, h, r, t in rel} | {(kg, f"{r}^-1", t, h, False) for kg, h, r, t in rel} | {(kg, "value", h, v.strip('"'), True) for kg, h, _, v in attr}
+    of = defaultdict(list)
+    for f in facts:
+        of[f[:2]].append(f)
+    inv = {k: len({f[3] for f in fs}) / len(fs) for k, fs in of.items()}
+    one, two = ([f for f in facts if f[0] == kg] for kg in ("kg1", "kg2"))
+    equal, sub = {}, None
+    for _ in range(2):
+        miss = defaultdict(float)
+        for (_, r1, x1, y1, l1), (_, r2, x2, y2, l2) in product(one, two):
+            p = float(y1 == y2) if l1 and l2 else equal.get(y1, ("", 0))[1] * (equal.get(y1, ("",))[0] == y2) if not l1 and not l2 else 0
+            if p:
+                s12, s21 = (0.1, 0.1) if sub is None else (1, 1) if l1 else sub.get((r1, r2), (0, 0))
+                miss[x1, x2] += math.log(max((1 - s21 * inv["kg1", r1] * p) * (1 - s12 * inv["kg2", r2] * p), 1e-12))
+        equal = {}
+        for (a, b), m in sorted(miss.items()):
+            if (s := round(1 - math.exp(m), 9)) > equal.get(a, ("", 0))[1]:
+                equal[a] = (b, s)
+        d1, d2, co, s2 = Counter(), Counter(), Counter(), defaultdict(list)
+        back = defaultdict(list)
+        for a, (b, s) in equal.items():
+            back[b].append((a, s))
+        for _, r, x, y, lit in two:
+            if not lit:
+                s2[x, y].append(r)
+                d2[r] += sum(s for _, s in back[x]) * sum(s for _, s in back[y])
+        for _, r, x, y, lit in one:
+            if not lit and x in equal and y in equal:
+                p = equal[x][1] * equal[y][1]
+                d1[r] += p
+                for r2 in s2[equal[x][0], equal[y][0]]:
+                    co[r, r2] += p
+        sub = {(r1, r2): (min(1, c / d1[r1]), min(1, c / d2[r2])) for (r1, r2), c in co.items()}
+    assert len(equal) == n + 2
+    for hot in (50, 3):
+        got = {r.e1: (r.e2, r.score) for r in paris.paris_scores(pair, rounds=2, hot=hot).collect()}
+        assert {a: b for a, (b, _) in got.items()} == {a: b for a, (b, _) in equal.items()}
+        assert {a: s for a, (_, s) in got.items()} == pytest.approx({a: s for a, (_, s) in equal.items()}, abs=1e-7)
