@@ -28,10 +28,28 @@ def token_blocks(records: DataFrame) -> DataFrame:
     return t.join(both, "token", "left_semi").select("kg", "entity", "token")
 
 
-def clean_blocks(blocks: DataFrame, max_comparisons: int = 2500, keep_ratio: float = 0.8) -> DataFrame:
-    """Purges blocks with more comparisons than allowed; each entity then stays in the smallest share of its blocks."""
-    sizes = blocks.groupBy("token").agg((F.count_if(F.col("kg") == "kg1") * F.count_if(F.col("kg") == "kg2")).alias("size")).where((F.col("size") > 0) & (F.col("size") <= max_comparisons))
-    t = blocks.join(sizes, "token")
+def purging_bound(sizes: DataFrame, smoothing: float = 1.025) -> DataFrame:
+    """One row (bound): the most comparisons of a block that purging keeps, from all (size, assigned) of blocks.
+
+    Levels of equal size are dropped from the largest on, as long as that raises assignments per comparison, over all
+    blocks left, by the smoothing factor at least; the least level always stays.
+    """
+    up = W.orderBy("size")
+    t = sizes.groupBy("size").agg(F.sum("assigned").alias("a"), F.sum("size").alias("c"))
+    t = t.select("size", F.sum("a").over(up).cast("double").alias("a"), F.sum("c").over(up).cast("double").alias("c"))
+    t = t.select("size", (F.lag("a").over(up) * F.col("c") < smoothing * F.lag("c").over(up) * F.col("a")).alias("stays"))
+    return t.agg(F.coalesce(F.max(F.when(F.col("stays"), F.col("size"))), F.min("size")).alias("bound"))
+
+
+def clean_blocks(blocks: DataFrame, max_comparisons: int | None = None, keep_ratio: float = 0.8) -> DataFrame:
+    """Purges blocks above purging_bound (or a given number of comparisons); each entity then stays in the smallest share of its blocks."""
+    one, two = F.count_if(F.col("kg") == "kg1"), F.count_if(F.col("kg") == "kg2")
+    sizes = blocks.groupBy("token").agg((one * two).alias("size"), (one + two).alias("assigned")).where(F.col("size") > 0)
+    if max_comparisons is None:
+        sizes = sizes.join(F.broadcast(purging_bound(sizes)), F.col("size") <= F.col("bound"))
+    else:
+        sizes = sizes.where(F.col("size") <= max_comparisons)
+    t = blocks.join(sizes.select("token", "size"), "token")
     by = W.partitionBy("kg", "entity")
     t = t.withColumns({"_r": F.row_number().over(by.orderBy("size", "token")), "_n": F.count("*").over(by)})
     return t.where(F.col("_r") <= F.ceil(F.col("_n") * keep_ratio)).select("kg", "entity", "token")
@@ -58,7 +76,7 @@ def ngram_cosine(records: DataFrame, edges: DataFrame, n: int = 3) -> DataFrame:
     return edges.join(one, "e1").join(two, "e2").select("e1", "e2", F.round(common / F.sqrt(F.size("g1").cast("double") * F.size("g2")), 9).alias("score"))
 
 
-def candidate_graph(pair: KGPair, n: int = 3, max_comparisons: int = 2500, keep_ratio: float = 0.8) -> DataFrame:
+def candidate_graph(pair: KGPair, n: int = 3, max_comparisons: int | None = None, keep_ratio: float = 0.8) -> DataFrame:
     """What a sweep over thresholds computes once."""
     records = checkpointed(entity_records(pair))
     return ngram_cosine(records, meta_blocking(clean_blocks(token_blocks(records), max_comparisons, keep_ratio)), n)

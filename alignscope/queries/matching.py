@@ -168,11 +168,11 @@ _EDGES = f"""{_BLOCKS}, one as (select token, entity as e1 from cl where kg = 'k
 ed0 as (select e1, e2, count(*) as common from one join two using (token) group by all), ed as (select e1, e2, round(common / (n1 + n2 - common) * log10((select count(*) from ed0) / count(*) over (partition by e1)) * log10((select count(*) from ed0) / count(*) over (partition by e2)), 9) as weight
   from ed0 join (select e1, count(*) as n1 from one group by e1) using (e1) join (select e2, count(*) as n2 from two group by e2) using (e2)), mb as (select * from ed where weight >= (select round(avg(weight), 9) from ed))"""
 query("entity_records", f""", {_BLOCKS} select kg, entity, text from rec""")(lambda p: K.entity_records(small_pair(p)))
-query("token_blocks", f""", {_BLOCKS} select kg, entity, token from cl""")(lambda p: K.clean_blocks(K.token_blocks(K.entity_records(small_pair(p)))))
-query("meta_blocking_weights", f""", {_EDGES} select e1, e2, {r6("weight")} as weight from mb""")(lambda p: K.meta_blocking(K.clean_blocks(K.token_blocks(K.entity_records(small_pair(p))))))
+query("token_blocks", f""", {_BLOCKS} select kg, entity, token from cl""")(lambda p: K.clean_blocks(K.token_blocks(K.entity_records(small_pair(p))), 2500))
+query("meta_blocking_weights", f""", {_EDGES} select e1, e2, {r6("weight")} as weight from mb""")(lambda p: K.meta_blocking(K.clean_blocks(K.token_blocks(K.entity_records(small_pair(p))), 2500)))
 _SIM = f"""{_EDGES}, gr as (select kg, entity, list_distinct(case when length(text) >= 3 then list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) else [text] end) as g from rec),
 sim as (select e1, e2, round(len(list_intersect(x.g, y.g)) / sqrt(len(x.g)::double * len(y.g)), 9) as score from mb join gr x on x.kg = 'kg1' and x.entity = e1 join gr y on y.kg = 'kg2' and y.entity = e2)"""
-query("ngram_similarity", f""", {_SIM} select e1, e2, {r6("score")} as score from sim""")(lambda p: K.candidate_graph(small_pair(p)))
+query("ngram_similarity", f""", {_SIM} select e1, e2, {r6("score")} as score from sim""")(lambda p: K.candidate_graph(small_pair(p), max_comparisons=2500))
 # over the whole graph, orders and parts included; no SQL, compared with brute force on a small fixture
 query("entity_records_whole")(K.entity_records)
 query("token_blocks_whole")(lambda p: K.clean_blocks(K.token_blocks(K.entity_records(p))))
