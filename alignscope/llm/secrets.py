@@ -23,6 +23,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 CLASSES = {"hex": ("0123456789abcdef", 20, 3.05, True), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 20, 3.7, False)}
 #: A candidate that contains one of these is no secret: placeholders, counted-up samples, paths, words and bare numbers.
 ALLOW = "(?i:example|sample|placeholder|changeme|xxxxxx|0123456789|abcdefghij)|^[A-Za-z+/_=-]+$|^[0-9+/_=-]+$|^(?:[A-Za-z0-9]{1,19}[+/_=-])+[A-Za-z0-9]{0,19}$"
+#: ALLOW with paths only of words: every segment holds letters or digits alone, as random keys hardly do.
+ALLOW_WORDS = ALLOW.removesuffix("|^(?:[A-Za-z0-9]{1,19}[+/_=-])+[A-Za-z0-9]{0,19}$") + "|^(?:(?:[A-Za-z]{1,19}|[0-9]{1,19})[+/_=-])+(?:[A-Za-z]{0,19}|[0-9]{0,19})$"
 
 _EMPTY = "cast(array() as array<struct<start:int,rank:int,stop:int>>)"
 
@@ -71,7 +73,7 @@ def _step(width: int, least: float, f) -> str:
         'hi', if({high}, e.i + 1, s.hi))), 1)"""
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: str = ALLOW) -> DataFrame:
     """One row per row of docs: (doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans).
 
     spans lists kind:start:end in code points by start, then kind, comma-joined; base_sha256 is the digest of the
@@ -89,7 +91,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the windows of each candidate that the allow-list lets through
     none = "named_struct('lo', -1, 'hi', -1)"
     scored = ", ".join(f"{_entropy(k)}" for k in CLASSES)
-    t = t.withColumn("xe", F.expr(f"transform(x, x -> case when x rlike {q(ALLOW)} then array({', '.join([none] * len(CLASSES))}) else array({scored}) end)"))
+    t = t.withColumn("xe", F.expr(f"transform(x, x -> case when x rlike {q(allow)} then array({', '.join([none] * len(CLASSES))}) else array({scored}) end)"))
     t = t.withColumn("xl", F.expr("transform(xe, w -> array_min(transform(filter(w, v -> v.lo >= 0), v -> v.lo)))")).withColumn("xh", F.expr("transform(xe, w -> array_max(transform(w, v -> v.hi)))"))
     t = t.select(
         "doc_id",
@@ -112,6 +114,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def query_random_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As query, but keys whose segments mix letters and digits are not taken for paths."""
+    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), allow=ALLOW_WORDS)
+
+
 def _duck_spans(kind: int, rx: str, keep: str = "true") -> str:
     rx = rx.replace("'", "''")
     return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{rx}', 0)) + 1), lambda i: struct_pack(
