@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from alignscope.llm.common import stored
 from alignscope.llm.decontaminate import decontaminate
 from alignscope.llm.exact_dedup import exact_dedup
-from alignscope.llm.language_id import learn_and_predict
+from alignscope.llm.language_id import held_out, language_id, train
 from alignscope.llm.near_dup import jaccard_join
 from alignscope.llm.sentencepiece_trie import MODEL_FILE, encode, model_content, round_trip
 
@@ -21,32 +21,56 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.3
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, stored so that every read sees the same one."""
+    return stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(kept.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def name_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a letter and a language of at least LEAST_SHARE; learns from their labels."""
-    return _keep(docs, learn_and_predict(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)))
+    """Keeps documents with a letter and a language of at least LEAST_SHARE; learns from their labels.
+
+    Every row is decided by its own text, rows with a null or repeated id too; rows with a null id are not learned from.
+    """
+    keyed = _keyed(docs)
+    found = language_id(keyed, train(keyed.where(~held_out()).select("text", "lang")), id_col="_row")
+    return _keep(keyed, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(F.col("doc_id").alias("_row")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of equal texts."""
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    """Keeps the row with the largest doc_id of equal texts.
+
+    One row of each text, also where rows repeat an id and text; a row with a null id stays only if no other has an id.
+    """
+    keyed = _keyed(docs)
+    groups = exact_dedup(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
+    best = keyed.select("doc_id", "_row").join(groups, "_row").groupBy("_group").agg(F.max(F.struct("doc_id", "_row")).alias("_best"))
+    return _keep(keyed, best.select("_best._row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of the near-duplicate join."""
-    return _keep(docs, jaccard_join(docs).where("doc_id = class_id"))
+    """Keeps the document with the least doc_id of each class of the near-duplicate join.
+
+    One row of each class of texts, whatever ids they repeat; a row with a null id stays only if no other has an id.
+    """
+    keyed = _keyed(docs)
+    classes = jaccard_join(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_group"))
+    best = keyed.select("doc_id", "_row").join(classes, "_row").groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("_best"))
+    return _keep(keyed, best.select("_best._row"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without a window of a benchmark item."""
-    return _keep(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"))
+    """Keeps documents without a window of a benchmark item; every row is decided by its own text, whatever its id."""
+    keyed = _keyed(docs)
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    return _keep(keyed, found.where("not contaminated").select(F.col("doc_id").alias("_row")))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_ids, round_trip): the piece ids, and whether they decode to the text."""
+    """(doc_id, ids, n_ids, round_trip): the piece ids, and whether they decode to the text; one row per row."""
     coded = encode(docs, model_content(MODEL_FILE), decoded=True)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), round_trip().alias("round_trip"))
 
