@@ -23,6 +23,8 @@ IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
 #: Bytes as the trigrams see them: A-Z folded, everything but letters (and bytes from 0x80 on) a space.
 SEEN = np.where(IS_LETTER, FOLD, 32).astype(np.uint32)
 BUCKETS = 1 << 16
+#: Up to so many languages a task counts in one table; beyond that, chunk by chunk, and chunks to predict are smaller.
+DENSE = 64
 
 
 class Letters:
@@ -47,7 +49,7 @@ class Letters:
 def _counts(langs: list[str]):
     place = {x: i for i, x in enumerate(langs)}
 
-    def run(batches):
+    def few(batches):
         n = np.zeros((len(langs), BUCKETS), np.int64)
         for batch in batches:
             for part, data, offsets in chunks(batch, "text"):
@@ -57,7 +59,15 @@ def _counts(langs: list[str]):
         i, j = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j], pa.int64())], ["lang", "bucket", "n"])
 
-    return lean(run)
+    def many(batches):
+        for batch in batches:
+            for part, data, offsets in chunks(batch, "text"):
+                letters = Letters(data, offsets)
+                lang = np.repeat(np.array([place[x] for x in part.column(0).to_pylist()], np.int64), np.diff(letters.doc_letters))
+                key, n = np.unique(lang * BUCKETS + letters.bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // BUCKETS, pa.int32()), pa.array(key % BUCKETS, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+
+    return lean(few if len(langs) <= DENSE else many)
 
 
 class Model:
@@ -67,13 +77,13 @@ class Model:
         self.log_p = np.log(p / p.sum(1, keepdims=True)).astype(np.float32) if len(langs) else np.zeros((0, BUCKETS), np.float32)
 
 
-def train(labelled: DataFrame, max_languages: int = 64) -> Model:
-    """Trigram counts of all labelled rows (text, lang); languages beyond the max_languages most frequent are not learned."""
+def train(labelled: DataFrame) -> Model:
+    """Trigram counts of all labelled rows (text, lang), for every label."""
     labelled = labelled.where("text is not null and lang is not null")
-    langs = sorted(r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+    langs = sorted(r.lang for r in labelled.select("lang").distinct().collect())
     counts = np.zeros((len(langs), BUCKETS))
     if langs:
-        rows = labelled.where(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(_counts(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        rows = labelled.select("lang", "text").mapInArrow(_counts(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
         counts[rows.lang, rows.bucket] = rows.n
     return Model(langs, counts)
 
@@ -82,11 +92,12 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, starts, axis=-1) if len(starts) else np.zeros((*x.shape[:-1], 0), x.dtype)
 
 
-def mixture(loglik: np.ndarray, starts: np.ndarray, rounds: int = 8, penalty: float = 2.0, max_set: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def mixture(loglik: np.ndarray, starts: np.ndarray, rounds: int = 8, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (languages x documents, zero outside the chosen set) and the score of each document.
 
     loglik: languages x words; starts: the first word of each document, each with one word at least. A further
-    language has to raise the log-likelihood by more than penalty * (1 + log(words)) / 2.
+    language has to raise the log-likelihood by more than penalty * (1 + log(words)) / 2. Sets grow as long as the next
+    language has a share of more than 0.01 and of one word at least.
     """
     n_lang, n_words = loglik.shape
     doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n_words)))
@@ -114,7 +125,7 @@ def mixture(loglik: np.ndarray, starts: np.ndarray, rounds: int = 8, penalty: fl
         score = 1 / np.exp(np.clip(singles - singles.max(0), -700, 0)).sum(0)
     # documents whose second language has a share worth a test
     order = np.argsort(-share, axis=0, kind="stable")
-    for k in range(2, min(n_lang, max_set) + 1):
+    for k in range(2, n_lang + 1):
         kth = np.take_along_axis(share, order[k - 1 : k], 0)[0]
         some = np.flatnonzero((kth * words >= 1) & (kth > 0.01))
         if not len(some):
@@ -139,7 +150,7 @@ def _predict(model: Model):
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text", 1 << 19):
+            for part, data, offsets in chunks(batch, "text", (1 << 19) * DENSE // max(DENSE, len(model.langs))):
                 letters = Letters(data, offsets)
                 count = np.diff(letters.doc_words)
                 full = np.flatnonzero(count)
