@@ -1,5 +1,6 @@
 """The operators on texts against brute force, with nulls, ties, repeated rows, empty tables and clashing columns."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -276,9 +277,10 @@ def test_arc_headers_of_both_versions():
     body = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nhello\n\nworld"
     for v in (1, 2):
         data = warc.version_block(v, "x.arc", "20010203040506") + warc.arc_record(v, "http://a b/é", "20010203040506", body) + warc.arc_record(v, "", "2001", b"")
-        (first, b1), (second, b2) = warc.parse_arc(data)
-        assert (first["URL"], b1, second["URL"], b2) == ("http://a%20b/%C3%A9", body, "-", b"")
-        assert list(first) == warc.FIELDS[v].split(" ")
+        for raw in (data, gzip.compress(data), gzip.compress(data[:40]) + warc.NOTHING + gzip.compress(data[40:])):
+            (at, first, b1), (_, second, b2) = warc.parse_arc(raw)
+            assert (first["URL"], b1, second["URL"], b2) == ("http://a%20b/%C3%A9", body, "-", b"")
+            assert list(first) == warc.FIELDS[v].split(" ") and data[at:].startswith(b"http://a%20b")
     with pytest.raises(ValueError):
         list(warc.parse_arc(data[:-20]))
     with pytest.raises(ValueError):
@@ -288,31 +290,63 @@ def test_arc_headers_of_both_versions():
 
 def test_warc_records_read_back():
     row = {"URL": "http://a/", "IP-address": "1.2.3.4", "Archive-date": "20010203040506", "Content-type": "text/html"}
-    a = warc.warc_record(row, b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\n\r\n", "n")
-    b = warc.warc_record(row, b"no http", "m")
-    (_, h1, k1), (_, h2, k2) = warc.parse_warc(a + b)
-    assert (k1, k2, h1["WARC-Type"], h2["Content-Type"]) == (b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\n\r\n", b"no http", "response", "text/html")
-    assert h1["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"WARC/1.1\r\n\r\n").hexdigest() and h1["WARC-Record-ID"] != h2["WARC-Record-ID"]
+    a = warc.warc_record(row, b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\n\r\n", "n", 7)
+    b = warc.warc_record(row, b"no http", "n", 8)
+    for raw in (a + b, gzip.compress(a) + warc.NOTHING + gzip.compress(b) + warc.NOTHING):
+        (_, h1, k1), (_, h2, k2) = warc.parse_warc(raw)
+        assert (k1, k2, h1["WARC-Type"], h2["Content-Type"]) == (b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\n\r\n", b"no http", "response", "text/html")
+        assert h1["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"WARC/1.1\r\n\r\n").hexdigest() and h1["WARC-Record-ID"] != h2["WARC-Record-ID"]
     with pytest.raises(ValueError):
         list(warc.parse_warc(a[:-5]))
 
 
-def test_archive_pages(spark):
-    html = ["x" * 99, "x" * 100, "é" * 50, "é" * 49, "", None, "a\r\n\r\nb" * 40, "WARC/1.1\r\n" * 30, "\x00" * 120]
-    pages = [(i, None if i % 5 == 0 else f"http://h/{i} ü\n?x", html[i % len(html)]) for i in range(40)]
-    df = spark.createDataFrame([(*p, "n", b"") for p in pages], "page_id long, url string, html string, name string, arc binary").repartition(3)
+def archived(pages):
+    """What archive_pages returns for pages with ids, by hand."""
     first = {}
-    for i, _, h in pages:
+    for i, _, h in sorted(pages, key=lambda p: p[0]):
         first.setdefault(h or "", i)
-    want = []
+    out = []
     for i, _, h in pages:
         raw = (h or "").encode()
         other = first[h or ""] if len(raw) >= 100 and first[h or ""] != i else None
-        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "response" if other is None else "revisit", other))
-    assert rows(warc.archive_pages(df).drop("record_id")) == sorted(want, key=repr)
+        out.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "response" if other is None else "revisit", other))
+    return sorted(out, key=repr)
+
+
+def test_archive_pages(spark):
+    html = ["x" * 99, "x" * 100, "é" * 50, "é" * 49, "", None, "a\r\n\r\nb" * 40, "WARC/1.1\r\n" * 30, "\x00" * 120, "\x1f\x8b\x08" * 50]
+    pages = [(i, None if i % 5 == 0 else f"http://h/{i} ü\n?x", html[i % len(html)]) for i in range(40)] + [(100, "http://long/", "Zeile \n" * 500_000)]
+    pages += [(2, "http://again/", "é" * 50)] * 2 + [(-3, "u", "é" * 50)] + [pages[1]] * 2
+    df = spark.createDataFrame([(*p, "n", b"") for p in pages], "page_id long, url string, html string, name string, arc binary").repartition(3)
+    assert rows(warc.archive_pages(df).drop("record_id")) == archived(pages)
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_archive_pages_without_ids(spark):
+    df = spark.createDataFrame([(None, "a", "q" * 200), (None, "b", "q" * 200), (None, "c", None), (None, "d", "r" * 200), (4, "e", "r" * 200)], "page_id long, url string, html string").coalesce(1)
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(df).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 200, "response", None), (None, 200, "revisit", None), (None, 0, "response", None), (None, 200, "revisit", 4), (4, 200, "response", None)], key=repr)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_of_others(spark, tmp_path, version):
+    # records without a page id, of bytes that are no UTF-8, several in a file, plain and gzipped
+    latin, same = b"HTTP/1.0 200 OK\r\nServer: \xe9\r\n\r\ncaf\xe9 \xff\x00" + b"-" * 200, b"HTTP/1.0 200 OK\r\n\r\n" + b"same" * 50
+    bodies = [latin, same, b"no header \xfe", same, b"", b"GIF89a" + bytes(range(256)) * 4]
+    block = warc.version_block(version, "x.arc", "1999")
+    files = [("a.arc", block + b"".join(warc.arc_record(version, f"http://h/{i}", "199912", b) for i, b in enumerate(bodies))), ("b.arc", gzip.compress(block) + gzip.compress(warc.arc_record(version, "http://h/9", "2000", same).replace(b"http://h/9", b"http://h/\xe9"))), ("none.arc", block)]
+    for limit in (1, 1 << 20):
+        out = str(tmp_path / f"warc{limit}")
+        warc.convert(spark.createDataFrame(files, "name string, arc binary").repartition(2), out, file_bytes=limit)
+        got = sorted(tuple(r) for r in warc.resolve(warc.read_warc(spark, out)).select("url", "payload_bytes", "payload_digest", "record_type").collect())
+        payload = lambda b: b.partition(b"\r\n\r\n")[2] if b.startswith(b"HTTP") else b
+        want = [(f"http://h/{i}", len(payload(b)), hashlib.sha256(payload(b)).hexdigest(), "revisit" if i == 3 else "response") for i, b in enumerate(bodies)]
+        want.append(("http://h/%E9", 200, hashlib.sha256(b"same" * 50).hexdigest(), "revisit"))
+        assert got == sorted(want)
+        blocks = [b for p in (tmp_path / f"warc{limit}").glob("part-*") for _, h, b in warc.parse_warc(p.read_bytes()) if h["WARC-Type"] == "response"]
+        assert sorted(blocks) == sorted(b for i, b in enumerate(bodies) if i != 3)
+
+
 # ---------------------------------------------------------------- 1
 
 
