@@ -13,6 +13,8 @@ would, without merging.
 
 from __future__ import annotations
 
+import itertools
+import os.path
 import re
 from array import array
 from functools import lru_cache
@@ -55,6 +57,7 @@ class PieceModel:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.longest = max(map(len, self.id), default=1)
+        self.remembered = 100
         #: all pieces that end at a place of a word
         self.ending = ahocorasick.Automaton()
         for p, i in self.id.items():
@@ -93,30 +96,32 @@ class PieceModel:
     def encode_sorted(self, words: list[str]):
         """Yields (word, ids as int32 bytes) for sorted distinct words, keeping the states of the prefix shared with the word before.
 
-        The state of a position: score of the best path to it, that path's last piece and its ids (int32 bytes).
+        The state of a position: score of the best path to it, that path's last piece and the ids of that piece (int32
+        bytes). The piece's length points back to the state before it, so memory grows with a word's length alone.
         """
         extend = self._extend_bpe if self.kind == BPE else self._extend_unigram
-        scores, pieces, paths = [0.0], [""], [b""]
+        scores, pieces, coded = array("d", [0.0]), [""], [b""]
         last = ""
         for word in words:
-            shared = 0
-            for a, b in zip(last, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del scores[shared + 1 :], pieces[shared + 1 :], paths[shared + 1 :]
+            shared = len(os.path.commonprefix([last, word]))
+            del scores[shared + 1 :], pieces[shared + 1 :], coded[shared + 1 :]
             last = word
-            extend(word, shared, scores, pieces, paths)
-            yield word, paths[-1]
-
-    def _extend_bpe(self, word: str, done: int, scores: list, pieces: list, paths: list) -> None:
+            extend(word, shared, scores, pieces, coded)
+            path, at = [], len(word)
+            while at:
+                path.append(coded[at])
+                at -= len(pieces[at])
+            path.reverse()
+            yield word, b"".join(path)
+
+    def _extend_bpe(self, word: str, done: int, scores: array, pieces: list, coded: list) -> None:
         """Adds the states after `done`; the first admissible edge is the only one."""
         apart = self._apart.get
-        for at, (size, piece, score, coded) in self.ending.iter(word, max(0, done + 1 - self.longest)):
+        for at, (size, piece, score, ids) in self.ending.iter(word, max(0, done + 1 - self.longest)):
             if at < done:
                 continue
             while done < at:
-                self._add_bytes(word, done, scores, pieces, paths)
+                self._add_bytes(word, done, scores, pieces, coded)
                 done += 1
             start = at + 1 - size
             ok = apart((pieces[start], piece))
@@ -125,34 +130,35 @@ class PieceModel:
             if ok:
                 scores.append(scores[start] + score)
                 pieces.append(piece)
-                paths.append(paths[start] + coded)
+                coded.append(ids)
                 done = at + 1
         while done < len(word):
-            self._add_bytes(word, done, scores, pieces, paths)
+            self._add_bytes(word, done, scores, pieces, coded)
             done += 1
 
-    def _extend_unigram(self, word: str, done: int, scores: list, pieces: list, paths: list) -> None:
+    def _extend_unigram(self, word: str, done: int, scores: array, pieces: list, coded: list) -> None:
         """Adds the states after `done`; of equal sums the longer last piece wins."""
-        edges: list[list] = [[] for _ in range(len(word))]
-        for at, edge in self.ending.iter(word, max(0, done + 1 - self.longest)):
-            edges[at].append(edge)
+        ending = itertools.groupby(self.ending.iter(word, max(0, done + 1 - self.longest)), lambda e: e[0])
+        place, edges = next(ending, (len(word), ()))
         for at in range(done, len(word)):
-            best = max(((scores[at + 1 - e[0]] + e[2], e[0], e) for e in edges[at]), default=None)
+            while place < at:
+                place, edges = next(ending, (len(word), ()))
+            best = max(((scores[at + 1 - e[0]] + e[2], e[0], e) for _, e in edges), default=None) if place == at else None
             if word[at] not in self.id and (best is None or scores[at] + self.unknown > best[0]):
-                self._add_bytes(word, at, scores, pieces, paths)
+                self._add_bytes(word, at, scores, pieces, coded)
             else:
-                size, piece, _, coded = best[2]
+                _, piece, _, ids = best[2]
                 scores.append(best[0])
                 pieces.append(piece)
-                paths.append(paths[at + 1 - size] + coded)
+                coded.append(ids)
 
-    def _add_bytes(self, word: str, at: int, scores: list, pieces: list, paths: list) -> None:
+    def _add_bytes(self, word: str, at: int, scores: array, pieces: list, coded: list) -> None:
         """The state after a character that is no piece: an edge of its own, its bytes stand for it."""
         if word[at] in self.id:
-            raise ValueError(f"no admissible path to {at + 1} of {word!r}")
+            raise ValueError(f"no admissible path to {at + 1} of a word of {len(word)} characters")
         scores.append(scores[at] + self.unknown)
         pieces.append(word[at])
-        paths.append(paths[at] + array("i", [self.byte[b] for b in word[at].encode("utf-8", "surrogatepass")]).tobytes())
+        coded.append(array("i", [self.byte[b] for b in word[at].encode("utf-8", "surrogatepass")]).tobytes())
 
     # ------------------------------------------------------------ whole texts, column by column
 
@@ -180,6 +186,9 @@ class PieceModel:
         for word, ids in self.encode_sorted(sorted(fresh - again)):
             known[word] = ids
         coded = [known[w] for w in distinct]
+        for word in distinct:  # only short words are worth the memory
+            if len(word) > self.remembered:
+                known.pop(word, None)
         bounds = np.cumsum([0, *map(len, coded)]) // 4
         by_word = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
         ids = by_word.take(words.indices)

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -433,6 +434,28 @@ def test_encoding_is_the_librarys(spark, content):
     assert sentencepiece_trie.encode(cases.empty(spark), content).count() == 0
 
 
+@pytest.mark.parametrize("kind", [sentencepiece_trie.BPE, sentencepiece_trie.UNIGRAM])
+def test_a_long_word_takes_memory_in_proportion(content, kind):
+    import pyarrow as pa
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(content)
+    m.trainer_spec.model_type = kind
+    model = sentencepiece_trie.PieceModel(m.SerializeToString())
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzAB0é你") for _ in range(150_000))
+    tracemalloc.start()
+    ids = model.encode_texts(pa.array([word, word[:20], None]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 << 20  # 1,000,000 characters: under 500 MB
+    assert model.decode_ids(ids).to_pylist() == [word, word[:20], ""] and max(map(len, model.known)) < 100
+    if kind == sentencepiece_trie.BPE:
+        assert ids[0].as_py() == sentencepiece.SentencePieceProcessor(model_proto=content).encode(word)
+
+
 def test_unigram_paths_are_the_best(content):
     from sentencepiece import sentencepiece_model_pb2
 
