@@ -4,6 +4,9 @@ Every word has a likelihood under each language from the character trigrams of t
 Expectation-maximisation estimates the language proportions of a document as weights of a mixture of word
 likelihoods; the set of its languages is the one with the best penalised likelihood among the sets of its largest
 proportions.
+
+Rows are worked off in chunks of bounded size. A text that is longer than a chunk is read piece by piece, several times
+over, so that memory does not grow with it; the result is the same.
 """
 
 from __future__ import annotations
@@ -25,18 +28,32 @@ SEEN = np.where(IS_LETTER, FOLD, 32).astype(np.uint32)
 BUCKETS = 1 << 16
 #: Up to so many languages a task counts in one table; beyond that, chunk by chunk, and chunks to predict are smaller.
 DENSE = 64
+#: Bytes of a long text that are held at a time.
+PIECE = 1 << 20
+
+
+def pieces(data: np.ndarray, size: int):
+    """Letters of one text, `size` bytes at a time."""
+    for i in range(0, len(data), size):
+        part = data[i : i + size]
+        yield Letters(part, np.array([0, len(part)]), int(data[i - 1]) if i else 32, int(data[i + size]) if i + size < len(data) else 32)
 
 
 class Letters:
-    """The letters of a chunk: bucket of the trigram around each, and the words and documents they form."""
+    """The letters of a chunk: bucket of the trigram around each, and the words and documents they form.
+
+    left, right: the bytes around a chunk that is a piece of a text.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, left: int = 32, right: int = 32):
         seen = SEEN[data]
         inside = IS_LETTER[data]
-        before, after = np.full(len(data), 32, np.uint32), np.full(len(data), 32, np.uint32)
+        before, after = np.full(len(data), SEEN[left], np.uint32), np.full(len(data), SEEN[right], np.uint32)
         before[1:], after[:-1] = seen[:-1], seen[1:]
         before[offsets[:-1][offsets[:-1] < len(data)]] = 32
         after[offsets[1:][offsets[1:] > 0] - 1] = 32
+        if len(data):
+            before[0], after[-1] = SEEN[left], SEEN[right]
         at = np.flatnonzero(inside)
         tri = (before[at] << np.uint32(16)) | (seen[at] << np.uint32(8)) | after[at]
         self.bucket = ((tri * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
@@ -49,23 +66,25 @@ class Letters:
 def _counts(langs: list[str]):
     place = {x: i for i, x in enumerate(langs)}
 
-    def few(batches):
-        n = np.zeros((len(langs), BUCKETS), np.int64)
+    def found(batches):
+        """(language, bucket) of every letter as one number."""
         for batch in batches:
             for part, data, offsets in chunks(batch, "text"):
-                letters = Letters(data, offsets)
-                lang = np.repeat(np.array([place[x] for x in part.column(0).to_pylist()], np.int64), np.diff(letters.doc_letters))
-                n += np.bincount(lang * BUCKETS + letters.bucket, minlength=n.size).reshape(n.shape)
+                of = np.array([place[x] for x in part.column(0).to_pylist()], np.int64)
+                for letters in [Letters(data, offsets)] if len(part) > 1 or len(data) <= PIECE else pieces(data, PIECE):
+                    yield np.repeat(of, np.diff(letters.doc_letters)) * BUCKETS + letters.bucket
+
+    def few(batches):
+        n = np.zeros((len(langs), BUCKETS), np.int64)
+        for key in found(batches):
+            n += np.bincount(key, minlength=n.size).reshape(n.shape)
         i, j = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j], pa.int64())], ["lang", "bucket", "n"])
 
     def many(batches):
-        for batch in batches:
-            for part, data, offsets in chunks(batch, "text"):
-                letters = Letters(data, offsets)
-                lang = np.repeat(np.array([place[x] for x in part.column(0).to_pylist()], np.int64), np.diff(letters.doc_letters))
-                key, n = np.unique(lang * BUCKETS + letters.bucket, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key // BUCKETS, pa.int32()), pa.array(key % BUCKETS, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+        for key in found(batches):
+            key, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // BUCKETS, pa.int32()), pa.array(key % BUCKETS, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
 
     return lean(few if len(langs) <= DENSE else many)
 
@@ -92,26 +111,31 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, starts, axis=-1) if len(starts) else np.zeros((*x.shape[:-1], 0), x.dtype)
 
 
-def mixture(loglik: np.ndarray, starts: np.ndarray, rounds: int = 8, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+ROUNDS, SETTLED = 40, 1e-3
+
+
+def mixture(loglik: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (languages x documents, zero outside the chosen set) and the score of each document.
 
-    loglik: languages x words; starts: the first word of each document, each with one word at least. A further
-    language has to raise the log-likelihood by more than penalty * (1 + log(words)) / 2. Sets grow as long as the next
-    language has a share of more than 0.01 and of one word at least.
+    loglik: languages x words; starts: the first word of each document, each with one word at least. EM ends when no
+    proportion moves by more than SETTLED, or after `rounds`. A further language has to raise the log-likelihood by more
+    than penalty * (1 + log(words)) / 2. Sets grow as long as the next language has a share of more than 0.01 and of one
+    word at least. The score is the largest proportion of a set; that of a single language is its likelihood among all
+    single languages.
     """
     n_lang, n_words = loglik.shape
     doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n_words)))
     words = np.bincount(doc, minlength=len(starts))
     top = loglik.max(0)
     p = np.exp(loglik - top)
-    tops = _sums(top, starts)
 
     def fit(p, doc, starts, words, share, rounds):
         for _ in range(rounds):
             r = p * share[:, doc]
-            total = r.sum(0)
-            r /= np.maximum(total, 1e-300)
-            share = _sums(r, starts) / words
+            r /= np.maximum(r.sum(0), 1e-300)
+            was, share = share, _sums(r, starts) / words
+            if np.abs(share - was).max() <= SETTLED:
+                break
         total = (p * share[:, doc]).sum(0)
         return share, _sums(np.log(np.maximum(total, 1e-300)), starts)
 
@@ -145,41 +169,136 @@ def mixture(loglik: np.ndarray, starts: np.ndarray, rounds: int = 8, penalty: fl
     return chosen, np.clip(score, 0, 1)
 
 
-def _predict(model: Model):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.string())])
+def long_mixture(parts, n_lang: int, rounds: int = ROUNDS, penalty: float = 2.0) -> tuple[np.ndarray, float]:
+    """mixture() of one document; parts() reads its likelihoods (languages x words) anew, piece by piece."""
+
+    def fit(share, rounds):
+        for _ in range(rounds):
+            new = np.zeros(n_lang)
+            for loglik in parts():
+                r = np.exp(loglik - loglik.max(0)) * share[:, None]
+                new += (r / np.maximum(r.sum(0), 1e-300)).sum(1)
+            was, share = share, new / words
+            if np.abs(share - was).max() <= SETTLED:
+                break
+        return share, sum(np.log(np.maximum((np.exp(x - x.max(0)) * share[:, None]).sum(0), 1e-300)).sum() for x in parts())
+
+    words, singles = 0, np.zeros(n_lang)
+    for loglik in parts():
+        words += loglik.shape[1]
+        singles += np.maximum(loglik - loglik.max(0), -690).sum(1)
+    share, _ = fit(np.full(n_lang, 1 / n_lang), rounds)
+    value, chosen = singles.max(), np.zeros(n_lang)
+    chosen[singles.argmax()] = 1
+    score = 1 / np.exp(np.clip(singles - value, -700, 0)).sum()
+    order = np.argsort(-share, kind="stable")
+    for k in range(2, n_lang + 1):
+        kth = share[order[k - 1]]
+        if not (kth * words >= 1 and kth > 0.01):
+            break
+        mask = np.zeros(n_lang)
+        mask[order[:k]] = 1 / k
+        found, ll = fit(mask, rounds)
+        ll -= penalty * (k - 1) * (1 + np.log(words)) / 2
+        if ll > value:
+            value, chosen, score = ll, found, found.max()
+    return chosen, float(np.clip(score, 0, 1))
+
+
+def word_likelihoods(model: Model, data: np.ndarray, size: int):
+    """Likelihoods (languages x words) of one text piece by piece; a word that a cut divides is summed across it."""
+    held = None
+    for letters in pieces(data, size):
+        values = model.log_p[:, letters.bucket]
+        at = letters.word_start
+        first = at[0] if len(at) else values.shape[1]
+        if held is not None and first:
+            held = held + values[:, :first].sum(1, dtype=np.float64)
+        if not len(at):
+            continue
+        sums = _sums(values, at).astype(np.float64)
+        yield sums[:, :-1] if held is None else np.column_stack([held, sums[:, :-1]])
+        held = sums[:, -1]
+    if held is not None:
+        yield held[:, None]
+
+
+_PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.string())])
+
+
+def _any_letter(raw: np.ndarray, size: int = 1 << 20) -> bool:
+    """Whether a text holds a letter; bytes from 0x80 on need not be letters."""
+    for i in range(0, len(raw), size):
+        part = raw[i : i + size]
+        if (IS_LETTER[part] & (part < 128)).any():
+            return True
+    return any(LETTER.search(raw[max(0, i - 3) : i + size].tobytes().decode("utf-8", "ignore")) for i in range(0, len(raw), size))
+
+
+def _predict(model: Model, piece: int, carried: int):
+    # a piece holds as many likelihoods as a chunk of a few languages
+    size = max(1, piece // 2 * DENSE // max(DENSE, len(model.langs)))
+    kept = 4 << 26  # bytes of likelihoods of a long text that are remembered instead of read anew
+
+    def long_text(raw):
+        def read():
+            return word_likelihoods(model, raw, size)
+
+        known, total = [], 0
+        for x in read():
+            total += x.shape[1] * (4 * len(model.langs))
+            if total > kept:
+                known = None
+                break
+            known.append(x.astype(np.float32))
+        parts = read if known is None else lambda: (x.astype(np.float64) for x in known)
+        return long_mixture(lambda: (x for x in parts() if x.shape[1]), len(model.langs))
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text", (1 << 19) * DENSE // max(DENSE, len(model.langs))):
-                letters = Letters(data, offsets)
-                count = np.diff(letters.doc_words)
-                full = np.flatnonzero(count)
+            for part, data, offsets in chunks(batch, "text", size):
                 langs, scores, sets = ["und"] * len(part), np.zeros(len(part)), [""] * len(part)
-                if len(full) and model.langs:
-                    loglik = _sums(model.log_p[:, letters.bucket], letters.word_start).astype(np.float64)
-                    share, score = mixture(loglik, letters.doc_words[:-1][full])
-                    best = share.argmax(0)
-                    for i, d in enumerate(full):
-                        raw = data[offsets[d] : offsets[d + 1]]
-                        # bytes from 0x80 on need not be letters
-                        if not (IS_LETTER[raw] & (raw < 128)).any() and not LETTER.search(raw.tobytes().decode("utf-8", "replace")):
-                            continue
-                        langs[d], scores[d] = model.langs[best[i]], round(float(score[i]), 6)
-                        sets[d] = ",".join(f"{model.langs[k]}:{share[k, i]:.3f}" for k in np.argsort(-share[:, i], kind="stable") if share[k, i] > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())], schema=schema)
+                if len(data) > 2 * size and model.langs:  # one long text
+                    full, (share, score) = np.arange(len(part)), (np.zeros((len(model.langs), len(part))), np.zeros(len(part)))
+                    if _any_letter(data):
+                        at = int(np.flatnonzero(np.diff(offsets))[0])
+                        share[:, at], score[at] = long_text(data)
+                        full = np.array([at])
+                        share, score = share[:, full], score[full]
+                    else:
+                        full = full[:0]
+                else:
+                    letters = Letters(data, offsets)
+                    full = np.flatnonzero(np.diff(letters.doc_words)) if model.langs else np.zeros(0, np.int64)
+                    if len(full):
+                        loglik = _sums(model.log_p[:, letters.bucket], letters.word_start).astype(np.float64)
+                        share, score = mixture(loglik, letters.doc_words[:-1][full])
+                for i, d in enumerate(full):
+                    if not _any_letter(data[offsets[d] : offsets[d + 1]]):
+                        continue
+                    langs[d], scores[d] = model.langs[share[:, i].argmax()], round(float(score[i]), 6)
+                    sets[d] = ",".join(f"{model.langs[k]}:{share[k, i]:.3f}" for k in np.argsort(-share[:, i], kind="stable") if share[k, i] > 0)
+                out = [part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())]
+                yield pa.RecordBatch.from_arrays([*out, *(part.column(3 + i) for i in range(carried))], [*_PREDICTED.names, *(f"_carried{i}" for i in range(carried))])
 
     return lean(run)
 
 
-def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (doc_id, held_out, lang_pred, score, languages).
+def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), piece: int = PIECE) -> DataFrame:
+    """One row per row of docs: (doc_id, held_out, lang_pred, score, languages), and the columns to carry along under their names.
 
     lang_pred is the largest language of the chosen set and score its share (for one language, its likelihood against
     the other single languages). Null texts, texts without a letter and every text of an empty model are `und` with
     score 0. Ties go to the first language by name. A null id counts as not held out. Repeated rows get the same result.
+    carry may name the text and the id too, so that a filter needs no join; carried columns must not be named like
+    results other than doc_id, which then is left out.
     """
     held = F.coalesce(held_out(id_col), F.lit(False))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, languages string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = rows.mapInArrow(_predict(model, piece, len(carry)), ", ".join(["doc_id long, held_out boolean, lang_pred string, score double, languages string", *(f"_carried{i} {kinds[f'_carried{i}']}" for i in range(len(carry)))]))
+    names = [c for c in _PREDICTED.names if c not in carry]
+    return found.select(*names, *(F.col(f"_carried{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,6 +1,12 @@
-"""Language ID with more labels, and more languages in a document, than a handful."""
+"""Language ID with more labels, more languages in a document and longer texts than a handful; sets against brute force."""
 
+import itertools
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from alignscope.llm import language_id
 
@@ -21,3 +27,58 @@ def test_every_label_and_long_sets(spark):
     got = {r.doc_id: r for r in language_id.language_id(docs, model).collect()}
     assert [got[i].lang_pred for i in (0, 66, 69)] == ["l00", "l66", "l69"]
     assert {x.split(":")[0] for x in got[99].languages.split(",")} == {f"l{i:02}" for i in range(6)}
+
+
+def test_long_texts_are_read_in_pieces_with_the_same_result(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs.select("text", "lang"))
+    texts = {r.lang: r.text for r in docs.where("lang is not null").orderBy("n_chars").collect()}
+    long = [" ".join(texts.values()) * 3, texts["en"] * 4, "x" * 9000, "é€ " * 4000, "€ “” " * 3000, "1 2 " * 4000, None, "", " ".join(list(texts.values())[:2]) * 2]
+    table = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, language_id.language_id(table, model).collect()))
+    for piece in (700, 5000):
+        got = sorted(map(tuple, language_id.language_id(table, model, piece=piece).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in whole]
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in whole], abs=1e-4)
+    assert whole[4][2] == whole[5][2] == "und" and whole[2][2] != "und"
+
+
+def test_a_long_text_takes_little_memory():
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["aa", "bb", "cc"], rng.integers(0, 9, (3, language_id.BUCKETS)))
+    data = rng.choice(np.frombuffer(b"abcdefgh     ", np.uint8), 20_000_000)
+    data[:3_000_000] = 97  # a word that pieces cut
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([False]), pa.array([data.tobytes().decode()])], ["doc_id", "held_out", "text"])
+    tracemalloc.start()
+    (out,) = language_id._predict(model, language_id.PIECE, 0)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column(2).to_pylist()[0] in model.langs and peak < 250 << 20
+
+
+def test_sets_are_those_of_brute_force():
+    """The chosen set against all sets of languages, each fitted to its end."""
+    rng = np.random.default_rng(5)
+    same = 0
+    for case in range(40):
+        n = int(rng.integers(3, 120))
+        loglik = rng.normal(0, 0.6, (4, n))
+        for k, at in enumerate(np.array_split(np.arange(n), rng.integers(1, 4))):
+            loglik[k, at] += rng.choice([1.0, 3.0])
+        p = np.exp(loglik - loglik.max(0))
+
+        def fit(langs):
+            pi = np.zeros(4)
+            pi[list(langs)] = 1 / len(langs)
+            for _ in range(400):
+                r = p * pi[:, None]
+                pi = (r / r.sum(0)).mean(1)
+            return np.log((p * pi[:, None]).sum(0)).sum() - (2.0 * (len(langs) - 1) * (1 + np.log(n)) / 2), pi
+
+        best, pi = max((fit(s) for k in (1, 2, 3, 4) for s in itertools.combinations(range(4), k)), key=lambda x: x[0])
+        share, _ = language_id.mixture(loglik, np.array([0]))
+        # a set is tried in order of the proportions under all languages, so a near tie may be settled otherwise
+        mine = fit(np.flatnonzero(share[:, 0] > 0))[0]
+        assert mine >= best - 1.5 and len(np.flatnonzero(share[:, 0] > 0.02)) <= len(np.flatnonzero(pi > 0.02)) + 1
+        same += share[:, 0].argmax() == pi.argmax() and np.allclose(share[:, 0], pi, atol=0.05)
+    assert same >= 36
