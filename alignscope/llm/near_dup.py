@@ -1,10 +1,11 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, exact set comparison verifies them.
 
-Every tree of the forest is a prefix trie over a few minima of a document's shingles, kept as a sorted run. Matched
-prefixes begin at the full depth and are shortened until a pair at the threshold shares one in some tree with the
-target recall; the tries are cut there. Documents under one node are candidates. Candidates form families (connected
-over nodes), and a family is verified by counting shared shingles in blocks of bounded size, which yields each
-document's number of links without writing pairs.
+Every tree of the forest is a prefix trie over a few minima of a document's shingles, kept as a sorted run. Prefixes are
+first matched at the full depth and then shortened level by level. At each level the agreement of whole signatures
+(all minima of all trees) of the documents that met there tells how many pairs of which similarity exist, and thereby
+the recall of the level; the first level whose recall reaches the target is taken, and documents under one node of it
+are candidates. Candidates form families (connected over nodes), and a family is verified by counting shared shingles
+in blocks of bounded size, which yields each document's number of links without writing pairs.
 
 Texts with equal shingle sets (copies) take part once, with their count.
 """
@@ -19,16 +20,44 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, components, lean, long_of, lookup, mix, stored
 
 WIDTH, THRESHOLD = 5, (4, 5)  # words of a shingle; least similarity as a fraction
-TREES, DEPTH, RECALL = 20, 6, 0.9999
+TREES, DEPTH, RECALL = 20, 6, 0.99999
+
+
+#: Fewer matches of signatures at the threshold than this tell nothing about recall.
+EVIDENCE = 200
+
+
+def found(similarity: np.ndarray | float, depth: int, trees: int = TREES):
+    """The chance that a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix, shortened from `depth`, that a pair at the threshold shares in some tree with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    """The longest prefix, shortened from `depth`, that a pair at the threshold itself shares in some tree with the target recall."""
+    while depth > 1 and found(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def shorten(matches: dict[int, np.ndarray], threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix with the target recall over the pairs that exist, by levels from the full depth on.
+
+    matches: level -> how many matches of that level agree in 0, 1, ... minima. A pair of similarity s meets in
+    trees * s**level trees, which turns matches into pairs. Without enough matches every pair is taken to lie at the
+    threshold.
+    """
+    for level in sorted(matches, reverse=True):
+        n = matches[level]
+        s = np.arange(len(n)) / (len(n) - 1)
+        n, s = n[s >= threshold], s[s >= threshold]
+        if n.sum() < EVIDENCE:
+            continue
+        pairs = n / (trees * s**level)
+        if (pairs * found(s, level, trees)).sum() >= recall * pairs.sum():
+            return level
+    return prefix_depth(threshold, trees, depth, recall)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the distinct shingles of document d are hashes[bounds[d]:bounds[d + 1]], sorted.
 
@@ -85,34 +114,58 @@ def _sign(trees: int, depth: int, width: int):
 # ---------------------------------------------------------------- the forest
 
 
-def _tries(trees: int, depth: int, cut: int):
-    """Local runs of each tree: edges inside a run (key null), and its least document for the run over all tasks."""
+_FOREST = "key binary, a long, b long, n long"
+
+
+def _tries(trees: int, depth: int, least: int):
+    """Sorted tries of the documents of a batch, as three kinds of rows.
+
+    (key, a): the least document a of a full prefix, the tree's number and minima as bytes. (a, b): an edge inside a
+    full prefix. (a, b, n): n matches at level a agree in b minima, each document against the first one of its prefix.
+    """
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), trees, depth)
-            keys, nodes, others = [], [], []
+            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), trees * depth)
+            sig = flat.reshape(len(ids), trees, depth)
+            keys, nodes, edges = [], [], []
+            agree = np.zeros((depth + 1, trees * depth + 1), np.int64)
             for t in range(trees):
                 order = np.lexsort((ids, *(sig[:, t, j] for j in range(depth - 1, -1, -1))))
-                rows = sig[order, t, :cut]
-                new = np.ones(len(order), bool)
-                new[1:] = (rows[1:] != rows[:-1]).any(1)
-                run_of = np.cumsum(new) - 1
-                starts = np.flatnonzero(new)
-                sorted_ids = ids[order]
-                least = np.minimum.reduceat(sorted_ids, starts)
-                h = np.full(len(starts), t + 1, np.uint64)
-                for j in range(cut):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[starts, j].astype(np.uint64))
-                keys.append(long_of(h))
-                nodes.append(least)
-                others.append(np.stack([sorted_ids, least[run_of]])[:, sorted_ids != least[run_of]])
-            a, b = np.concatenate([o[0] for o in others]), np.concatenate([o[1] for o in others])
-            key, node = np.concatenate(keys), np.concatenate(nodes)
+                rows = sig[order, t]
+                shared = np.zeros(len(order), np.int64)  # minima in common with the row before
+                shared[1:] = np.cumprod(rows[1:] == rows[:-1], axis=1).sum(1)
+                for level in range(depth, least - 1, -1):
+                    new = shared < level
+                    new[:1] = True
+                    starts = np.flatnonzero(new)
+                    head = starts[np.cumsum(new) - 1]
+                    other = np.flatnonzero(~new)
+                    for i in range(0, len(other), 20_000):
+                        k = other[i : i + 20_000]
+                        agree[level] += np.bincount((flat[order[k]] == flat[order[head[k]]]).sum(1), minlength=agree.shape[1])
+                    if level == depth:
+                        first, inside = ids[order[starts]], ids[order[head]]
+                        edges.append(np.stack([ids[order], inside])[:, ids[order] != inside])
+                        raw = np.empty((len(starts), 1 + 4 * depth), np.uint8)
+                        raw[:, 0] = t
+                        raw[:, 1:] = rows[starts].astype(">u4").view(np.uint8).reshape(len(starts), 4 * depth)
+                        keys.append(raw)
+                        nodes.append(first)
+            raw, node, (a, b) = np.concatenate(keys), np.concatenate(nodes), np.concatenate(edges, axis=1)
+            level, same = np.nonzero(agree)
+            size = raw.shape[1]
+            key = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(0, raw.size + 1, size, dtype=np.int32)), pa.py_buffer(raw.tobytes())])
+            none = lambda n, kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key, np.zeros(len(a), np.int64)]), pa.int64(), mask=np.arange(len(key) + len(a)) >= len(key)), pa.array(np.concatenate([node, a]), pa.int64()), pa.array(np.concatenate([node, b]), pa.int64())],
-                ["key", "a", "b"],
+                [
+                    pa.concat_arrays([key, none(len(a) + len(level), pa.binary())]),
+                    pa.concat_arrays([pa.array(node, pa.int64()), pa.array(a, pa.int64()), pa.array(level, pa.int64())]),
+                    pa.concat_arrays([none(len(node), pa.int64()), pa.array(b, pa.int64()), pa.array(same, pa.int64())]),
+                    pa.concat_arrays([none(len(node) + len(a), pa.int64()), pa.array(agree[level, same], pa.int64())]),
+                ],
+                ["key", "a", "b", "n"],
             )
 
     return lean(run)
@@ -136,12 +189,21 @@ def _runs(batches):
             key_before, first = key[-1], of[-1]
 
 
-def candidates(signed: DataFrame, trees: int, depth: int, cut: int) -> DataFrame:
-    """Edges (a, b) that connect all documents under one node of a trie: signed has (node, sig)."""
-    forest = stored(signed.select("node", "sig").mapInArrow(_tries(trees, depth, cut), "key long, a long, b long"), "forest")
-    local = forest.where("key is null").select("a", "b")
-    over_all = forest.where("key is not null").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean(_runs), "a long, b long")
-    return local.union(over_all)
+def candidates(signed: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """Edges (a, b) that connect all documents under one node of a trie, at the level that shorten() finds; signed has (node, sig).
+
+    The driver sees one small table of counts by level and agreement. Levels end where even a pair at the threshold
+    would be found all but once in a million times.
+    """
+    least = prefix_depth(threshold, trees, depth, 1 - 1e-6)
+    forest = stored(signed.select("node", "sig").mapInArrow(_tries(trees, depth, least), _FOREST), "forest")
+    matches = {level: np.zeros(trees * depth + 1) for level in range(least, depth + 1)}
+    for r in forest.where("n is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        matches[r.a][r.b] = r.n
+    cut = shorten(matches, threshold, trees, depth, recall)
+    prefix = F.xxhash64(F.substring("key", 1, 1 + 4 * cut)).alias("prefix")
+    over_all = forest.where("key is not null").select(prefix, "a").repartition("prefix").sortWithinPartitions("prefix", "a").mapInArrow(lean(_runs), "a long, b long")
+    return forest.where("key is null and n is null").select("a", "b").union(over_all)
 
 
 # ---------------------------------------------------------------- verification
@@ -252,14 +314,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Families too large for a block are split at random into blocks that meet pairwise, so a task's work is bounded by
     block_docs and block_shingles (a single longer text aside).
     """
-    cut = prefix_depth(threshold[0] / threshold[1], trees, depth, recall)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(docs.mapInArrow(_sign(trees, depth, width), _SIGNED), "signed")
     groups = signed.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n").alias("n")).where("node is not null")
     groups = stored(groups, "groups")
     # one signature for each distinct set: the row of its least id
     firsts = signed.select(F.col("doc_id").alias("node"), "d1", "d2", "sig").join(groups, ["node", "d1", "d2"]).dropDuplicates(["node"])
-    families = components(candidates(firsts, trees, depth, cut))
+    families = components(candidates(firsts, threshold[0] / threshold[1], trees, depth, recall))
     members = families.join(groups.groupBy("node").agg(F.sum("copies").alias("copies"), F.max("n").alias("n")), "node")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")).select("root", "blocks")
     members = lookup(members, sizes, "root", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

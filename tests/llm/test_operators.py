@@ -367,9 +367,25 @@ def test_jaccard_join_repeats_and_null_ids(spark):
 
 
 def test_prefixes_are_shortened_until_the_recall():
+    at = lambda s, level, n: np.bincount([round(s * 120)], minlength=121) * round(n * near_dup.TREES * s**level)
+    levels = range(3, near_dup.DEPTH + 1)
+    assert near_dup.shorten({k: at(0.95, k, 10_000) for k in levels}, 0.8) == 6
+    assert near_dup.shorten({k: at(0.95, k, 10_000) + at(0.8, k, 500) for k in levels}, 0.8) == 4
+    assert near_dup.shorten({k: at(0.8, k, 10_000) for k in levels}, 0.8, recall=0.9995) == 5
+    assert near_dup.shorten({k: at(0.7, k, 10_000) for k in levels}, 0.8) == near_dup.prefix_depth(0.8)
     d = near_dup.prefix_depth(0.8)
-    recall = lambda k: 1 - (1 - 0.8**k) ** near_dup.TREES
-    assert recall(d) >= near_dup.RECALL > recall(d + 1)
+    assert near_dup.found(0.8, d) >= near_dup.RECALL > near_dup.found(0.8, d + 1)
+
+
+def test_recall_on_a_whole_table(spark):
+    """All links of sf0.01 by exact comparison of all pairs; every one has to be found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = cases.pairs(docs)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.jaccard_join(docs).collect()}
+    want = near_dup.brute_force(data)
+    exact = sum(n for _, n in want.values())
+    assert sum(n for _, n in got.values()) == exact > 100
+    assert got == want
 
 
 # ---------------------------------------------------------------- 9
