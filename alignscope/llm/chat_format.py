@@ -12,7 +12,7 @@ import hashlib
 import os.path
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +27,8 @@ Turn = tuple[str, str]
 class Template:
     """render: turns to text. unescape: text inside a span to the text given. role_of: span to role.
 
-    context: on how many earlier turns the text of a turn may depend; None if on all of them, and then every prefix
-    is rendered whole, which costs the square of a conversation's length.
+    context: on how many earlier turns the text of a turn is said to depend; None if on all of them. It is believed only
+    where a conversation is too long for all its prefixes (see locate), and checked there.
     """
 
     render: Callable[[list[Turn]], str]
@@ -72,34 +72,49 @@ class Span:
     rewrites: bool
 
 
-def locate(template: Template, turns: list[Turn]) -> tuple[str, list[Span]]:
-    """The rendered conversation and the span of every turn.
+def _turn_span(template: Template, lead: list[Turn], turn: Turn, before: str, shift: int) -> tuple[str, Span]:
+    """The rendering of lead and turn, and the turn's span, moved by shift; before: the rendering of lead."""
+    now = template.render([*lead, turn])
+    same = len(before) if now.startswith(before) else len(os.path.commonprefix([before, now]))
+    a, b = (template.render([*lead, (turn[0], probe)]) for probe in "xy")
+    head = len(os.path.commonprefix([a, b]))
+    inner = head + len(now) - len(a) + 1  # the probes are one character long, which no template here escapes
+    return now, Span(shift + same, shift + len(now), shift + head, shift + inner, same < len(before))
 
-    With a bounded context only that many turns before a turn are rendered along with it. A turn whose output does
-    not begin with the output before it rewrites history; its span then begins where the two first differ, and
-    earlier spans no longer hold for the final text.
+
+def locate(template: Template, turns: list[Turn], budget: int = 4 << 20) -> tuple[str, list[Span]]:
+    """The rendered conversation and the span of every turn, from the renderings of its successive prefixes.
+
+    A turn whose output does not begin with the output before it rewrites history; its span then begins where the two
+    first differ, and earlier spans no longer hold for the final text.
+
+    Whole prefixes cost the square of a conversation's length. Once they have taken `budget` characters, a template with
+    a bounded context is given only that many turns before each turn; the joined pieces are then compared with the
+    rendering of whole prefixes of doubling length, the last one being the conversation, and should one differ, the
+    conversation is located by whole prefixes after all.
     """
-    pieces: list[str] = []
     spans: list[Span] = []
-    at, before_whole = 0, ""
-    for i, (role, text) in enumerate(turns):
-        lead = turns[:i] if template.context is None else turns[max(0, i - template.context) : i]
-        before = before_whole if template.context is None else template.render(lead)
-        now = template.render([*lead, (role, text)])
-        same = len(before) if now.startswith(before) else len(os.path.commonprefix([before, now]))
-        rewrites = same < len(before)
-        a, b = (template.render([*lead, (role, probe)]) for probe in "xy")
-        head = len(os.path.commonprefix([a, b]))
-        inner = head + len(now) - len(a) + 1  # the probes are one character long, which no template here escapes
-        shift = at - len(before)
-        spans.append(Span(shift + same, shift + len(now), shift + head, shift + inner, rewrites))
-        if template.context is None:
-            before_whole = now
-            pieces = [now]
-        else:
-            pieces.append(now[len(before) :])
-        at = shift + len(now)
-    return "".join(pieces), spans
+    whole, spent, i = template.render([]), 0, 0
+    while i < len(turns) and (template.context is None or spent <= budget):
+        now, span = _turn_span(template, turns[:i], turns[i], whole, 0)
+        spans.append(span)
+        whole, spent, i = now, spent + 3 * len(now), i + 1
+    if i == len(turns):
+        return whole, spans
+    pieces, at, check = [whole], len(whole), 2 * i
+    for i in range(i, len(turns)):
+        lead = turns[max(0, i - template.context) : i]
+        before = template.render(lead)
+        now, span = _turn_span(template, lead, turns[i], before, at - len(before))
+        spans.append(span)
+        pieces.append(now[len(before) :])
+        at += len(now) - len(before)
+        if i + 1 in (check, len(turns)):
+            check *= 2
+            pieces = ["".join(pieces)]
+            if span.rewrites or template.render(turns[: i + 1]) != pieces[0]:
+                return locate(replace(template, context=None), turns)
+    return pieces[0], spans
 
 
 def read_back(template: Template, text: str, spans: list[Span]) -> list[Turn]:

@@ -245,13 +245,30 @@ def test_chat_format(spark):
 
 
 def test_prefixes_show_rewriting_and_context():
-    turns = [("user", "a"), ("assistant", "b<"), ("user", "c")]
+    rng = random.Random(2)
+    turns = [(rng.choice(["user", "assistant"]), rng.choice(["a", "b<", "", "</turn>\n", "### x: "])) for _ in range(40)]
     whole = chat_format.Template(chat_format.MARKED.render, chat_format.unescape, chat_format.MARKED.role_of)
     text, spans = chat_format.locate(whole, turns)
-    assert (text, spans) == chat_format.locate(chat_format.MARKED, turns) and text == chat_format.MARKED.render(turns)
-    assert chat_format.read_back(whole, text, spans) == turns
+    assert text == chat_format.MARKED.render(turns) and chat_format.read_back(whole, text, spans) == turns
+    for budget in (0, 100, 1000, 1 << 20):
+        assert chat_format.locate(chat_format.MARKED, turns, budget) == (text, spans)
     last_only = chat_format.Template(lambda ts: "".join(f"[{r}:{t if i == len(ts) - 1 else '...'}]" for i, (r, t) in enumerate(ts)), str, str)
-    assert [s.rewrites for s in chat_format.locate(last_only, turns)[1]] == [False, True, True]
+    assert [s.rewrites for s in chat_format.locate(last_only, turns[:3])[1]] == [False, True, True]
+
+
+def test_a_context_that_does_not_hold_is_noticed():
+    # says that a turn depends on one turn before it, but numbers all turns
+    render = lambda ts: "".join(f"{i}:{r}:{t};" for i, (r, t) in enumerate(ts))
+    turns = [("user", f"text {i}") for i in range(30)]
+    honest, wrong = (chat_format.Template(render, str, str, c) for c in (None, 1))
+    assert chat_format.locate(wrong, turns, budget=0) == chat_format.locate(honest, turns) and chat_format.locate(wrong, turns, 0)[0] == render(turns)
+
+
+def test_a_long_conversation(spark):
+    text = "a<b #" * 200_000
+    df = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], text if i == 3 else f"turn {i}") for i in range(3000)], "conv_id long, turn long, role string, text string")
+    (r,) = chat_format.digests(chat_format.format_chats(df)).collect()
+    assert tuple(r)[1:5] == by_hand([("user" if i % 2 == 0 else "assistant", text if i == 3 else f"turn {i}") for i in range(3000)])
 
 
 # ---------------------------------------------------------------- 8
