@@ -5,7 +5,8 @@ rarest shingle does, so that one shingle is the whole prefix that the join needs
 in the documents; a joined prefix shingle fixes where the window would start and end (positional and length bounds),
 and there the words are compared.
 
-The windows are the query set: they are taken in blocks of items of bounded size, and each block is sent to all tasks.
+Items of at most `broadcast_bytes` go to all tasks, and documents are not shuffled. More items stay distributed: the
+documents' shingles that pass a bit table of fixed size meet the prefixes in a join, with hot shingles dealt out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, LOWER, UPPER, Words, chunks, lean
+from .common import FOLD, LOWER, UPPER, Words, chunks, lean, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -167,46 +168,139 @@ def _merged(spans):
     return out
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Lists of (item id as text, text) of about block_bytes each, read one after the other from a hash split."""
-    items = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    for k in range(n):
-        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
+_FOUND = "doc_id long, n_words long, runs array<struct<start:long,stop:long>>, items array<string>"
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, size: int = 3, block_bytes: int = 2 << 20) -> DataFrame:
-    """One row per row of docs: (doc_id, n_words, runs, items); runs are the maximal hit word runs, items the ids found.
+def _with_carried(run, carried: int):
+    """run over (doc_id, text), beside whose rows the columns after them are carried along."""
 
-    Words are runs of 0-9, a-z (A-Z folded) and characters from U+0080 on. Null and empty texts have no words, so no
-    hits; items without words have no window, an item with a null id is left out, items that repeat an id count
-    once. An empty table of items leaves every document clean. Repeated documents are judged alike. Should the items
-    take more than one block, documents are joined over the blocks by their place, so repeated ids stay apart.
+    def wrapped(batches):
+        for batch in batches:
+            done = 0
+            for out in run(iter([batch])):
+                part = batch.slice(done, out.num_rows)
+                done += out.num_rows
+                yield pa.RecordBatch.from_arrays([*out.columns, *part.columns[2:]], [*out.schema.names, *(f"_carried{i}" for i in range(carried))])
+
+    return lean(wrapped)
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, size: int = 3, broadcast_bytes: int = 2 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: (doc_id, n_words, runs, items), and the columns to carry along under their names.
+
+    runs are the maximal hit word runs, items the ids found. Words are runs of 0-9, a-z (A-Z folded) and characters from
+    U+0080 on. Null and empty texts have no words, so no hits; items without words have no window, an item with a null
+    id is left out, items that repeat an id count together. An empty table of items leaves every document clean.
+    Repeated documents are judged alike, rows with null or repeated ids each by its own text. carry may name the id.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = []
-    for block in blocks_of(items, item_id, item_text, block_bytes):
-        windows = Windows(block, width, size)
-        counted = docs.select("text").mapInArrow(_rarity(windows), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect() if len(windows.words) else []
-        found.append(docs.mapInArrow(_match(windows, {r.k: r.n for r in counted}), "doc_id long, n_words long, runs array<struct<start:long,stop:long>>, items array<string>"))
-    if len(found) == 1:
-        return found[0]
-    keyed = [f.withColumn("_copy", F.monotonically_increasing_id()) for f in found]
-    out = keyed[0]
-    for f in keyed[1:]:
-        out = out.unionByName(f)
-    runs = "flatten(collect_list(runs))"
-    merged = f"""aggregate(array_sort({runs}), cast(array() as array<struct<start:bigint,stop:bigint>>), (s, x) -> case when size(s) > 0 and x.start <= element_at(s, -1).stop
-        then concat(slice(s, 1, size(s) - 1), array(named_struct('start', element_at(s, -1).start, 'stop', greatest(element_at(s, -1).stop, x.stop)))) else concat(s, array(x)) end)"""
-    return out.groupBy("doc_id", "_copy").agg(F.first("n_words").alias("n_words"), F.expr(merged).alias("runs"), F.expr("array_sort(array_distinct(flatten(collect_list(items))))").alias("items")).drop("_copy")
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """find_items with counts and digests: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    found = find_items(docs, items, **options)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)))
+    items = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null")
+    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("item") + 16)).first()[0] or 0
+    if total <= broadcast_bytes:
+        windows = Windows([(r.item, r.text) for r in items.collect()], width, size)
+        counted = rows.select("text").mapInArrow(_rarity(windows), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect() if len(windows.words) else []
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        found = rows.mapInArrow(_with_carried(_match(windows, {r.k: r.n for r in counted}), len(carry)), ", ".join([_FOUND, *(f"_carried{i} {kinds[f'_carried{i}']}" for i in range(len(carry)))]))
+    else:
+        found = _join(rows, items, width, size)
+    return found.select(*(c for c in ("doc_id", "n_words", "runs", "items") if c not in carry), *(F.col(f"_carried{i}").alias(c) for i, c in enumerate(carry)))
+
+
+# ---------------------------------------------------------------- items that stay distributed
+
+BITS = 27  # of the table of shingles that items have: 16 MB, whatever the items
+
+
+def _item_windows(width: int, size: int):
+    """(item, window, words, h, off): every window of an item by its words, with each of its shingles and where it begins."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w = Windows([(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())], width, size)
+                if not w.words:
+                    continue
+                h, win, off = (np.array(x, kind) for x, kind in zip(zip(*w.shingles, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+                words = pa.array([" ".join(x) for x in w.words], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(h), pa.string()), words.take(pa.array(win, pa.int64())), pa.array(h.view(np.int64), pa.int64()), pa.array(off, pa.int32())], ["item", "words", "h", "off"])
+
+    return lean(run)
+
+
+def _passing(bits: bytes, size: int, counted: bool):
+    """(h, n): counts, or (h, row, pos): places, of the documents' shingles that pass the bit table."""
+    table, mask = np.frombuffer(bits, np.uint8), np.uint64((1 << BITS) - 1)
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in chunks(batch, "text"):
+                w = Words(data, offsets)
+                for n in range(1, size + 1):
+                    h, whole = w.shingles(n)
+                    at = (h & mask).astype(np.int64)
+                    pos = np.flatnonzero(whole & ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+                    if counted:
+                        keys, c = np.unique(h[pos], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c, pa.int64())], ["h", "n"])
+                    else:
+                        doc = np.searchsorted(w.bounds, pos, "right") - 1
+                        row = part.column(0).to_numpy(zero_copy_only=False)[doc]
+                        yield pa.RecordBatch.from_arrays([pa.array(h[pos].view(np.int64)), pa.array(row, pa.int64()), pa.array(pos - w.bounds[doc], pa.int64())], ["h", "row", "pos"])
+
+    return lean(run)
+
+
+_CHECKED = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("runs", _OUT.field("runs").type), ("hit", pa.list_(pa.string()))])
+
+
+def _check(batches):
+    """(row, n_words, runs, words of the windows found) from texts with the places where windows may begin."""
+    for batch in batches:
+        for part, data, offsets in chunks(batch, "text"):
+            w = Words(data, offsets)
+            runs, hit = [], []
+            for d, found in enumerate(part.column(2).to_pylist()):
+                spans, windows = [], set()
+                for f in found or []:
+                    v = [x.encode("utf-8", "surrogatepass") for x in f["words"].split(" ")]
+                    s = int(w.bounds[d]) + f["start"]
+                    if f["start"] >= 0 and s + len(v) <= w.bounds[d + 1] and all(FOLD[data[w.starts[s + j] : w.ends[s + j]]].tobytes() == x for j, x in enumerate(v)):
+                        spans.append((f["start"], f["start"] + len(v), 0))
+                        windows.add(f["words"])
+                runs.append([{"start": s, "stop": e} for s, e, _ in _merged(spans)])
+                hit.append(sorted(windows))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.bounds), pa.int64()), pa.array(runs, _OUT.field("runs").type), pa.array(hit, _CHECKED.field("hit").type)], schema=_CHECKED)
+
+
+def _join(rows: DataFrame, items: DataFrame, width: int, size: int, salts: int = 16) -> DataFrame:
+    """find_items for any number of items; the driver sees the bit table only."""
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    windows = stored(items.mapInArrow(_item_windows(width, size), "item string, words string, h long, off int"), "windows")
+    bit = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
+    parts = windows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    table = bytearray(1 << (BITS - 3))
+    for r in parts:
+        table[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
+    texts = rows.select(F.col("_row").alias("row"), "text")
+    counts = texts.select("text").mapInArrow(_passing(bytes(table), size, True), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    # a window whose rarest shingle no document has cannot occur
+    prefix = windows.select("words", "h", "off").distinct().join(counts, "h", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off")).alias("p")).where("p.n > 0")
+    prefix = prefix.select("p.h", F.struct("words", "p.off").alias("window"))
+    places = texts.mapInArrow(_passing(bytes(table), size, False), "h long, row long, pos long").withColumn("_salt", F.pmod("pos", F.lit(salts)).cast("int"))
+    prefix = prefix.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = places.join(prefix, ["h", "_salt"]).select("row", F.struct((F.col("pos") - F.col("window.off")).alias("start"), "window.words").alias("f")).where("f.start >= 0")
+    checked = stored(texts.join(met.groupBy("row").agg(F.collect_set("f").alias("found")), "row", "left").mapInArrow(lean(_check), "row long, n_words long, runs array<struct<start:long,stop:long>>, hit array<string>"), "checked")
+    of = checked.select("row", F.explode("hit").alias("words")).join(windows.select("words", "item").distinct(), "words").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = rows.drop("text").join(checked.select(F.col("row").alias("_row"), "n_words", "runs"), "_row").join(of.withColumnRenamed("row", "_row"), "_row", "left")
+    return out.withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """find_items with counts and digests: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), and what is carried."""
+    found = find_items(docs, items, carry=carry, **options)
     n_hit = F.expr("aggregate(runs, 0L, (s, x) -> s + x.stop - x.start)")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    columns = {"doc_id": F.col("doc_id"), "n_words": F.col("n_words"), "n_hit": n_hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": n_hit > 0}
+    return found.select(*(c.alias(n) for n, c in columns.items() if n not in carry), *carry)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]], width: int = 10) -> list[tuple]:
