@@ -1,11 +1,12 @@
 """URL filter: host/path rules, and logistic regression on hashed character n-grams for what no rule judges.
 
-The regression learns from a small table of labelled urls. The query labels urls by the rules; the sample is bounded
-by `train_rows` and chosen by a hash of the url, so that it does not depend on the order of rows.
+The regression learns from a small table of labelled urls. The query's is LABELLED, which rules and tables have no part
+in; other tables are cut to `train_rows` urls by a hash of the url, so that the choice does not depend on the order of rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -18,6 +19,18 @@ from .common import LOWER, UPPER
 #: Fixed values: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
+# Words in the names of sites that corpora leave out, and of sites that they keep.
+UNWANTED = "casino poker slots bets betting jackpot lottery pills viagra pharmacy adult xxx porn sex escort webcam dating loans payday crypto miner warez torrent crack keygen replica phishing malware clickbait giveaway".split()
+WANTED = "news press journal library museum school college university science physics history recipes kitchen garden weather climate travel railway football chess music theatre books poetry maps city council health clinic software manual".split()
+#: How names are put together: the same ways for both kinds, so that only the words tell them apart.
+HOSTS, PATHS = ["www.{}.example.com", "{}-online.example.org", "my{}.test", "m.best-{}.example.net"], ["/", "/en/{}.html", "/de/7", "/fr/12/?page=2"]
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The labelled table: (url, 1 to block). Wanted names come with every path, unwanted ones with one, as they are rarer."""
+    good = [(f"https://{h.format(w)}{p.format(i)}", 0) for i, w in enumerate(WANTED) for h in HOSTS for p in PATHS]
+    return good + [(f"https://{h.format(w)}{PATHS[(i + j) % len(PATHS)].format(i)}", 1) for i, w in enumerate(UNWANTED) for j, h in enumerate(HOSTS)]
+
 
 def host_and_path(url: str) -> tuple:
     """Columns of the host (A-Z lower-cased) and path of a url column; both empty for null or where no :// is."""
@@ -37,8 +50,8 @@ def match_rules(df: DataFrame, rules=None) -> DataFrame:
 
 
 def features(host: str, path: str, bits: int = 14, sizes=(2, 3, 4)) -> np.ndarray:
-    """Distinct buckets of the character n-grams of host and path; the two never share an n-gram."""
-    found = {0}  # the intercept
+    """Distinct buckets (1 and up, 0 is the intercept) of the character n-grams of host and path; the two never share an n-gram."""
+    found = set()
     for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
         for n in sizes:
             for i in range(len(text) - n + 1):
@@ -46,8 +59,12 @@ def features(host: str, path: str, bits: int = 14, sizes=(2, 3, 4)) -> np.ndarra
     return np.fromiter(sorted(found), np.int64, len(found))
 
 
-def train(rows: list[tuple[str, str, int]], bits: int = 14, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
-    """Weights by full-batch gradient descent with per-weight step sizes; rows: (host, path, 1 to block)."""
+def train(rows: list[tuple[str, str, int]], bits: int = 14, epochs: int = 200, rate: float = 0.3, decay: float = 0.02) -> np.ndarray:
+    """Weights by full-batch gradient descent with per-weight step sizes; rows: (host, path, 1 to block).
+
+    The score of a url is the intercept and the sum of its n-grams' weights over the square root of their number. The
+    intercept alone is not held down by decay, so a url of unknown n-grams is judged by how frequent the labels are.
+    """
     w = np.zeros(1 << bits)
     if not rows:
         return w
@@ -58,9 +75,10 @@ def train(rows: list[tuple[str, str, int]], bits: int = 14, epochs: int = 60, ra
     y = np.array([r[2] for r in rows], float)
     squares = np.full(len(w), 1e-8)
     for _ in range(epochs):
-        z = np.bincount(row, w[col], len(x)) * scale
+        z = w[0] + np.bincount(row, w[col], len(x)) * scale
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         g = np.bincount(col, (err * scale)[row], len(w)) + decay * w / len(y)
+        g[0] = err.sum()
         squares += g * g
         w -= rate * g / np.sqrt(squares)
     return np.round(w, 9)
@@ -69,7 +87,7 @@ def train(rows: list[tuple[str, str, int]], bits: int = 14, epochs: int = 60, ra
 def labelled_sample(urls: DataFrame, train_rows: int) -> list[tuple[str, str, int]]:
     """At most train_rows distinct (host, path, label) of a frame with host, path and label, by hash order."""
     rows = urls.select("host", "path", "label").distinct().orderBy(F.xxhash64("host", "path"), "host", "path", "label").limit(train_rows).collect()
-    return [(r.host, r.path, int(r.label)) for r in rows]
+    return sorted((r.host, r.path, int(r.label)) for r in rows)
 
 
 def score(df: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -83,7 +101,7 @@ def score(df: DataFrame, weights: np.ndarray) -> DataFrame:
         for key in zip(host, path, strict=True):
             if key not in known:
                 f = features(*key, bits)
-                known[key] = float(1 / (1 + np.exp(-np.clip(weights[f].sum() / np.sqrt(len(f)), -30, 30))))
+                known[key] = float(1 / (1 + np.exp(-np.clip(weights[0] + weights[f].sum() / np.sqrt(len(f)), -30, 30))))
             out.append(known[key])
         return pd.Series(out, dtype="float64")
 
@@ -94,7 +112,7 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per row of pages: (page_id, host, path, rule, verdict, p_block).
 
     verdict is the longest fitting rule's, else block where p_block >= 0.5. labels: (url, label 1 to block) to learn
-    from; without it, urls that a rule judges are the labels. With nothing to learn from every p_block is 0.5,
+    from, of which train_rows distinct ones are taken; without it, urls that a rule judges are the labels. With nothing to learn from every p_block is 0.5,
     hence block. A null url has an empty host and path, and the regression judges it. Repeated rows are judged
     alike; an empty table gives an empty table; other columns are not read.
     """
@@ -110,5 +128,35 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return score(df, weights).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "p_block")
 
 
+def brute_force(pages: list[tuple[int, str | None]], labels: list[tuple[str, int]], rules=None, bits: int = 14) -> list[tuple]:
+    """What url_filter returns (p_block unrounded): a url at a time, n-gram by n-gram, with the weights of train()."""
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        path = rest[end:]
+        stop = min([path.find(c) for c in "?#" if c in path], default=len(path))
+        return "".join(c.lower() if c in UPPER else c for c in rest[:end]), path[:stop]
+
+    def grams(host, path):
+        out = set()
+        for mark, t in (("h", "^" + host + "$"), ("p", "^" + path + "$")):
+            out |= {mark + t[i:j] for i in range(len(t)) for j in range(i + 2, i + 5) if j <= len(t)}
+        return {1 + zlib.crc32(g.encode("utf-8", "surrogatepass")) % (2**bits - 1) for g in out}
+
+    weights = train(sorted({(*parts(u), y) for u, y in labels}), bits)
+    out = []
+    for page, url in pages:
+        host, path = parts(url)
+        fits = [(len(h + p), h + p, v) for h, p, v in (RULES if rules is None else rules) if ("." + host).endswith("." + h) and path.startswith(p)]
+        _, rule, said = max(fits, default=(0, None, None))
+        g = grams(host, path)
+        p_block = 1 / (1 + math.exp(-weights[0] - sum(weights[i] for i in sorted(g)) / math.sqrt(len(g))))
+        out.append((page, host, path, rule, said or ("block" if p_block >= 0.5 else "allow"), p_block))
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels=spark.createDataFrame(labelled_urls(), "url string, label int"))

@@ -175,6 +175,41 @@ def test_url_regression_learns_what_it_is_told(spark):
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) >= 97
 
 
+def test_url_filter_is_brute_force_on_a_whole_table(spark):
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()]
+    strange = [(-i - 1, u) for i, u in enumerate([None, "", "x", "http://", "http://É😀.NET/a?b", "http://org/fr/" + "é" * 9000, "HTTP://WWW.XXX-CASINO.test/EN/"])]
+    table = spark.createDataFrame([*pages, *strange, pages[0]], "page_id long, url string")
+    labels = url_filter.labelled_urls()
+    got = sorted(map(tuple, url_filter.url_filter(table, labels=spark.createDataFrame(labels, "url string, label int")).collect()))
+    want = sorted(url_filter.brute_force([*pages, *strange, pages[0]], labels))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and [g[5] for g in got] == pytest.approx([w[5] for w in want], abs=1e-9)
+
+
+def test_url_filter_knows_names_it_has_not_seen(spark):
+    """Words that are not in the labelled table, in names put together otherwise: part of them share n-grams with it."""
+    bad, good = ["casinos", "online-poker24", "bet-slots", "sexcams", "pornhost", "viagras", "lotteryjackpot", "xxxadult"], ["newspaper", "librarian", "historic", "scientific", "travels", "musical", "gardening", "footballer", "tionble", "ththre", "therwh"]
+    urls = [(i, f"http://a.{n}.example/en/{i}") for i, n in enumerate(bad + good)]
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(spark.createDataFrame(urls, "page_id long, url string"), labels=spark.createDataFrame(url_filter.labelled_urls(), "url string, label int")).collect()}
+    right = [got[i] == ("block" if i < len(bad) else "allow") for i, _ in urls]
+    assert sum(right) >= len(right) - 1
+
+
+def test_regression_is_plain_gradient_descent():
+    rows = [("a.b", "/x", 1), ("c.d", "/y", 0), ("a.d", "/", 1), ("c.b", "/x", 0)]
+    x = [url_filter.features(h, p, 8) for h, p, _ in rows]
+    w, squares = [0.0] * 256, [1e-8] * 256
+    for _ in range(200):
+        g = [0.0, *(0.02 * v / 4 for v in w[1:])]
+        for f, (_, _, y) in zip(x, rows, strict=True):
+            z = w[0] + sum(w[i] for i in f) / math.sqrt(len(f))
+            g[0] += (1 / (1 + math.exp(-z)) - y) / 4
+            for i in f:
+                g[i] += (1 / (1 + math.exp(-z)) - y) / 4 / math.sqrt(len(f))
+        squares = [s + v * v for s, v in zip(squares, g, strict=True)]
+        w = [v - 0.3 * d / math.sqrt(s) for v, d, s in zip(w, g, squares, strict=True)]
+    assert url_filter.train(rows, 8).tolist() == pytest.approx(w, abs=1e-6)
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -274,20 +309,32 @@ def test_a_long_conversation(spark):
 # ---------------------------------------------------------------- 8
 
 
-@pytest.mark.parametrize("block", [2 << 20, 300])
-def test_decontaminate(spark, block):
+@pytest.mark.parametrize("most", [2 << 20, 0])
+def test_decontaminate(spark, most):
     docs = cases.documents(spark)
     texts = cases.texts()
     items = [("b1", texts[-19]), ("b2", "a"), ("b3", None), ("b4", ""), ("b5", texts[3]), ("b6", "a b"), ("b7", texts[-18]), ("b8", "日本語 テキスト"), (None, "a"), ("b9", "ab " * 30), ("b2", "a")]
     table = spark.createDataFrame([(*i, 0) for i in items], "item_id string, text string, doc_id int")
     want = sorted(decontaminate.brute_force(cases.pairs(docs), [i for i in items if i[0]]), key=repr)
-    assert rows(decontaminate.decontaminate(docs, table, block_bytes=block)) == want
+    assert rows(decontaminate.decontaminate(docs, table, broadcast_bytes=most)) == want
     assert sum(w[5] for w in want) > 5
+    carried = decontaminate.decontaminate(docs, table, broadcast_bytes=most, carry=("doc_id", "text", "node")).collect()
+    assert sorted((r.doc_id, r.text, r.node, r.n_hit) for r in carried if r.text) == sorted((d, t, "n", dict((w[0], w[2]) for w in want)[d]) for d, t in cases.pairs(docs) if t)
     clean = decontaminate.decontaminate(docs, table.limit(0)).collect()
     assert len(clean) == docs.count() and not any(r.contaminated for r in clean)
     assert decontaminate.decontaminate(cases.empty(spark), table).count() == 0
 
 
+@pytest.mark.parametrize("most", [2 << 20, 0])
+def test_decontaminate_long_texts_and_repeats(spark, most):
+    rng = random.Random(9)
+    text = " ".join(f"w{rng.randrange(50_000)}" for _ in range(400_000))
+    item = " ".join(text.split(" ")[250_000:250_040])
+    docs = spark.createDataFrame([(1, text), (1, item), (None, item.upper()), (None, None), (1, item)], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([("i", item), ("i", "x y"), ("j", item)], "item_id string, text string"), broadcast_bytes=most).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got), key=repr) == sorted([(1, 400_000, 40, 2), (1, 40, 40, 2), (None, 40, 40, 2), (None, 0, 0, 0), (1, 40, 40, 2)], key=repr)
+
+
 # ---------------------------------------------------------------- 5
 
 
