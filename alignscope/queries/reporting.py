@@ -52,10 +52,10 @@ def top_drivers(spark, sf_dir):
     return R.top_drivers(R.spearman(merged(spark, sf_dir), COLUMNS).withColumn("abs_rho", F.abs("spearman_rho")), 2)
 
 
-_P = "p as (select 'm' as matcher, p_brand as metric, round(avg(p_size) / 1000, 9) as p_value from part group by p_brand)"
+_P = "p as (select 'm' as matcher, p_brand as metric, avg(p_size) / (1000 * pi()) as p_value from part group by p_brand)"
 query("p_adjust_bh", f"""with {_P}, r as (select *, count(*) over () as n_tests, row_number() over (order by p_value, matcher, metric) as r from p)
 select matcher, metric, {r6("p_value")} as p_value, n_tests, {r6("least(1, p_value * n_tests)")} as p_bonferroni, {r6("least(1, min(p_value * n_tests / r) over (order by r desc))")} as p_fdr, least(1, p_value * n_tests) <= 0.05 as survives_bonferroni, least(1, min(p_value * n_tests / r) over (order by r desc)) <= 0.05 as survives_fdr from r""", kg=False)(
-    lambda s, d: R.adjust_p_values(s.read.parquet(f"{d}/part.parquet").groupBy(F.lit("m").alias("matcher"), F.col("p_brand").alias("metric")).agg(F.round(F.avg("p_size") / 1000, 9).alias("p_value")))
+    lambda s, d: R.adjust_p_values(s.read.parquet(f"{d}/part.parquet").groupBy(F.lit("m").alias("matcher"), F.col("p_brand").alias("metric")).agg((F.avg("p_size") / (1000 * F.pi())).alias("p_value")))
 )
 
 # folds and factors: line numbers as folds, flags as matchers

@@ -4,36 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ..model import ALIGN, ATTR, REL, KGPair
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, one below the warehouse, removed when the driver's JVM ends.
-
-    Both lie where every machine of a cluster sees them; a machine's own temporary folder is never used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_alignscope-{spark.sparkContext.applicationId}"
-        _remove_at_exit(spark, base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-
-
-def stored(df: DataFrame, label: str = "frame") -> DataFrame:
-    """df written once to the shared folder as parquet and read back: cuts lineage, keeps columns prunable, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _remove_at_exit(spark, path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import remove_at_exit, shared_folder, stored  # noqa: F401
 
 
 def save(pair: KGPair, path: str) -> KGPair:
@@ -47,7 +21,7 @@ def save_temporarily(pair: KGPair) -> KGPair:
     """The same in the shared folder, removed when the driver's JVM ends."""
     spark = pair.rel.sparkSession
     path = f"{shared_folder(spark)}/pair-{uuid.uuid4().hex}"
-    _remove_at_exit(spark, path)
+    remove_at_exit(spark, path)
     return save(pair, path)
 
 
