@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..model import KGPair
+from ..storage import stored
 
 GRID = tuple(i / 10 for i in range(10))
 SEED_FRACTIONS = (0.05, 0.1, 0.25, 0.5, 0.75, 1.0)
@@ -61,6 +62,17 @@ def threshold_choice(sweep: DataFrame, keys: list[str]) -> DataFrame:
     return sweep.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, "threshold", "f1")
 
 
+def _numbered(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with _r, their place (from 1) by the columns, and _n, their number.
+
+    Rows are sorted in ranges, and only the ranges' sizes meet in one place.
+    """
+    t = stored(rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    sizes = t.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_size").over(W.partitionBy())})
+    return t.join(F.broadcast(sizes), "_part").withColumn("_r", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_size", "_first", "_before")
+
+
 def _rank(seed: int, *columns: str):
     """A portable random order: the digest of the row with the seed."""
     return F.md5(F.concat_ws("|", *columns, F.lit(str(seed))))
@@ -69,11 +81,34 @@ def _rank(seed: int, *columns: str):
 def seed_subsets(seeds: DataFrame, fractions=SEED_FRACTIONS, seed: int = 42) -> DataFrame:
     """(fraction, e1, e2): nested subsets; a fraction has round(n * fraction) seeds, half to even, one at least."""
     ranked = seeds.select("e1", "e2").distinct().withColumn("h", _rank(seed, "e1", "e2"))
-    t = ranked.withColumns({"_r": F.row_number().over(W.orderBy("h", "e1", "e2")), "_n": F.count("*").over(W.partitionBy())})
+    t = _numbered(ranked, "h", "e1", "e2")
     steps = seeds.sparkSession.createDataFrame([(float(f),) for f in fractions], "fraction double")
     return t.join(F.broadcast(steps), F.col("_r") <= F.greatest(F.rint(F.col("_n") * F.col("fraction")), F.lit(1.0))).select("fraction", "e1", "e2")
 
 
+def seed_size_sweep(pair: KGPair, matcher, fractions=SEED_FRACTIONS, seed: int = 42, split: str = "test") -> DataFrame:
+    """(fraction, n_seeds, scores): the matcher run and evaluated with each nested subset of the training pairs.
+
+    A matcher is anything with match(pair, seeds). Predictions are stored before they are judged, so each run is one plan.
+    """
+    subsets = stored(seed_subsets(pair.matched("train"), fractions, seed), "seeds")
+    counts = subsets.groupBy("fraction").agg(F.count("*").alias("n_seeds"))
+    out = None
+    for f in fractions:
+        found = stored(matcher.match(pair, subsets.where(F.col("fraction") == float(f)).select("e1", "e2")), "predictions")
+        row = evaluate(found, pair, split).withColumn("fraction", F.lit(float(f)))
+        out = row if out is None else out.union(row)
+    return out.join(F.broadcast(counts), "fraction", "left").na.fill(0, ["n_seeds"])
+
+
+def threshold_means(sweeps: DataFrame) -> DataFrame:
+    """(matcher, threshold, f1): mean F1 over datasets of sweeps with dataset, matcher, threshold, f1.
+
+    threshold_choice() of it, by matcher, is the threshold that serves all datasets best.
+    """
+    return sweeps.groupBy("matcher", "threshold").agg(F.avg("f1").alias("f1"))
+
+
 def seed_sizes(pair: KGPair, fractions=SEED_FRACTIONS, seed: int = 42) -> DataFrame:
     """(fraction, n_seeds, share_of_entities)."""
     n = pair.entities().where("kg = 'kg1'").agg(F.count("*").alias("n"))
@@ -88,8 +123,8 @@ def inject_non_matches(pair: KGPair, match_ratio: float = 0.5, seed: int = 42) -
     """
     if not 0 < match_ratio <= 1:
         raise ValueError(f"match_ratio must lie in (0, 1], not {match_ratio}")
-    pairs = pair.matched().select("e1", "e2", "split").dropDuplicates(["e1", "e2"]).withColumn("h", _rank(seed, "e1", "e2"))
-    t = pairs.withColumns({"_r": F.row_number().over(W.orderBy("h", "e1", "e2")), "_n": F.count("*").over(W.partitionBy())})
+    pairs = pair.matched().groupBy("e1", "e2").agg(F.min("split").alias("split")).withColumn("h", _rank(seed, "e1", "e2"))
+    t = _numbered(pairs, "h", "e1", "e2")
     keep = F.rint(F.col("_n") * match_ratio)
     half = F.floor((F.col("_n") - keep) / 2)
     role = F.when(F.col("_r") <= keep, "keep").when(F.col("_r") <= keep + half, "drop1").otherwise("drop2")

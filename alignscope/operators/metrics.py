@@ -209,6 +209,48 @@ def degree_correlation(pair: KGPair) -> DataFrame:
     )
 
 
+def alignment_shares(pair: KGPair) -> DataFrame:
+    """One row on the gold pairs: shares of ambiguous entities on both sides, of unaligned and of partnerless ones."""
+    gold, sizes = pair.gold(), pair.entities().groupBy().agg(*(F.count_if(F.col("kg") == f"kg{i}").alias(f"n{i}") for i in (1, 2)))
+    fan = [gold.groupBy(e).agg(F.count("*").alias("f")).agg(F.count("*").alias(f"a{i}"), F.avg((F.col("f") > 1).cast("double")).alias(k)) for i, e, k in ((1, "e1", "ambiguity_1_to_n"), (2, "e2", "ambiguity_n_to_1"))]
+    t = sizes.crossJoin(fan[0]).crossJoin(fan[1]).crossJoin(pair.unmatched().agg(F.count("*").alias("lone")))
+    return t.select("ambiguity_1_to_n", "ambiguity_n_to_1", *((1 - S.ratio(f"a{i}", f"n{i}")).alias(f"unaligned_share_kg{i}") for i in (1, 2)), S.ratio("lone", "n1").alias("non_match_share_kg1"))
+
+
+def split_sizes(pair: KGPair) -> DataFrame:
+    """(split, n): rows with a partner, repeats included."""
+    return pair.matched().groupBy("split").agg(F.count("*").alias("n"))
+
+
+def aligned_shares(pair: KGPair) -> DataFrame:
+    """One row on the gold pairs: how many, and shares with an isolated side, two of them, and a side without attributes."""
+    share = lambda c, a: F.avg(c.cast("double")).alias(a)
+    d1, d2, a1, a2 = (F.col(c) == 0 for c in ("d1", "d2", "a1", "a2"))
+    return with_degrees(pair, pair.gold()).agg(F.count("*").alias("n_pairs_evaluated"), share(d1 | d2, "share_pairs_one_side_isolated"), share(d1 & d2, "share_pairs_both_isolated"), share(a1 | a2, "share_pairs_one_side_no_attr"))
+
+
+def degree_differences(pair: KGPair) -> DataFrame:
+    """The description of absolute degree differences over the gold pairs, one row with a key column."""
+    t = with_degrees(pair, pair.gold()).select(F.lit("abs_degree_diff").alias("of"), F.abs(F.col("d1") - F.col("d2")).alias("d"))
+    return S.describe(t, ["of"], "d")
+
+
+def literal_means(pair: KGPair) -> DataFrame:
+    """One row: mean Jaccard and containment of the values of all gold pairs, and the share of pairs without a common one."""
+    return literal_overlap(pair).agg(F.coalesce(F.avg("literal_jaccard"), F.lit(0.0)).alias("literal_value_jaccard.mean"), F.coalesce(F.avg("literal_containment"), F.lit(0.0)).alias("literal_value_containment.mean"), F.coalesce(F.avg((F.col("literal_jaccard") == 0).cast("double")), F.lit(1.0)).alias("share_pairs_no_shared_literal"))
+
+
+def property_frequencies(pair: KGPair) -> DataFrame:
+    """(kg, kind, statistics): the description of how often properties occur."""
+    return S.describe(property_counts(pair), ["kg", "kind"], "n")
+
+
+def type_overlap(pair: KGPair) -> DataFrame:
+    """One row (type_jaccard): of the types that both graphs state; 0 without types."""
+    types = pair.rel.where(F.col("relation").isin(*TYPE_PREDICATES)).select("kg", F.lit("type").alias("kind"), F.col("tail").alias("item")).distinct()
+    return overlap(types, ["kind"]).agg(F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("type_jaccard"))
+
+
 def entity_values(pair: KGPair, ascii_only: bool = False) -> DataFrame:
     """(kg, entity, value): distinct normalised values; each distinct literal is normalised once."""
     fold = L.normalised_ascii if ascii_only else L.normalised
@@ -256,16 +298,23 @@ def reachability(pair: KGPair, largest: DataFrame | None = None) -> DataFrame:
 METRICS = {
     "basic_stats": [(basic, ["kg"]), (basic_pair, [])],
     "degree_distribution": [(lambda p: S.describe(degree_kinds(p), ["kg", "kind"], "degree"), ["kg", "kind"]), (degree_shares, ["kg"]), (lambda p: S.powerlaw(p.degrees(), ["kg"], "total_degree"), ["kg"])],
-    "property_distribution": [(property_distribution, ["kg", "kind"])],
+    "property_distribution": [(property_distribution, ["kg", "kind"]), (lambda p: property_frequencies(p).withColumn("of", F.lit("freq")), ["kg", "kind", "of"])],
     "connectivity": [(lambda p: G.connectivity(p), ["kg"])],
     "long_tail": [(long_tail, ["kg", "k"]), (facts_per_entity, ["kg"])],
     "attribute_completeness": [(attribute_completeness, ["kg"]), (datatype_mix, ["kg"])],
-    "type_distribution": [(type_distribution, ["kg"])],
+    "type_distribution": [(type_distribution, ["kg"]), (lambda p: type_overlap(p).withColumn("of", F.lit("pair")), ["of"])],
     "schema_heterogeneity": [(schema_heterogeneity, ["kind"])],
-    "aligned_consistency": [(degree_correlation, [])],
-    "alignment_metrics": [(alignment_metrics, [])],
+    "aligned_consistency": [(degree_correlation, []), (aligned_shares, []), (degree_differences, ["of"]), (literal_means, [])],
+    "alignment_metrics": [(alignment_metrics, []), (alignment_shares, []), (lambda p: split_sizes(p).select(F.concat(F.lit("split."), "split").alias("split"), F.col("n").alias("n_pairs")), ["split"])],
     "alignment_reachability": [(reachability, ["criterion"])],
 }
+#: Keys over both graphs: the key, how the two values join, and the key of each graph.
+PAIRED = {
+    "degree_distribution": [("pair.min_median_total_degree", F.min, "total.median"), ("pair.max_share_isolated", F.max, "share_isolated"), ("pair.mean_total_degree", F.avg, "total.mean"), ("pair.mean_degree_gini", F.avg, "total.gini")],
+    "property_distribution": [("pair.mean_rel_entropy_norm", F.avg, "rel.entropy_norm")],
+    "connectivity": [("pair.min_share_largest_cc", F.min, "share_largest_cc")],
+    "attribute_completeness": [("pair.min_share_entities_with_attribute", F.min, "share_entities_with_attribute"), ("pair.mean_attr_per_entity", F.avg, "mean_attr_per_entity"), ("pair.mean_share_literals_text", F.avg, "share_text")],
+}
 
 
 def get_metric(name: str):
@@ -280,7 +329,17 @@ def scalars(pair: KGPair, name: str) -> DataFrame:
     for make, keys in METRICS[name]:
         df = make(pair)
         columns = [c for c in df.columns if c not in keys]
-        long = df.select(*(F.col(k).cast("string") for k in keys), F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x"))
+        long = df.select(*(F.col(k).cast("string") for k in keys), F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))).alias("x"))
         long = long.select(F.lit(pair.name).alias("dataset"), F.lit(name).alias("metric"), F.concat_ws(".", *keys, "x.c").alias("key"), F.col("x.v").alias("value"))
         out = long if out is None else out.union(long)
-    return out
+    return out.union(pair_scalars(out, name)) if name in PAIRED else out
+
+
+def pair_scalars(scalars: DataFrame, name: str) -> DataFrame:
+    """The keys of a metric group over both graphs, from those of each graph."""
+    of = {f"kg{i}.{own}": key for key, _, own in PAIRED[name] for i in (1, 2)}
+    known = F.create_map(*(F.lit(x) for k in of.items() for x in k))
+    t = scalars.where(F.col("key").isin(*of)).groupBy("dataset", "metric", known[F.col("key")].alias("key")).agg(*(f("value").alias(f"_{n}") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))))
+    how = {F.min: "_min", F.max: "_max", F.avg: "_avg"}
+    value = F.coalesce(*(F.when(F.col("key") == key, F.col(how[f])) for key, f, _ in PAIRED[name]))
+    return t.select("dataset", "metric", "key", value.alias("value"))

@@ -6,6 +6,7 @@ python -m alignscope.plans.runner --config run.yaml [--no-profile] [--no-match]
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import time
 
@@ -21,7 +22,8 @@ from ..operators import reports as R
 from ..sources import get_loader
 from ..sources.store import save_temporarily
 from .config import DatasetConfig, RunConfig, load_config
-from .sinks import SCORES, write_table
+from .session import get_session
+from .sinks import SCORES, read_predictions, write_table
 
 log = logging.getLogger(__name__)
 
@@ -85,9 +87,9 @@ class Pipeline:
                 matcher = M.get_matcher(entry.name, **entry.params)
                 path = f"{self.config.output}/predictions/{dataset.name}/{entry.name}"
                 began = time.time()
-                write_table(matcher.match(pair, seeds if matcher.requires_seeds else None), path, "parquet")
+                write_table(matcher.match(pair, seeds if matcher.requires_seeds else None), path, "csv")
                 took = time.time() - began
-                found = self.spark.read.parquet(path)
+                found = read_predictions(self.spark, path)
                 for split in (self.config.eval_split, "all"):
                     row = E.evaluate(found, pair, split).first()
                     self.scores.append((dataset.name, entry.name, split, *row, took))
@@ -117,6 +119,14 @@ class Pipeline:
             found = R.correlate(merged, [c for c in table.columns if c != "dataset"])
             write_table(found, f"{out}/correlation")
             write_table(R.top_drivers(found), f"{out}/correlation_top")
+            write_table(R.rho_matrix(found), f"{out}/rho_matrix")
+        self.summary(f"{out}/summary", test)
+
+    def summary(self, path: str, test: DataFrame) -> None:
+        """One JSON line: what was run, how long it took, and F1 of every dataset and matcher."""
+        f1 = {f"{r.dataset}/{r.matcher}": r.f1 for r in test.select("dataset", "matcher", "f1").collect()}
+        whole = {"datasets": [d.name for d in self.config.datasets], "matchers": [m.name for m in self.config.matchers], "runtime_s": round(sum(r[4] for r in self.runtimes), 3), "f1": f1}
+        self.spark.createDataFrame([(json.dumps(whole, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def main() -> None:
@@ -130,7 +140,7 @@ def main() -> None:
     config = load_config(args.config)
     if args.datasets:
         config.datasets = [d for d in config.datasets if d.name in args.datasets]
-    Pipeline(SparkSession.builder.getOrCreate(), config).run(not args.no_profile, not args.no_match, not args.no_report)
+    Pipeline(get_session(), config).run(not args.no_profile, not args.no_match, not args.no_report)
 
 
 if __name__ == "__main__":

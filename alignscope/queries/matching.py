@@ -15,36 +15,7 @@ from ..operators import metrics as P
 from ..operators import paris as R
 from ..sources import ntriples as N
 from .base import query, r6
-from .profile import VALUES
-
-# ---------------------------------------------------------------- components
-
-
-
-def star_pair(p: KGPair) -> KGPair:
-    """Customers with their orders alone: one small component per customer, the part over which the SQL is written."""
-    keep = F.col("relation").endswith("placedBy") | F.col("relation").endswith("hasOrder")
-    rel = p.rel.where(keep)
-    return p.with_frames(rel=rel, attr=p.attr.limit(0), align=p.align.limit(0))
-
-
-_STAR = """, se as (select kg, case when kg = 'kg1' then tail else head end as c, case when kg = 'kg1' then head else tail end as o from rel where relation like '%placedBy' or relation like '%hasOrder'),
-lab as (select kg, c, least(c, min(o)) as component from se group by kg, c), comp as (select kg, c as node, component from lab union select se.kg, o, component from se join lab using (kg, c))"""
-query("components", f"{_STAR} select kg, node, component from comp")(lambda p: G.pair_components(star_pair(p)))
-query("component_sizes", f"""{_STAR}, s as (select kg, component, count(*) as size from comp group by all) select kg, r as rank, size as component_size from (select *, row_number() over (partition by kg order by size desc, component) as r from s) where r <= 20""")(lambda p: G.component_table(G.pair_components(star_pair(p))))
-# over the whole graph, with its giant component and the entities without an edge; no SQL
-query("components_whole")(G.pair_components)
-query("component_sizes_whole")(lambda p: G.component_table(G.pair_components(p)))
-# the whole graph is connected but for entities without an edge, which SQL shows by their degree
-query("connectivity", f"""
-, e as (select distinct kg, least(head, tail) as a, greatest(head, tail) as b from rel where head <> tail), ew as (select kg, a, b from e union all select kg, b, a from e), dg as (select kg, a as node, count(*) as d from ew group by kg, a),
-tri as (select x.kg, x.a as n1, x.b as n2, y.b as n3 from e x join e y on x.kg = y.kg and x.b = y.a join e z on z.kg = x.kg and z.a = x.a and z.b = y.b),
-per as (select kg, node, count(*) as t from (select kg, unnest([n1, n2, n3]) as node from tri) group by kg, node), cl as (select kg, sum(2 * t / (d * (d - 1))) as c from per join dg using (kg, node) group by kg),
-n as (select kg, count(*) as n, count(*) filter (total_degree = 0) as iso from deg group by kg), m as (select kg, count(*) as m from e group by kg)
-select kg, iso + 1 as n_components, n - iso as size_largest_cc, {r6("(n - iso) / n")} as share_largest_cc, {r6("iso / (iso + 1)")} as share_singleton_cc, {r6("2 * m / (n::double * (n - 1))")} as density, {r6("coalesce(c, 0) / n")} as avg_clustering from n join m using (kg) left join cl using (kg)""")(G.connectivity)
-query("reachability", f"""
-, t as (select d1 > 0 as x, d2 > 0 as y from gd) select unnest(['edge_kg1', 'edge_kg2', 'lcc_kg1', 'lcc_kg2', 'both_with_edge', 'both_in_lcc']) as criterion,
-unnest([{r6("avg(x::int)")}, {r6("avg(y::int)")}, {r6("avg(x::int)")}, {r6("avg(y::int)")}, {r6("avg((x and y)::int)")}, {r6("avg((x and y)::int)")}]) as share from t""")(P.reachability)
+from .profile import COMPONENTS, VALUES
 
 # ---------------------------------------------------------------- literals and names
 
@@ -153,40 +124,29 @@ query("structural_full")(lambda p: M.structural().match(p))
 # ---------------------------------------------------------------- linkage and the fixpoint
 
 
-def small_pair(p: KGPair) -> KGPair:
-    """Suppliers, customers and nations alone: the part over which the SQL of the linkage queries is written."""
-    keep = F.col("relation").rlike("(inNation|inRegion|country|partOf)$")
-    heads = F.col("head").rlike("(/c/|/s/|/C_|/S_)")
-    return p.with_frames(rel=p.rel.where(keep), attr=p.attr.where(heads), align=p.align.where(F.col("e1").rlike("(/c/|/s/)")))
-
-
-_BLOCKS = f"""{VALUES}, rec as (select kg, entity, string_agg(value, ' ' order by value) as text from vals where regexp_matches(entity, '(/c/|/s/|/C_|/S_)') group by all),
-tok as (select distinct kg, entity, unnest(regexp_extract_all(text, '[0-9a-z]+')) as token from rec), blk as (select * from tok where token in (select token from tok group by token having count(distinct kg) = 2)),
-sz as (select token, count(*) filter (kg = 'kg1') * count(*) filter (kg = 'kg2') as size from blk group by token having size > 0 and size <= 2500),
+_RECORDS = f"""{VALUES}, rec as (select kg, entity, string_agg(value, ' ' order by value) as text from vals group by all)"""
+_BLOCKS = f"""{_RECORDS}, tok as (select distinct kg, entity, unnest(regexp_extract_all(text, '[0-9a-z]+')) as token from rec), blk as (select * from tok where token in (select token from tok group by token having count(distinct kg) = 2)),
+sz0 as (select token, count(*) filter (kg = 'kg1') * count(*) filter (kg = 'kg2') as size, count(*) as assigned from blk group by token), lv as (select size, sum(sum(assigned)) over (order by size)::double as a, sum(sum(size)) over (order by size)::double as c from sz0 group by size),
+bound as (select coalesce(max(size) filter (stays), min(size)) as b from (select size, lag(a) over (order by size) * c < 1.025 * lag(c) over (order by size) * a as stays from lv)), sz as (select * from sz0 where size <= (select b from bound)),
 cl as (select kg, entity, token from (select *, row_number() over (partition by kg, entity order by size, token) as r, count(*) over (partition by kg, entity) as n from blk join sz using (token)) where r <= ceil(n * 0.8))"""
-_EDGES = f"""{_BLOCKS}, one as (select token, entity as e1 from cl where kg = 'kg1'), two as (select token, entity as e2 from cl where kg = 'kg2'),
-ed0 as (select e1, e2, count(*) as common from one join two using (token) group by all), ed as (select e1, e2, round(common / (n1 + n2 - common) * log10((select count(*) from ed0) / count(*) over (partition by e1)) * log10((select count(*) from ed0) / count(*) over (partition by e2)), 9) as weight
-  from ed0 join (select e1, count(*) as n1 from one group by e1) using (e1) join (select e2, count(*) as n2 from two group by e2) using (e2)), mb as (select * from ed where weight >= (select round(avg(weight), 9) from ed))"""
-query("entity_records", f""", {_BLOCKS} select kg, entity, text from rec""")(lambda p: K.entity_records(small_pair(p)))
-query("token_blocks", f""", {_BLOCKS} select kg, entity, token from cl""")(lambda p: K.clean_blocks(K.token_blocks(K.entity_records(small_pair(p))), 2500))
-query("meta_blocking_weights", f""", {_EDGES} select e1, e2, {r6("weight")} as weight from mb""")(lambda p: K.meta_blocking(K.clean_blocks(K.token_blocks(K.entity_records(small_pair(p))), 2500)))
-_SIM = f"""{_EDGES}, gr as (select kg, entity, list_distinct(case when length(text) >= 3 then list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) else [text] end) as g from rec),
-sim as (select e1, e2, round(len(list_intersect(x.g, y.g)) / sqrt(len(x.g)::double * len(y.g)), 9) as score from mb join gr x on x.kg = 'kg1' and x.entity = e1 join gr y on y.kg = 'kg2' and y.entity = e2)"""
-query("ngram_similarity", f""", {_SIM} select e1, e2, {r6("score")} as score from sim""")(lambda p: K.candidate_graph(small_pair(p), max_comparisons=2500))
-# over the whole graph, orders and parts included; no SQL, compared with brute force on a small fixture
-query("entity_records_whole")(K.entity_records)
-query("token_blocks_whole")(lambda p: K.clean_blocks(K.token_blocks(K.entity_records(p))))
-query("meta_blocking_weights_whole")(lambda p: K.meta_blocking(K.clean_blocks(K.token_blocks(K.entity_records(p)))))
-query("ngram_similarity_whole")(K.candidate_graph)
+query("entity_records", f""", {_RECORDS} select kg, entity, text from rec""")(K.entity_records)
+query("token_blocks", f""", {_BLOCKS} select kg, entity, token from cl""")(lambda p: K.clean_blocks(K.token_blocks(K.entity_records(p))))
+# edges of large blocks are too many for SQL on whole tables; compared with brute force on a small fixture
+query("meta_blocking_weights")(lambda p: K.meta_blocking(K.clean_blocks(K.token_blocks(K.entity_records(p)))))
+query("ngram_similarity")(K.candidate_graph)
 query("ngram_match")(lambda p: K.ngram_matcher().match(p))
-query("unique_mapping")(lambda p: K.unique_mapping(M.value_scores(p), 0.2))
+# greedy one-to-one mapping: in each step the pairs that are the best of both sides are taken, and pairs that touch them go
+_GREEDY = f"""{_CAND}, gm(e1, e2, score, taken, i) as (select e1, e2, score, false, 0 from cand where score >= 0.2 union all
+  select e1, e2, score, a = 1 and b = 1, i + 1 from (select *, max((a = 1 and b = 1)::int) over (partition by e1) as u, max((a = 1 and b = 1)::int) over (partition by e2) as v from
+    (select e1, e2, score, i, row_number() over (partition by e1 order by score desc, e1, e2) as a, row_number() over (partition by e2 order by score desc, e1, e2) as b from gm where not taken)) where a = 1 and b = 1 or u + v = 0)"""
+query("unique_mapping", f""", {_GREEDY} select e1, e2, {r6("score")} as score from gm where taken""")(lambda p: K.unique_mapping(M.value_scores(p), 0.2))
 query("paris_fixpoint")(lambda p: R.paris_matcher().match(p))
 
 # ---------------------------------------------------------------- evaluation
 
 
 def value_predictions(p: KGPair):
-    return G.checkpointed(M.value_overlap().match(p))
+    return p.once("value_predictions", lambda: M.value_overlap().match(p))
 
 
 def _eval(split: str) -> str:
@@ -223,20 +183,60 @@ union all select 'variant', count(*) filter (e2 <> ''), count(*) filter (e2 = ''
 
 # ---------------------------------------------------------------- errors
 
-_ERR = f""", {_PRED}, sc as (select e1, max(e2) as g from align where split = 'test' group by e1),
+_FE = f"""{_PRED}, sc as (select e1, max(e2) as g from align where split = 'test' group by e1),
 sh as (select e1, count(*) as shared from (select distinct e1, e2 from align where split = 'test' and e2 <> '') join vals x on x.kg = 'kg1' and x.entity = e1 join vals y on y.kg = 'kg2' and y.entity = e2 and x.value = y.value group by e1),
-fe as (select sc.e1, g, pred.e2 as pr, coalesce(x.d, 0) as k1, coalesce(y.d, 0) as k2, coalesce(x.a, 0) as a1, coalesce(shared, 0) as shared from sc left join facts x on x.kg = 'kg1' and x.entity = sc.e1 left join facts y on y.kg = 'kg2' and y.entity = g left join sh on sh.e1 = sc.e1 left join pred on pred.e1 = sc.e1),
-er as (select e1, g as e2_gold, pr as e2_pred, g <> '' as has_gold, k1 as degree_kg1, k2 as degree_kg2, a1 as n_attr_kg1, shared as shared_literals, case when g <> '' and pr = g then 'correct' when g = '' and pr is not null then 'false_on_unmatched' when g = '' then 'true_negative' when k1 = 0 and a1 = 0 then 'no_signal' when shared = 0 then 'no_shared_literal' when pr is null then 'abstained' else 'wrong_candidate' end as error_class from fe)"""
+fe as (select sc.e1, g, pred.e2 as pr, coalesce(x.d, 0) as k1, coalesce(y.d, 0) as k2, coalesce(x.a, 0) as a1, coalesce(shared, 0) as shared,
+  coalesce(x.d, 0) = 0 or coalesce(y.d, 0) = 0 or sc.e1 not in (select entity from lcc where kg = 'kg1') or g not in (select entity from lcc where kg = 'kg2') as cut
+  from sc left join facts x on x.kg = 'kg1' and x.entity = sc.e1 left join facts y on y.kg = 'kg2' and y.entity = g left join sh on sh.e1 = sc.e1 left join pred on pred.e1 = sc.e1)"""
+#: What the matcher families cannot solve, with the name of that cause.
+_CAUSES = {"value": ("shared = 0", "no_shared_literal"), "structural": ("cut", "structurally_unreachable"), "holistic": ("cut and shared = 0", "structurally_unreachable")}
+
+
+def _er(family: str) -> str:
+    test, cause = _CAUSES[family]
+    return f"""select '{family}' as family, e1, g as e2_gold, pr as e2_pred, g <> '' as has_gold, k1 as degree_kg1, k2 as degree_kg2, a1 as n_attr_kg1, shared as shared_literals, case when g <> '' and pr = g then 'correct' when g = '' and pr is not null then 'false_on_unmatched'
+  when g = '' then 'true_negative' when k1 = 0 and a1 = 0 then 'no_signal' when {test} then '{cause}' when pr is null then 'abstained' else 'wrong_candidate' end as error_class from fe"""
 
 
-def classified(p):
-    return X.classify(X.features(p, largest=p.entities()), value_predictions(p), "value")
+_ERR = f""", {COMPONENTS}, {_FE}, er as ({_er("value")})"""
+
+
+def features(p):
+    return p.once("features", lambda: X.features(p, largest=G.largest_component(p, G.pair_components(p))))
+
+
+def classified(p, family="value"):
+    return X.classify(features(p), value_predictions(p), family)
+
+
+@query("error_families", f", {COMPONENTS}, {_FE} " + " union all ".join(_er(f) for f in _CAUSES))
+def error_families(p):
+    out = None
+    for family in _CAUSES:
+        t = classified(p, family).select(F.lit(family).alias("family"), "*")
+        out = t if out is None else out.union(t)
+    return out
 
 
 _SUM = f"""{_ERR}, su as (select c as error_class, coalesce(n, 0) as n from (select unnest(['correct', 'true_negative', 'false_on_unmatched', 'no_signal', 'structurally_unreachable', 'no_shared_literal', 'abstained', 'wrong_candidate']) as c) left join (select error_class, count(*) as n from er group by all) on error_class = c)"""
-query("error_classes", f"{_ERR} select * from er")(classified)
+query("error_classes", f"{_ERR} select * exclude (family) from er")(classified)
 query("error_summary", f"""{_SUM} select 'tables' as dataset, 'value_overlap' as matcher, error_class, n, {r6("n / sum(n) over ()")} as share from su""")(lambda p: X.summarize(classified(p), "tables", "value_overlap"))
 query("solvability", f"""{_SUM}, s as (select sum(n) filter (error_class not in ('correct', 'true_negative'))::bigint as n_errors, coalesce(sum(n) filter (error_class in ('no_signal', 'structurally_unreachable', 'no_shared_literal')), 0)::bigint as n_unsolvable from su)
 select 'tables' as dataset, 'value_overlap' as matcher, n_errors, n_unsolvable, round(n_unsolvable / n_errors, 4) as unsolvable_share, round(1 - n_unsolvable / n_errors, 4) as method_share from s""")(lambda p: X.solvability(X.summarize(classified(p), "tables", "value_overlap")))
 query("error_examples", f"""{_ERR} select error_class, r as rank, e1, e2_gold, e2_pred, abs(degree_kg1 - degree_kg2) as degree_gap from (select *, row_number() over (partition by error_class order by abs(degree_kg1 - degree_kg2) desc, e1) as r from er where error_class not in ('correct', 'true_negative')) where r <= 3""")(lambda p: X.examples(classified(p)))
 
+
+
+@query("mean_shares", f""", {COMPONENTS}, {_FE}, er as ({" union all ".join(_er(f) for f in _CAUSES)}), sh8 as (select family as matcher, c as error_class, count(e1) / (select count(*) from fe) as share from (select family, unnest(['correct', 'true_negative', 'false_on_unmatched', 'no_signal', 'structurally_unreachable', 'no_shared_literal', 'abstained', 'wrong_candidate']) as c from (select distinct family from er)) q
+left join er on er.family = q.family and error_class = c group by all) select matcher, error_class, {r6("share")} as share from sh8""".replace("select family as matcher, c as", "select q.family as matcher, c as"))
+def mean_shares(p):
+    out = None
+    for family in _CAUSES:
+        t = X.summarize(classified(p, family), "tables", family)
+        out = t if out is None else out.union(t)
+    wide = X.mean_shares(out)
+    return wide.select("matcher", F.explode(F.array(*(F.struct(F.lit(c).alias("error_class"), F.col(c).alias("share")) for c in X.CLASSES))).alias("c")).select("matcher", "c.error_class", "c.share")
+
+
+# a run of the structural matcher for each seed fraction; no SQL, compared with brute force on a small fixture
+query("seed_size_runs")(lambda p: E.seed_size_sweep(p, M.structural(iterations=1)))

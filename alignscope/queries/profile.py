@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import graph as G
 from ..operators import metrics as M
+from ..operators import reports as R
 from .base import query, r6
 
 query("entity_set", "select kg, entity from ents")(lambda p: p.entities())
@@ -69,9 +70,6 @@ select kg, {r6("heads / n")} as share_entities_with_attribute, {r6("triples / n"
 from (select kg, count(*) as n from ents group by kg) join (select kg, count(distinct head) as heads, count(*) as triples, count(distinct (head, attribute)) as pairs from attr group by kg) using (kg)
 join (select kg, avg(coverage) as mc, quantile_cont(coverage, 0.5) as med, max(coverage) as mx, count(*) filter (coverage > 0.1) as n10 from {_COVER} group by kg) using (kg)""")(M.attribute_completeness)
 
-_LIT = r"""^"((?s:.)*)"(?:@([A-Za-z][A-Za-z0-9-]*)|\^\^<([^>]*)>|\^\^([A-Za-z]+:[^\s]+))?$"""
-_DT = f"""case when literal = '' then 'empty' when regexp_extract(literal, '{_LIT}', 2) <> '' then 'langString' when regexp_extract(literal, '{_LIT}', 3) <> '' then regexp_replace(regexp_extract(literal, '{_LIT}', 3), '^.*[#/]', '')
-  when regexp_extract(literal, '{_LIT}', 4) <> '' then regexp_replace(regexp_extract(literal, '{_LIT}', 4), '^.*:', '') when regexp_matches(case when regexp_matches(literal, '{_LIT}') then regexp_replace(literal, '{_LIT}', '\\1') else literal end, '^[+-]*([0-9]+\\.?[0-9]*|\\.[0-9]+)$') then 'numeric' else 'string' end"""
 _DT = f"""case when literal = '' then 'empty' when literal like '"%"@en' then 'langString' when literal like '%^^<%>' then regexp_replace(regexp_replace(literal, '>$', ''), '^.*[#/]', '') when regexp_matches(trim(literal, '"'), '^[+-]*([0-9]+\\.?[0-9]*|\\.[0-9]+)$') then 'numeric' else 'string' end"""
 query("datatype_mix", f"""
 select kg, {r6("avg((t in ('string', 'langString'))::int)")} as share_text, {r6("avg((t in ('numeric', 'integer', 'double', 'float') or contains(t, 'nonNegativeInteger'))::int)")} as share_numeric, {r6("avg((contains(lower(t), 'date'))::int)")} as share_date, {r6("avg(length(literal))")} as mean_literal_length
@@ -119,3 +117,107 @@ tri as (select x.kg, x.a as n1, x.b as n2, y.b as n3 from e x join e y on x.kg =
 per as (select kg, node, count(*) as t from (select kg, unnest([n1, n2, n3]) as node from tri) group by kg, node)
 select kg, coalesce(t, 0) as n_triangles, {r6("coalesce(c, 0)")} as avg_clustering from (select kg, count(*) as n from ents group by kg) left join
 (select kg, (sum(t) / 3)::bigint as t, sum(2 * t / (d * (d - 1))) / (select count(*) from ents en where en.kg = per.kg) as c from per join dg using (kg, node) group by kg) using (kg)""")(G.clustering)
+
+query("alignment_shares", f"""
+, f1 as (select count(*) as f from gold group by e1), f2 as (select count(*) as f from gold group by e2), n as (select kg, count(*) as n from ents group by kg)
+select (select {r6("avg((f > 1)::int)")} from f1) as ambiguity_1_to_n, (select {r6("avg((f > 1)::int)")} from f2) as ambiguity_n_to_1, {r6("1 - (select count(*) from f1) / (select n from n where kg = 'kg1')")} as unaligned_share_kg1,
+  {r6("1 - (select count(*) from f2) / (select n from n where kg = 'kg2')")} as unaligned_share_kg2, {r6("(select count(*) from align where e2 = '') / (select n from n where kg = 'kg1')")} as non_match_share_kg1""")(M.alignment_shares)
+query("split_sizes", "select split, count(*) as n from align where e2 <> '' group by split")(M.split_sizes)
+query("aligned_shares", f"""select count(*) as n_pairs_evaluated, {r6("avg((d1 = 0 or d2 = 0)::int)")} as share_pairs_one_side_isolated, {r6("avg((d1 = 0 and d2 = 0)::int)")} as share_pairs_both_isolated, {r6("avg((a1 = 0 or a2 = 0)::int)")} as share_pairs_one_side_no_attr from gd""")(M.aligned_shares)
+
+
+def describe_sql(source: str, keys: str) -> str:
+    """SQL of S.describe over a relation with the keys and x."""
+    by = f"partition by {keys}"
+    return f"""select {keys}, count(*) as n, {r6("avg(x)")} as mean, {r6("quantile_cont(x, 0.5)")} as median, {r6("stddev_pop(x)")} as std, min(x)::double as min, max(x)::double as max, {", ".join(r6(f"quantile_cont(x, {q / 100})") + f" as p{q}" for q in (25, 75, 95, 99))},
+{r6("coalesce(case when count(*) > 2 and stddev_pop(x) > 0 then skewness(x) end, 0)")} as skew, {r6("coalesce(case when count(*) > 3 and stddev_pop(x) > 0 then kurtosis(x) end, 0)")} as kurtosis,
+{r6("case when sum(x) = 0 then 0 else greatest(0, 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*)) end")} as gini from (select *, row_number() over ({by} order by x) as i from (select {keys}, x::double as x from {source})) group by {keys}"""
+
+
+_GAP = "(select 'abs_degree_diff' as of, abs(d1 - d2) as x from gd)"
+query("degree_differences", describe_sql(_GAP, "of"))(M.degree_differences)
+query("property_frequencies", describe_sql(f"(select kg, kind, n as x from {_COUNTS})", "kg, kind"))(M.property_frequencies)
+_OVERLAP = f"""{VALUES}, n1 as (select e1, e2, count(value) as n1 from gold left join vals on kg = 'kg1' and entity = e1 group by e1, e2), n2 as (select e1, e2, count(value) as n2 from gold left join vals on kg = 'kg2' and entity = e2 group by e1, e2),
+sh as (select e1, e2, count(*) as shared from gold join vals x on x.kg = 'kg1' and x.entity = e1 join vals y on y.kg = 'kg2' and y.entity = e2 and x.value = y.value group by e1, e2),
+ov as (select coalesce(shared, 0) as s, n1, n2 from n1 join n2 using (e1, e2) left join sh using (e1, e2))"""
+query("literal_means", f""", {_OVERLAP} select {r6("avg(case when n1 > 0 and n2 > 0 then s / (n1 + n2 - s) else 0 end)")} as "literal_value_jaccard.mean", {r6("avg(case when n1 > 0 and n2 > 0 then s / least(n1, n2) else 0 end)")} as "literal_value_containment.mean", {r6("avg((s = 0)::int)")} as share_pairs_no_shared_literal from ov""")(M.literal_means)
+
+#: lab: the least node reached after at most 16 steps along edges, which is the component of every node of these graphs; lcc: the largest component.
+COMPONENTS = """ne as (select distinct kg, head as x, tail as y from rel union select distinct kg, tail, head from rel union select kg, entity, entity from ents),
+steps(kg, node, l, i) as (select kg, entity, entity, 0 from ents union all select ne.kg, ne.x, min(l), i + 1 from steps join ne on ne.kg = steps.kg and ne.y = steps.node where i < 16 group by ne.kg, ne.x, i),
+lab as (select kg, node, l as component from steps where i = 16), csize as (select kg, component, count(*) as size from lab group by all),
+lcc as (select kg, node as entity from lab join (select kg, component from (select *, row_number() over (partition by kg order by size desc, component) as r from csize) where r = 1) using (kg, component))"""
+query("components", f", {COMPONENTS} select * from lab")(G.pair_components)
+query("component_sizes", f", {COMPONENTS} select kg, r as rank, size as component_size from (select *, row_number() over (partition by kg order by size desc, component) as r from csize) where r <= 20")(lambda p: G.component_table(G.pair_components(p)))
+_CC = """cc as (select kg, count(*) as n_components, max(size) as size_largest_cc, sum(size) as n, count(*) filter (size = 1) as single from csize group by kg)"""
+query("connectivity", f"""
+, {COMPONENTS}, {_CC}, e as (select distinct kg, least(head, tail) as a, greatest(head, tail) as b from rel where head <> tail), ew as (select kg, a, b from e union all select kg, b, a from e), dg as (select kg, a as node, count(*) as d from ew group by kg, a),
+tri as (select x.kg, x.a as n1, x.b as n2, y.b as n3 from e x join e y on x.kg = y.kg and x.b = y.a join e z on z.kg = x.kg and z.a = x.a and z.b = y.b),
+per as (select kg, node, count(*) as t from (select kg, unnest([n1, n2, n3]) as node from tri) group by kg, node), cl as (select kg, sum(2 * t / (d * (d - 1))) as c from per join dg using (kg, node) group by kg), m as (select kg, count(*) as m from e group by kg)
+select kg, n_components, size_largest_cc, {r6("size_largest_cc / n")} as share_largest_cc, {r6("single / n_components")} as share_singleton_cc, {r6("2 * m / (n::double * (n - 1))")} as density, {r6("coalesce(c, 0) / n")} as avg_clustering from cc join m using (kg) left join cl using (kg)""")(G.connectivity)
+_REACH = """t as (select d1 > 0 as x, d2 > 0 as y, e1 in (select entity from lcc where kg = 'kg1') as u, e2 in (select entity from lcc where kg = 'kg2') as v from gd)"""
+query("reachability", f"""
+, {COMPONENTS}, {_REACH} select unnest(['edge_kg1', 'edge_kg2', 'lcc_kg1', 'lcc_kg2', 'both_with_edge', 'both_in_lcc']) as criterion,
+unnest([{r6("avg(x::int)")}, {r6("avg(y::int)")}, {r6("avg(u::int)")}, {r6("avg(v::int)")}, {r6("avg((x and y)::int)")}, {r6("avg((u and v)::int)")}]) as share from t""")(M.reachability)
+query("entity_ordinals", "select kg, entity, row_number() over (partition by kg order by entity) - 1 as i from ents")(lambda p: p.ordinals())
+
+# ---------------------------------------------------------------- keys over both graphs, and the tables of all datasets
+
+_PAIRED = [
+    ("degree_distribution", "pair.min_median_total_degree", "select min(m) from (select median(total_degree) as m from deg group by kg)"),
+    ("degree_distribution", "pair.max_share_isolated", "select max(m) from (select avg((total_degree = 0)::int) as m from deg group by kg)"),
+    ("degree_distribution", "pair.mean_total_degree", "select avg(m) from (select avg(total_degree) as m from deg group by kg)"),
+    ("degree_distribution", "pair.mean_degree_gini", "select avg(g) from (select greatest(0, 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*)) as g from (select kg, total_degree::double as x, row_number() over (partition by kg order by total_degree) as i from deg) group by kg)"),
+    ("property_distribution", "pair.mean_rel_entropy_norm", "select avg(h) from (select -sum(p * log2(p)) / log2(count(*)) as h from (select kg, count(*) / sum(count(*)) over (partition by kg) as p from rel group by kg, relation) group by kg)"),
+    ("connectivity", "pair.min_share_largest_cc", "select min(size_largest_cc / n) from cc"),
+    ("attribute_completeness", "pair.min_share_entities_with_attribute", "select min(h / n) from nh"),
+    ("attribute_completeness", "pair.mean_attr_per_entity", "select avg(t / n) from nh"),
+    ("attribute_completeness", "pair.mean_share_literals_text", f"select avg(s) from (select avg(({_DT} in ('string', 'langString'))::int) as s from attr group by kg)"),
+]
+_NH = "nh as (select kg, n, h, t from (select kg, count(*) as n from ents group by kg) join (select kg, count(distinct head) as h, count(*) as t from attr group by kg) using (kg))"
+
+
+@query("pair_scalars", f", {COMPONENTS}, {_CC}, {_NH} " + " union all ".join(f"select '{m}' as metric, '{k}' as key, {r6('(' + sql + ')')} as value" for m, k, sql in _PAIRED))
+def pair_scalars(p):
+    out = None
+    for name in M.PAIRED:
+        rows = M.scalars(p, name).where("key like 'pair.%'").select("metric", "key", "value")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+_SIZES = "nr as (select kg, count(*) as n_rel_triples, count(distinct relation) as n_relations from rel group by kg), na as (select kg, count(*) as n_attr_triples, count(distinct attribute) as n_attributes, count(distinct literal) as n_literals from attr group by kg), nn as (select kg, count(*) as n_entities from ents group by kg), bs as (select * from nn join nr using (kg) join na using (kg))"
+_BASIC = [*((c, c) for c in ("n_entities", "n_relations", "n_attributes", "n_literals", "n_rel_triples", "n_attr_triples")), ("attr_to_rel_ratio", "n_attr_triples / n_rel_triples"), ("rel_triples_per_entity", "n_rel_triples / n_entities"), ("attr_triples_per_entity", "n_attr_triples / n_entities")]
+_ONE = {
+    "n_alignments": "select count(*) from gold", "alignment_ratio": "(select count(*) from gold) / (select min(n_entities) from nn)", "n_entities_total": "select count(*) from ents",
+    "n_triples_total": "(select count(*) from rel) + (select count(*) from attr)", "size_asymmetry": "select (max(n_rel_triples) - min(n_rel_triples)) / max(n_rel_triples) from nr",
+}
+
+
+@query("comparison_scalars", f", {_SIZES} " + " union all ".join([*(f"select 'tables' as dataset, 'basic_stats' as metric, kg || '.{k}' as key, {r6(v)} as value from bs" for k, v in _BASIC), *(f"select 'tables', 'basic_stats', '{k}', {r6(f'({v})')}" for k, v in _ONE.items())]))
+def comparison_scalars(p):
+    return M.scalars(p, "basic_stats")
+
+
+_RANKED = "rk as (select *, rank() over (order by d1) + (count(*) over (partition by d1) - 1) / 2.0 as r1, rank() over (order by d2) + (count(*) over (partition by d2) - 1) / 2.0 as r2 from gd)"
+_FAN = "fan as (select *, count(*) over (partition by e1) as f1, count(*) over (partition by e2) as f2 from gold)"
+_HEAD = {
+    **{f"basic_stats.kg{i}.{c}": f"select {c} from bs where kg = 'kg{i}'" for c in ("n_entities", "n_rel_triples", "n_attr_triples") for i in (1, 2)},
+    "basic_stats.n_alignments": _ONE["n_alignments"], "basic_stats.size_asymmetry": _ONE["size_asymmetry"],
+    **{f"degree_distribution.kg{i}.total.mean": f"select avg(total_degree) from deg where kg = 'kg{i}'" for i in (1, 2)},
+    **{f"degree_distribution.kg{i}.share_isolated": f"select avg((total_degree = 0)::int) from deg where kg = 'kg{i}'" for i in (1, 2)},
+    **{f"connectivity.kg{i}.share_largest_cc": f"select size_largest_cc / n from cc where kg = 'kg{i}'" for i in (1, 2)},
+    **{f"attribute_completeness.kg{i}.share_entities_with_attribute": f"select h / n from nh where kg = 'kg{i}'" for i in (1, 2)},
+    "schema_heterogeneity.property.jaccard": "select sum(a * b) / count(*) from sides where kind = 'property'", "aligned_consistency.degree_spearman": "select corr(r1, r2) from rk",
+    "alignment_metrics.bijective_share": "select avg((f1 = 1 and f2 = 1)::int) from fan", "alignment_reachability.both_in_lcc.share": "select avg((u and v)::int) from t",
+}
+
+
+@query("headline", f", {COMPONENTS}, {_CC}, {_NH}, {_SIZES}, {_RANKED}, {_FAN}, {_REACH}, {_VOCAB} select 'tables' as dataset, " + ", ".join(f'{r6(f"({v})")} as "{k}"' for k, v in _HEAD.items()))
+def headline(p):
+    out = None
+    for name in ("basic_stats", "degree_distribution", "connectivity", "attribute_completeness", "schema_heterogeneity", "aligned_consistency", "alignment_metrics", "alignment_reachability"):
+        rows = M.scalars(p, name)
+        out = rows if out is None else out.union(rows)
+    # only the columns of the table, so that the pivot is over few names
+    return R.headline(R.comparison(out.where(F.concat_ws(".", "metric", "key").isin(*R.HEADLINE))))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
-from ..operators import metrics as P
 from ..operators import reports as R
 from .base import query, r6
 
@@ -44,7 +43,22 @@ _LONG = f"""{_SCORES}, lo as (select matcher, unnest(['m.balance', 'm.customers'
 rk as (select *, rank() over (partition by matcher, metric order by x) + (count(*) over (partition by matcher, metric, x) - 1) / 2.0 as rx, rank() over (partition by matcher, metric order by y) + (count(*) over (partition by matcher, metric, y) - 1) / 2.0 as ry from lo),
 rho as (select matcher, metric, corr(rx, ry) as rho, count(*) as n from rk group by all having count(*) >= 4 and count(distinct x) >= 3)"""
 query("spearman_matrix", f"with {_LONG} select matcher, metric, {r6('rho')} as spearman_rho, n as n_datasets from rho", kg=False)(lambda s, d: R.spearman(merged(s, d), COLUMNS))
-query("correlate", kg=False)(lambda s, d: R.correlate(merged(s, d), COLUMNS))
+# the two-sided p of a correlation in closed form: with sin = |rho| and cos = sqrt(1 - rho^2), a finite sum for odd and for even degrees of freedom
+_SUM = lambda first, term: f"list_sum(list_transform(range(0, greatest(0, {first})), lambda j: {term}))"
+_PVAL = f"""case when abs(rho) >= 1 then 0 when (n - 2) % 2 = 1 then 1 - 2 / pi() * (asin(abs(rho)) + abs(rho) * coalesce({_SUM("(n - 3) // 2", "exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(1 - rho * rho, j + 0.5)")}, 0))
+  else 1 - abs(rho) * coalesce({_SUM("(n - 2) // 2", "exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(1 - rho * rho, j)")}, 0) end"""
+query("correlate", f"""with {_LONG}, r12 as (select matcher, metric, round(rho, 12) as rho, n from rho), pv as (select *, {_PVAL} as p, count(*) over () as n_tests from r12), pr as (select *, row_number() over (order by p, matcher, metric) as r from pv),
+co as (select *, least(1, p * n_tests) as bonf, least(1, min(p * n_tests / r) over (order by r desc)) as fdr from pr)
+select matcher, metric, {r6('rho')} as spearman_rho, {r6('p')} as p_value, n as n_datasets, {r6('abs(rho)')} as abs_rho, n_tests, {r6('bonf')} as p_bonferroni, {r6('fdr')} as p_fdr, bonf <= 0.05 as survives_bonferroni, fdr <= 0.05 as survives_fdr from co""", kg=False)(lambda s, d: R.correlate(merged(s, d), COLUMNS))
+
+
+def _cells(wide, keys, name, value):
+    """A pivoted table as (keys, name, value), without empty cells."""
+    names = [c for c in wide.columns if c not in keys]
+    return wide.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias(name), F.col(f"`{n}`").alias(value)) for n in names))).alias("c")).select(*keys, f"c.{name}", f"c.{value}").where(f"{value} is not null")
+
+
+query("rho_matrix", f"with {_LONG} select matcher, metric, {r6('rho')} as spearman_rho from rho", kg=False)(lambda s, d: _cells(R.rho_matrix(R.spearman(merged(s, d), COLUMNS)), ["matcher"], "metric", "spearman_rho"))
 
 
 @query("top_drivers", f"with {_LONG} select * from (select matcher, metric, {r6('rho')} as spearman_rho, n as n_datasets, {r6('abs(rho)')} as abs_rho, row_number() over (partition by matcher order by round(abs(rho), 12) desc, metric) as rank from rho) where rank <= 2", kg=False)
@@ -97,12 +111,13 @@ def equivalence_check(p):
     two = p.degrees().groupBy("kg").agg(F.count("*").cast("double").alias("value")).select(F.concat(F.lit("n_ents."), "kg").alias("metric"), "value").union(rel.select("metric", F.col("value") + 1))
     return R.equivalence(one, two)
 
-
-query("comparison_scalars")(lambda p: P.scalars(p, "basic_stats").union(P.scalars(p, "alignment_metrics")))
+# sweeps of several datasets: flags as matchers, line numbers as thresholds
+_SWEEPS = "sw as (select l_returnflag as matcher, l_linestatus as dataset, l_linenumber / 10.0::double as threshold, avg(l_discount) as f1 from lineitem group by all), tm as (select matcher, threshold, avg(f1) as f1 from sw group by all)"
 
 
-@query("headline")
-def headline(p):
-    return R.headline(R.comparison(P.scalars(p, "basic_stats").union(P.scalars(p, "alignment_metrics"))))
+def sweeps(s, d):
+    return s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("matcher"), F.col("l_linestatus").alias("dataset"), (F.col("l_linenumber") / F.lit(10.0)).alias("threshold")).agg(F.avg("l_discount").alias("f1"))
 
 
+query("threshold_means", f"with {_SWEEPS} select matcher, threshold, {r6('f1')} as f1 from tm", kg=False)(lambda s, d: E.threshold_means(sweeps(s, d)))
+query("threshold_choices", f"with {_SWEEPS} select matcher, threshold, {r6('f1')} as f1 from (select *, row_number() over (partition by matcher order by round(f1, 9) desc, threshold) as r from tm) where r = 1", kg=False)(lambda s, d: E.threshold_choice(E.threshold_means(sweeps(s, d)), ["matcher"]))

@@ -47,3 +47,26 @@ def classify_objects(attr: DataFrame) -> DataFrame:
     quoted = raw.startswith('"')
     bad = quoted & ~raw.rlike(L.LITERAL)
     return attr.agg(F.count_if(~bad & (raw != "")).alias("n_valid"), F.count_if(bad).alias("n_invalid"), F.count_if(raw == "").alias("n_empty"), F.count_if(L.is_ill_typed(raw)).alias("n_ill_typed"), F.count_if(~quoted & (raw != "")).alias("n_unquoted"))
+
+
+#: A statement as the format has it: IRIs or blank nodes, and literals with a language or a type.
+LINE = r'^\s*(?:<[^<>"{}|^`\\\x00-\x20]*>|_:\S+)\s+<[^<>"{}|^`\\\x00-\x20]*>\s+(?:<[^<>"{}|^`\\\x00-\x20]*>|_:\S+|"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>"{}|^`\\\x00-\x20]*>)?)\s*\.\s*(?:#.*)?$'
+
+
+def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, n_lines, n_statements, parses) of files: whether every line that is neither empty nor a comment is a statement."""
+    out = None
+    for path in paths:
+        t = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+        row = t.agg(F.count("*").alias("n_lines"), F.count_if(F.col("value").rlike(LINE)).alias("n_statements")).select(F.lit(path).alias("path"), "*", (F.col("n_lines") == F.col("n_statements")).alias("parses"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def store_comparison(statements: DataFrame, pair_side: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """One row: statements and subjects read back from N-Triples beside the distinct triples and heads of the frames they came from."""
+    rel, attr = pair_side
+    heads = rel.select("head").union(attr.where("literal <> ''").select("head")).distinct()
+    triples = rel.distinct().groupBy().agg(F.count("*").alias("rel")).crossJoin(attr.where("literal <> ''").distinct().groupBy().agg(F.count("*").alias("attr")))
+    back = statements.groupBy().agg(F.count("*").alias("n_statements"), F.countDistinct("subject").alias("n_subjects"))
+    return back.crossJoin(triples).crossJoin(heads.groupBy().agg(F.count("*").alias("n_heads"))).select("n_statements", "n_subjects", (F.col("rel") + F.col("attr")).alias("n_triples"), "n_heads")

@@ -1,6 +1,8 @@
-"""Loaders, metrics, matchers, evaluation and errors on the five-entity pair with hand-derived values."""
+"""Loaders, metrics, matchers, evaluation and errors on a small pair with hand-derived values."""
 
+import json
 import math
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,15 +10,16 @@ from pyspark.sql import functions as F
 from alignscope.functions import literals as L
 from alignscope.functions import stats as S
 from alignscope.operators import errors, evaluate, graph, linkage, matching, metrics, paris, reports
-from alignscope.plans import config, runner
+from alignscope.plans import config, datasets, folds, runner, session, sinks
 from alignscope.sources import get_loader, ntriples, store
+from alignscope.sources import paris as paris_files
 
-from . import mini
+from . import harbour
 
 
 @pytest.fixture(scope="module")
 def pair(spark, tmp_path_factory):
-    return store.save(get_loader("openea").load(spark, mini.write(tmp_path_factory.mktemp("mini"))), str(tmp_path_factory.mktemp("pair")))
+    return store.save(get_loader("openea").load(spark, harbour.write(tmp_path_factory.mktemp("harbour"))), str(tmp_path_factory.mktemp("pair")))
 
 
 def only(df, **where):
@@ -34,8 +37,8 @@ def values(spark, items, fn, column="x"):
 
 
 def test_loading(pair):
-    assert {(r.kg, r.n_entities, r.n_rel_triples, r.n_attr_triples) for r in metrics.basic(pair).collect()} == {("kg1", 5, 4, 5), ("kg2", 5, 4, 4)}
-    assert {r.split: r.n_matched for r in metrics.alignment_splits(pair).collect()} == {"train": 2, "valid": 1, "test": 2}
+    assert {(r.kg, r.n_entities, r.n_rel_triples, r.n_attr_triples) for r in metrics.basic(pair).collect()} == {("kg1", 7, 5, 5), ("kg2", 6, 5, 4)}
+    assert {r.split: r.n_matched for r in metrics.alignment_splits(pair).collect()} == {"train": 2, "valid": 1, "test": 3}
 
 
 def test_missing_parts(spark, tmp_path):
@@ -56,14 +59,15 @@ def test_missing_parts(spark, tmp_path):
 
 def test_degrees(pair):
     d = {r.entity: (r.out_degree, r.in_degree, r.total_degree) for r in pair.degrees().where("kg = 'kg1'").collect()}
-    assert d["kg1:a"] == (2, 1, 3) and d["kg1:d"] == (0, 1, 1) and d["kg1:e"] == (0, 0, 0) and sum(x[2] for x in d.values()) == 8
+    assert d["l/oslo"] == (1, 2, 3) and d["l/norway"] == (0, 1, 1) and d["l/ghost"] == (0, 0, 0) and sum(x[2] for x in d.values()) == 10
+    assert [r.entity for r in pair.ordinals().where("kg = 'kg2'").orderBy("i").collect()] == [f"r/{x}" for x in ("Anna", "Bert", "Norway", "Oslo", "Phantom", "Riga")]
 
 
 # ---------------------------------------------------------------- literals
 
 
 def test_literals(spark):
-    raw = ['"Alice"', '"31"', f'"1990-01-01"^^{mini.XSD_DATE}', '"1990-01-01"^^xsd:date', '"Dan"@fra', "", '"12"^^<http://dbpedia.org/datatype/usDollar>', "plain", '"open', "-3.5", '"a \\"b\\" \\\\ \\n"', '""']
+    raw = ['"Alice"', '"31"', f'"1990-01-01"^^{harbour.DATE}', '"1990-01-01"^^xsd:date', '"Dan"@fra', "", '"12"^^<http://dbpedia.org/datatype/usDollar>', "plain", '"open', "-3.5", '"a \\"b\\" \\\\ \\n"', '""']
     assert values(spark, raw, L.value) == ["Alice", "31", "1990-01-01", "1990-01-01", "Dan", "", "12", "plain", '"open', "-3.5", 'a "b" \\ \n', ""]
     assert values(spark, raw, L.datatype) == ["string", "numeric", "date", "date", "langString", "empty", "usDollar", "string", "string", "numeric", "string", "string"]
     assert values(spark, ['"Café  Münster"@de', None, '"ﬁ\t Ⅷ"'], L.normalised) == ["cafe munster", None, "fi viii"]
@@ -79,10 +83,10 @@ def test_literals(spark):
 
 def test_ntriples_round_trip(spark, pair, tmp_path):
     path = str(tmp_path / "nt")
-    assert ntriples.write(*pair.side("kg1"), path) == 9
+    assert ntriples.write(*pair.side("kg1"), path) == 10
     back = ntriples.read(spark, path)
-    assert {r.subject for r in back.collect()} == {"kg1:a", "kg1:b", "kg1:c"}
-    assert {(r.subject, r.object) for r in back.where("is_literal and predicate = 'name'").collect()} == {("kg1:a", "Alice"), ("kg1:b", "Bob"), ("kg1:c", "Carol")}
+    assert {r.subject for r in back.collect()} == {f"l/{x}" for x in ("anna", "bert", "oslo", "carl", "riga")}
+    assert {(r.subject, r.object) for r in back.where("is_literal and predicate = 'name'").collect()} == {("l/anna", "Anna of Bergen"), ("l/bert", "Bert"), ("l/riga", "Rīga")}
 
 
 # ---------------------------------------------------------------- statistics
@@ -127,24 +131,35 @@ def test_correlation_p():
 
 def test_metric_values(pair):
     d = only(S.describe(metrics.degree_kinds(pair), ["kg", "kind"], "degree"), kg="kg1", kind="total")
-    assert (d["mean"], d["max"], d["median"]) == (1.6, 3, 2)
+    assert (d["mean"], d["max"], d["median"]) == (pytest.approx(10 / 7), 3, 1)
     s = only(metrics.degree_shares(pair), kg="kg1")
-    assert (s.share_isolated, s.share_deg_le_2) == (0.2, 0.8)
+    assert (s.share_isolated, s.share_deg_le_2) == (pytest.approx(1 / 7), pytest.approx(6 / 7))
     c = only(graph.connectivity(pair), kg="kg1")
-    assert (c.n_components, c.size_largest_cc, c.share_largest_cc) == (2, 4, 0.8)
-    assert c.avg_clustering == pytest.approx((1 / 3 + 1 + 1) / 5) and c.density == pytest.approx(0.4)
+    assert (c.n_components, c.size_largest_cc, c.share_largest_cc) == (3, 4, pytest.approx(4 / 7))
+    assert c.avg_clustering == pytest.approx((1 + 1 + 1 / 3) / 7) and c.density == pytest.approx(10 / 42)
     a = only(metrics.attribute_completeness(pair), kg="kg1")
-    assert (a.share_entities_with_attribute, a.mean_attr_per_entity) == (0.6, 1.0)
-    assert only(metrics.basic(pair), kg="kg1").attr_to_rel_ratio == 1.25
+    assert (a.share_entities_with_attribute, a.mean_attr_per_entity) == (pytest.approx(4 / 7), pytest.approx(5 / 7))
+    assert only(metrics.basic(pair), kg="kg2").attr_to_rel_ratio == 0.8
     assert only(metrics.schema_heterogeneity(pair), kind="property").jaccard == 0
     m = metrics.alignment_metrics(pair).first()
-    assert (m.n_alignments, m.coverage_kg1, m.bijective_share) == (5, 1.0, 1.0)
+    assert (m.n_alignments, m.coverage_kg1, m.bijective_share) == (6, pytest.approx(6 / 7), 1.0)
     r = {x.criterion: x.share for x in metrics.reachability(pair).collect()}
-    assert r["edge_kg1"] == r["both_with_edge"] == 0.8
+    assert r == {k: pytest.approx(v / 6) for k, v in {"edge_kg1": 5, "edge_kg2": 5, "lcc_kg1": 4, "lcc_kg2": 5, "both_with_edge": 5, "both_in_lcc": 4}.items()}
     t = only(metrics.type_distribution(pair), kg="kg1")
     assert (t.n_type_triples, t.share_entities_typed, t.type_entropy_norm) == (0, 0, 0)
     o = {x.e1: x for x in metrics.literal_overlap(pair).collect()}
-    assert o["kg1:a"].literal_jaccard == 1 and o["kg1:d"].shared == 0
+    assert o["l/anna"].literal_jaccard == o["l/riga"].literal_jaccard == 1 and o["l/bert"].shared == 0
+
+
+def test_keys_over_both_graphs(pair):
+    got = {(r.metric, r.key): r.value for n in metrics.METRICS for r in metrics.get_metric(n)(pair).collect()}
+    assert got["degree_distribution", "pair.min_median_total_degree"] == 1 and got["connectivity", "pair.min_share_largest_cc"] == pytest.approx(4 / 7)
+    assert got["attribute_completeness", "pair.mean_attr_per_entity"] == pytest.approx((5 / 7 + 4 / 6) / 2) and got["degree_distribution", "pair.max_share_isolated"] == pytest.approx(1 / 6)
+    assert got["type_distribution", "pair.type_jaccard"] == 0 and got["property_distribution", "kg1.rel.freq.max"] == 3
+    assert [got["alignment_metrics", f"split.{s}.n_pairs"] for s in ("train", "valid", "test")] == [2, 1, 3]
+    assert got["alignment_metrics", "ambiguity_1_to_n"] == 0 and got["alignment_metrics", "unaligned_share_kg1"] == pytest.approx(1 / 7)
+    assert got["aligned_consistency", "literal_value_jaccard.mean"] == 0.5 and got["aligned_consistency", "share_pairs_no_shared_literal"] == 0.5
+    assert got["aligned_consistency", "share_pairs_both_isolated"] == pytest.approx(1 / 6) and got["aligned_consistency", "abs_degree_diff.max"] == 1
 
 
 @pytest.mark.parametrize("name", sorted(metrics.METRICS))
@@ -166,14 +181,14 @@ def test_components_of_a_path(spark):
 
 def test_value_overlap(pair):
     got = {(r.e1, r.e2) for r in matching.value_overlap(min_score=0.0).match(pair).collect()}
-    assert ("kg1:a", "kg2:A") in got and len({a for a, _ in got}) == len(got)
-    assert {(r.e1, r.e2) for r in matching.value_overlap(min_score=0.9).match(pair).collect()} <= got
+    assert got == {("l/anna", "r/Anna"), ("l/oslo", "r/Oslo"), ("l/riga", "r/Riga")}
+    assert {(r.e1, r.e2) for r in matching.value_overlap(min_score=0.9).match(pair).collect()} == got
 
 
 def test_relations_and_structure(pair):
     seeds = pair.gold()
-    (r,) = matching.align_relations(pair, seeds, min_evidence=1).collect()
-    assert (r.r1, r.r2, r.inverted) == ("knows", "connait", False) and 0 < r.weight <= 1
+    found = {r.r1: (r.r2, r.inverted, r.weight) for r in matching.align_relations(pair, seeds, min_evidence=1).collect()}
+    assert found == {"sailsTo": ("goesTo", False, 1.0), "sisterOf": ("siblingOf", True, 1.0), "partOf": ("contains", True, 1.0)}
     m = matching.structural(iterations=2)
     one = {tuple(x) for x in m.match(pair, seeds).collect()}
     assert one == {tuple(x) for x in m.match(pair.with_frames(attr=pair.attr.limit(0)), seeds).collect()} and one
@@ -202,8 +217,8 @@ def test_unique_mapping_is_greedy(spark):
 
 
 def test_linkage_and_fixpoint_find_equal_values(pair):
-    assert ("kg1:a", "kg2:A") in {(r.e1, r.e2) for r in linkage.ngram_matcher().match(pair).collect()}
-    assert ("kg1:a", "kg2:A") in {(r.e1, r.e2) for r in paris.paris_matcher(rounds=2).match(pair).collect()}
+    assert ("l/riga", "r/Riga") in {(r.e1, r.e2) for r in linkage.ngram_matcher().match(pair).collect()}
+    assert ("l/anna", "r/Anna") in {(r.e1, r.e2) for r in paris.paris_matcher(rounds=2).match(pair).collect()}
 
 
 # ---------------------------------------------------------------- evaluation
@@ -214,31 +229,33 @@ def predictions(spark, *pairs):
 
 
 def test_evaluation(spark, pair):
-    perfect = evaluate.evaluate(predictions(spark, ("kg1:d", "kg2:D"), ("kg1:e", "kg2:E"), ("kg1:a", "kg2:B")), pair).first()
-    assert (perfect.precision, perfect.recall, perfect.f1, perfect.n_predicted) == (1, 1, 1, 2)
-    half = evaluate.evaluate(predictions(spark, ("kg1:d", "kg2:D"), ("kg1:e", "kg2:D")), pair).first()
-    assert (half.precision, half.recall) == (0.5, 0.5)
+    right = [("l/norway", "r/Norway"), ("l/riga", "r/Riga"), ("l/ghost", "r/Phantom")]
+    perfect = evaluate.evaluate(predictions(spark, *right, ("l/anna", "r/Bert")), pair).first()
+    assert (perfect.precision, perfect.recall, perfect.f1, perfect.n_predicted) == (1, 1, 1, 3)
+    one = evaluate.evaluate(predictions(spark, right[0], ("l/riga", "r/Oslo")), pair).first()
+    assert (one.precision, one.recall, one.coverage) == (0.5, pytest.approx(1 / 3), pytest.approx(2 / 3))
     none = evaluate.evaluate(predictions(spark, ("x", "y")).limit(0), pair).first()
     assert (none.f1, none.abstain_rate) == (0, 1)
-    partnerless = pair.with_frames(align=pair.align.withColumn("e2", F.when(F.col("e1") == "kg1:e", "").otherwise(F.col("e2"))))
-    row = evaluate.evaluate(predictions(spark, ("kg1:d", "kg2:D"), ("kg1:e", "kg2:E")), partnerless).first()
-    assert (row.precision, row.recall, row.n_false_on_unmatched, row.n_unmatched) == (0.5, 1, 1, 1)
+    partnerless = pair.with_frames(align=pair.align.withColumn("e2", F.when(F.col("e1") == "l/ghost", "").otherwise(F.col("e2"))))
+    row = evaluate.evaluate(predictions(spark, *right), partnerless).first()
+    assert (row.precision, row.recall, row.n_false_on_unmatched, row.n_unmatched) == (pytest.approx(2 / 3), 1, 1, 1)
 
 
 def test_sweep_falls(spark, pair):
-    c = spark.createDataFrame([("kg1:c", "kg2:C", 0.55)], "e1 string, e2 string, score double")
+    c = spark.createDataFrame([("l/bert", "r/Bert", 0.35)], "e1 string, e2 string, score double")
     sweep = evaluate.threshold_sweep(c, pair)
-    assert [r.n_correct for r in sweep.orderBy("threshold").collect()] == [1] * 6 + [0] * 4
+    assert [r.n_correct for r in sweep.orderBy("threshold").collect()] == [1] * 4 + [0] * 6
     assert evaluate.threshold_choice(sweep, []).first().threshold == 0
     assert {r.fraction: r.n_seeds for r in evaluate.seed_sizes(pair).collect()} == {0.05: 1, 0.1: 1, 0.25: 1, 0.5: 1, 0.75: 2, 1.0: 2}
 
 
 def test_non_matches(pair):
-    v = evaluate.inject_non_matches(pair, 0.6)
-    assert (v.matched().count(), v.unmatched().count()) == (3, 1)
-    assert {r.kg: r["count"] for r in v.entities().groupBy("kg").count().collect()} == {"kg1": 4, "kg2": 4}
-    assert sorted(map(tuple, v.align.collect())) == sorted(map(tuple, evaluate.inject_non_matches(pair, 0.6).align.collect()))
-    assert evaluate.inject_non_matches(pair, 1.0).matched().count() == 5 and pair.matched().count() == 5
+    v = evaluate.inject_non_matches(pair, 0.5)
+    assert (v.matched().count(), v.unmatched().count()) == (3, 2) and v.rel.count() < pair.rel.count() + 1
+    gone = {r.e1 for r in pair.align.collect()} - {r.e1 for r in v.align.collect()}
+    assert len(gone) == 1 and not gone & {r.entity for r in v.entities().collect()}
+    assert sorted(map(tuple, v.align.collect())) == sorted(map(tuple, evaluate.inject_non_matches(pair, 0.5).align.collect()))
+    assert evaluate.inject_non_matches(pair, 1.0).matched().count() == 6 and pair.matched().count() == 6
     for bad in (0, -0.5, 1.5):
         with pytest.raises(ValueError):
             evaluate.inject_non_matches(pair, bad)
@@ -250,33 +267,94 @@ def test_non_matches(pair):
 def test_error_classes(spark, pair):
     facts = errors.features(pair)
     nothing = predictions(spark, ("x", "y")).limit(0)
-    got = {f: {r.e1: r.error_class for r in errors.classify(facts, nothing, f).collect()} for f in ("value", "structural", "holistic")}
-    assert all(g["kg1:e"] == "no_signal" for g in got.values())
-    assert (got["value"]["kg1:d"], got["structural"]["kg1:d"]) == ("no_shared_literal", "abstained")
-    wrong = errors.classify(facts, predictions(spark, ("kg1:d", "kg2:A")), "structural")
-    assert {r.e1: r.error_class for r in wrong.collect()}["kg1:d"] == "wrong_candidate"
-    summary = errors.summarize(wrong, "mini", "m")
+    got = {f: {r.e1[2:]: r.error_class for r in errors.classify(facts, nothing, f).collect()} for f in ("value", "structural", "holistic")}
+    assert got["value"] == {"ghost": "no_signal", "norway": "no_shared_literal", "riga": "abstained"}
+    assert got["structural"] == {"ghost": "no_signal", "norway": "abstained", "riga": "structurally_unreachable"}
+    assert got["holistic"] == {"ghost": "no_signal", "norway": "abstained", "riga": "abstained"}
+    wrong = errors.classify(facts, predictions(spark, ("l/norway", "r/Oslo")), "structural")
+    assert {r.e1: r.error_class for r in wrong.collect()}["l/norway"] == "wrong_candidate"
+    summary = errors.summarize(wrong, "harbour", "m")
     assert summary.count() == 8 and sum(r.share for r in summary.collect()) == pytest.approx(1)
     s = errors.solvability(summary).first()
-    assert (s.n_errors, s.n_unsolvable, s.unsolvable_share, s.method_share) == (2, 1, 0.5, 0.5)
+    assert (s.n_errors, s.n_unsolvable, s.unsolvable_share, s.method_share) == (3, 2, 0.6667, 0.3333)
 
 
 def test_corrections(spark):
-    def fdr(ps):
+    def adjusted(ps):
         rows = reports.adjust_p_values(spark.createDataFrame([("m", f"k{i}", p) for i, p in enumerate(ps)], "matcher string, metric string, p_value double")).orderBy("metric").collect()
-        return [r.p_fdr for r in rows]
+        return [r.p_fdr for r in rows], [r.survives_bonferroni for r in rows]
 
-    assert fdr([0.10, 0.11, 0.12]) == pytest.approx([0.12] * 3)
-    a = fdr([0.02, 0.40, 0.40, 0.90])
-    assert a[1] == a[2] and a[0] == pytest.approx(0.08)
-    few = spark.createDataFrame([("d1", "m", 0.1, 1.0), ("d2", "m", 0.2, 2.0), ("d3", "m", 0.3, 3.0)], "dataset string, matcher string, f1 double, x double")
+    assert adjusted([0.03, 0.05, 0.06])[0] == pytest.approx([0.06] * 3)
+    fdr, kept = adjusted([0.8, 0.001, 0.5, 0.2, 0.21])
+    assert fdr == pytest.approx([0.8, 0.005, 0.625, 0.35, 0.35]) and kept == [False, True, False, False, False]
+    few = spark.createDataFrame([(f"d{i}", "m", i / 7, float(i)) for i in range(3)], "dataset string, matcher string, f1 double, x double")
     assert reports.correlate(few, ["x"]).count() == 0
 
 
 def test_a_whole_run(spark, tmp_path):
-    raw = {"datasets": [{"name": "mini", "path": mini.write(tmp_path / "in")}, {"name": "gone", "path": str(tmp_path / "none")}], "metrics": ["basic_stats", "alignment_metrics"], "matchers": ["value_overlap", {"name": "structural_propagation", "params": {"iterations": 1}}], "output": str(tmp_path / "out")}
+    raw = {"datasets": [{"name": "harbour", "path": harbour.write(tmp_path / "in")}, {"name": "gone", "path": str(tmp_path / "none")}], "metrics": ["basic_stats", "alignment_metrics"], "matchers": ["value_overlap", {"name": "structural_propagation", "params": {"iterations": 1}}], "output": str(tmp_path / "out")}
     run = runner.Pipeline(spark, config.from_dict(raw))
     run.run()
-    assert {s[:3] for s in run.scores} == {("mini", m, s) for m in ("value_overlap", "structural_propagation") for s in ("test", "all")}
+    assert {s[:3] for s in run.scores} == {("harbour", m, s) for m in ("value_overlap", "structural_propagation") for s in ("test", "all")}
     assert spark.read.parquet(str(tmp_path / "out/reports/comparison")).count() == 1
     assert spark.read.option("header", True).csv(str(tmp_path / "out/reports/f1_matrix")).count() == 1
+    assert len({(r.e1, r.e2) for r in sinks.read_predictions(spark, str(tmp_path / "out/predictions/harbour/value_overlap")).collect()}) == 3
+    assert sinks.read_scores(spark, str(tmp_path / "out/reports/matching_results")).where("split = 'test'").count() == 2
+    (line,) = spark.read.text(str(tmp_path / "out/reports/summary")).collect()
+    assert set(json.loads(line.value)["f1"]) == {"harbour/value_overlap", "harbour/structural_propagation"}
+
+
+def test_folds(spark, tmp_path):
+    path = harbour.write(tmp_path / "in")
+    t = folds.run_folds(spark, {"harbour": path, "harbour_100K": path}, [("value_overlap", {}), ("structural_propagation", {"iterations": 1})], folds=(1, 2))
+    got = {(r.fold, r.matcher): (r.n_gold, r.n_predicted, r.n_correct) for r in t.collect()}
+    assert set(got) == {(f, m) for f in (1, 2) for m in ("value_overlap", "structural_propagation")} and {r.dataset for r in t.collect()} == {"harbour"}
+    assert got[1, "value_overlap"] == (3, 1, 1) and got[2, "value_overlap"] == (2, 2, 2)
+    v = only(evaluate.fold_variance(t), matcher="value_overlap")
+    assert v.n_folds == 2 and v.f1_mean == pytest.approx((0.5 + 1) / 2)
+    lone = folds.run_folds(spark, {"harbour": path}, [("value_overlap", {})], folds=(1,), match_ratio=0.5, split="all").first()
+    assert (lone.n_gold, lone.n_unmatched) == (3, 2)
+    with pytest.raises(ValueError):
+        folds.run_folds(spark, {"a_100K": path}, [])
+
+
+def test_session_and_core_run(spark, tmp_path):
+    assert session.get_session().sparkContext is spark.sparkContext
+    values, seconds = session.timed_core(spark, harbour.write(tmp_path / "in"))
+    assert values["basic_stats.kg1.n_entities"] == 7 and values["degree_distribution.pair.min_median_total_degree"] == 1 and seconds > 0
+
+
+def test_output_of_an_external_aligner(spark, pair, tmp_path):
+    (tmp_path / "3_eqv.tsv").write_text("")
+    (tmp_path / "1_eqv.tsv").write_text("old\told\t1\n")
+    (tmp_path / "2_eqv.tsv").write_text("<http://openea.local/e/l%2Fanna>\thttp://openea.local/e/r%2FAnna\t0.75\nl/anna\tr/Bert\t0.5\nl/bert\tr/Bert\tnone\nl/bert\tr/Anna\nx\tr/Oslo\t1\nl/oslo\ty\t1\nalone\n")
+    assert sorted(map(tuple, paris_files.read_equivalences(spark, str(tmp_path)).collect())) == [("l/anna", "r/Anna", 0.75), ("l/bert", "r/Anna", 0.0), ("l/oslo", "y", 1.0), ("x", "r/Oslo", 1.0)]
+    assert sorted(map(tuple, paris_files.read_equivalences(spark, str(tmp_path), pair).collect())) == [("l/anna", "r/Anna", 0.75), ("l/bert", "r/Anna", 0.0)]
+    (tmp_path / "none").mkdir()
+    assert paris_files.read_equivalences(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_dataset_folders(spark, tmp_path):
+    harbour.write(tmp_path / "harbour")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "part").mkdir()
+    (tmp_path / "part/ent_links").write_text("a\tb\n")
+    raw = datasets.extended_config(spark, str(tmp_path), {"metrics": ["basic_stats"]})
+    datasets.write_config(raw, str(tmp_path / "run.yaml"))
+    got = config.load_config(str(tmp_path / "run.yaml"))
+    assert [d.name for d in got.datasets] == ["harbour", "part"] and got.metrics == ["basic_stats"]
+    assert datasets.missing_files(spark, str(tmp_path / "harbour")) == [] and datasets.missing_files(spark, str(tmp_path / "part")) == list(datasets.REQUIRED[:4])
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        for name in ("top/one/ent_links", "top/two/ent_links"):
+            z.writestr(name, "a\tb\n")
+    assert datasets.fetch("http://nowhere.invalid/all.zip", str(tmp_path / "all.zip"), {"two"}) == ["two"]
+    assert (tmp_path / "top/two/ent_links").exists() and not (tmp_path / "top/one").exists()
+
+
+def test_probe_and_store_comparison(spark, pair, tmp_path):
+    path = str(tmp_path / "nt")
+    ntriples.write(*pair.side("kg1"), path)
+    (tmp_path / "bad.nt").write_text("# comment\n<a> <b> <c> .\nl/anna\tsailsTo\tl/oslo\n<a> <b> \"x\"@en-GB .\n_:x <b> \"1\"^^<t> . # y\n")
+    got = {r.path: (r.n_lines, r.n_statements, r.parses) for r in ntriples.probe(spark, [path, str(tmp_path / "bad.nt")]).collect()}
+    assert got == {path: (10, 10, True), str(tmp_path / "bad.nt"): (4, 3, False)}
+    assert tuple(ntriples.store_comparison(ntriples.read(spark, path), pair.side("kg1")).first()) == (10, 5, 10, 5)

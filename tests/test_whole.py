@@ -8,7 +8,7 @@ from itertools import product
 import pytest
 
 from alignscope.model import ALIGN, ATTR, REL, KGPair
-from alignscope.operators import linkage, paris
+from alignscope.operators import graph, linkage, matching, paris
 from alignscope.queries import base, registry
 
 L, R = "http://left.example/", "http://right.example/resource/"
@@ -107,13 +107,13 @@ def test_purging_follows_the_sizes(spark):
 
 
 def test_linkage_reads_the_whole_graph(run):
-    got = run("entity_records_whole")
+    got = run("entity_records")
     assert {(kg, e): t for kg, e, t in got} == records() and kinds(got, 1) == {"c", "s", "p", "o"}
     kept = clean(purge_bound)
-    assert sorted(run("token_blocks_whole")) == sorted((*k, t) for k, ts in kept.items() for t in ts)
+    assert sorted(run("token_blocks")) == sorted((*k, t) for k, ts in kept.items() for t in ts)
     want = weights(kept)
-    assert {r[:2]: r[2] for r in run("meta_blocking_weights_whole")} == pytest.approx(want, abs=2e-6)
-    sim = {r[:2]: r[2] for r in run("ngram_similarity_whole")}
+    assert {r[:2]: r[2] for r in run("meta_blocking_weights")} == pytest.approx(want, abs=2e-6)
+    sim = {r[:2]: r[2] for r in run("ngram_similarity")}
     grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
     text = {e: grams(t) for (_, e), t in records().items()}
     assert sim == pytest.approx({(a, b): len(text[a] & text[b]) / math.sqrt(len(text[a]) * len(text[b])) for a, b in want}, abs=2e-6)
@@ -149,9 +149,9 @@ def test_components_of_the_whole_graph(run):
     for k in [(kg, h) for kg, h, _, _ in attr] + [("kg1", a) for a, _, _ in align] + [("kg2", b) for _, b, _ in align if b]:
         find(k)
     want = {(kg, e, find((kg, e))[1]) for kg, e in parent}
-    assert set(run("components_whole")) == want and len(want) > 50
+    assert set(run("components")) == want and len(want) > 50
     sizes = Counter((kg, c) for kg, _, c in want)
-    got = run("component_sizes_whole")
+    got = run("component_sizes")
     assert sorted((kg, n) for kg, _, n in got) == sorted((kg, n) for (kg, _), n in sizes.items())
     assert (L + "c/7") in {e for _, e, c in want if e == c} and max(sizes.values()) > 20
 
@@ -221,6 +221,57 @@ def test_structure_uses_every_relation_and_five_rounds(run):
     assert {r[:2]: r[2] for r in run("structural_full")} == pytest.approx(want, abs=2e-6) and kinds(want) >= {"p", "s", "o"}
 
 
+def test_runs_with_every_seed_fraction(run):
+    _, _, align = tables()
+    rows = {r[0]: r[1:] for r in run("seed_size_runs")}
+    assert {f: r[-1] for f, r in rows.items()} == {0.05: 1, 0.1: 1, 0.25: 3, 0.5: 6, 0.75: 9, 1.0: 12}
+    seeds = {(a, b) for a, b, s in align if s == "train" and b}
+    one = propagated(seeds, aligned(seeds))
+    lead = {a: (x[0][1], 1 - (x[1][0] / x[0][0] if len(x) > 1 else 0)) for a, x in one.items()}
+    test = {a: b for a, b, s in align if s == "test"}
+    found = {a: b for a, (b, m) in lead.items() if m >= 0.1 and a in test}
+    gold = {a: b for a, b in test.items() if b}
+    right = sum(gold.get(a) == b for a, b in found.items())
+    n_gold, n_unmatched, n_predicted, n_correct = rows[1.0][:4]
+    assert (n_gold, n_unmatched, n_predicted, n_correct) == (len(gold), len(test) - len(gold), len(found), right) and n_gold > 0
+
+
+def test_strong_scores_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    attr = [(kg, f"{kg}e{i}", "p", f'"v{min(int(rng.expovariate(0.08)), 60)}"') for kg in ("kg1", "kg2") for i in range(150) for _ in range(rng.randrange(1, 7))]
+    pair = KGPair("strong", spark.createDataFrame([], REL), spark.createDataFrame(attr, ATTR), spark.createDataFrame([], ALIGN))
+    every = {r[:2]: r[2] for r in map(tuple, matching.value_scores(pair, 0.2).collect())}
+    for least in (0.2, 0.4, 0.9):
+        got = {r[:2]: r[2] for r in map(tuple, matching.strong_value_scores(pair, least, 0.2).collect())}
+        assert got == {k: v for k, v in every.items() if v >= least}
+    assert len(got) > 20 and len(every) > 3 * len(got)
+
+
+def test_components_in_rounds(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = [(f"a{rng.randrange(300):03}", f"a{rng.randrange(300):03}") for _ in range(200)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(120)] + [("hub", f"s{i:03}") for i in range(200)] + [("q0", "q1"), ("q1", "q2"), ("q2", "q0")]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    e = spark.createDataFrame([(kg, a, b) for kg in ("kg1", "kg2") for a, b in edges], "kg string, a string, b string").repartition(5)
+    nodes = spark.createDataFrame([(kg, x) for kg in ("kg1", "kg2") for x in [*parent, "alone"]], "kg string, node string")
+    want = {(kg, x, find(x) if x != "alone" else x) for kg in ("kg1", "kg2") for x in [*parent, "alone"]}
+    for one_task in (-1, 10**6):
+        assert {tuple(r) for r in graph.connected_components(nodes, e, one_task=one_task).collect()} == want
+    assert graph.connected_components(nodes.limit(0), e.limit(0), one_task=-1).count() == 0
+
+
 # ---------------------------------------------------------------- the fixpoint
 
 
