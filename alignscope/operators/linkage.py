@@ -41,12 +41,15 @@ def purging_bound(sizes: DataFrame, smoothing: float = 1.025) -> DataFrame:
     return t.agg(F.coalesce(F.max(F.when(F.col("stays"), F.col("size"))), F.min("size")).alias("bound"))
 
 
-def clean_blocks(blocks: DataFrame, max_comparisons: int | None = None, keep_ratio: float = 0.8) -> DataFrame:
-    """Purges blocks above purging_bound (or a given number of comparisons); each entity then stays in the smallest share of its blocks."""
+def clean_blocks(blocks: DataFrame, max_comparisons: int | None = None, keep_ratio: float = 0.8, smoothing: float = 1.025) -> DataFrame:
+    """Purges blocks above purging_bound (or a given number of comparisons); each entity then stays in the smallest share of its blocks.
+
+    With a smoothing of 1 blocks go as long as that raises assignments per comparison at all.
+    """
     one, two = F.count_if(F.col("kg") == "kg1"), F.count_if(F.col("kg") == "kg2")
     sizes = blocks.groupBy("token").agg((one * two).alias("size"), (one + two).alias("assigned")).where(F.col("size") > 0)
     if max_comparisons is None:
-        sizes = sizes.join(F.broadcast(purging_bound(sizes)), F.col("size") <= F.col("bound"))
+        sizes = sizes.join(F.broadcast(purging_bound(sizes, smoothing)), F.col("size") <= F.col("bound"))
     else:
         sizes = sizes.where(F.col("size") <= max_comparisons)
     t = blocks.join(sizes.select("token", "size"), "token")
@@ -59,11 +62,13 @@ def meta_blocking(blocks: DataFrame) -> DataFrame:
     """(e1, e2, weight): Jaccard of block sets times how rare both nodes' edges are (EJS); edges at or above the mean stay."""
     one, two = (blocks.where(F.col("kg") == f"kg{i}").select("token", F.col("entity").alias(f"e{i}")) for i in (1, 2))
     n1, n2 = (b.groupBy(f"e{i}").agg(F.count("*").alias(f"n{i}")) for i, b in ((1, one), (2, two)))
-    edges = one.join(two, "token").groupBy("e1", "e2").agg(F.count("*").alias("common")).join(n1, "e1").join(n2, "e2")
-    edges = edges.withColumns({"d1": F.count("*").over(W.partitionBy("e1")), "d2": F.count("*").over(W.partitionBy("e2"))})
+    # the pairs of a block are made once; everything after reads the stored edges
+    edges = checkpointed(one.join(two, "token").groupBy("e1", "e2").agg(F.count("*").alias("common")))
+    degrees = [edges.groupBy(f"e{i}").agg(F.count("*").alias(f"d{i}")) for i in (1, 2)]
+    t = edges.join(n1, "e1").join(n2, "e2").join(degrees[0], "e1").join(degrees[1], "e2")
     total = edges.groupBy().agg(F.count("*").alias("total"))
     w = F.col("common") / (F.col("n1") + F.col("n2") - F.col("common")) * F.log10(F.col("total") / F.col("d1")) * F.log10(F.col("total") / F.col("d2"))
-    weighted = edges.crossJoin(F.broadcast(total)).select("e1", "e2", F.round(w, 9).alias("weight"))
+    weighted = checkpointed(t.crossJoin(F.broadcast(total)).select("e1", "e2", F.round(w, 9).alias("weight")))
     mean = weighted.groupBy().agg(F.round(F.avg("weight"), 9).alias("mean"))
     return weighted.crossJoin(F.broadcast(mean)).where("weight >= mean").select("e1", "e2", "weight")
 
@@ -76,29 +81,28 @@ def ngram_cosine(records: DataFrame, edges: DataFrame, n: int = 3) -> DataFrame:
     return edges.join(one, "e1").join(two, "e2").select("e1", "e2", F.round(common / F.sqrt(F.size("g1").cast("double") * F.size("g2")), 9).alias("score"))
 
 
-def candidate_graph(pair: KGPair, n: int = 3, max_comparisons: int | None = None, keep_ratio: float = 0.8) -> DataFrame:
+def candidate_graph(pair: KGPair, n: int = 3, max_comparisons: int | None = None, keep_ratio: float = 0.8, smoothing: float = 1.025) -> DataFrame:
     """What a sweep over thresholds computes once."""
     records = checkpointed(entity_records(pair))
-    return ngram_cosine(records, meta_blocking(clean_blocks(token_blocks(records), max_comparisons, keep_ratio)), n)
+    return ngram_cosine(records, meta_blocking(clean_blocks(token_blocks(records), max_comparisons, keep_ratio, smoothing)), n)
 
 
-def unique_mapping(scores: DataFrame, threshold: float, max_rounds: int = 200) -> DataFrame:
+def unique_mapping(scores: DataFrame, threshold: float) -> DataFrame:
     """Greedy one-to-one mapping by descending score: rounds of pairs that are the best of both sides.
 
-    With a total order (score, e1, e2) this equals taking pairs one by one.
+    With a total order (score, e1, e2) this equals taking pairs one by one. Every round takes a pair at least, so rounds
+    end; a chain of falling scores takes as many rounds as half its length.
     """
     left = checkpointed(scores.where(F.col("score") >= threshold).select("e1", "e2", "score"))
     order = [F.desc("score"), "e1", "e2"]
     done = None
-    for _ in range(max_rounds):
+    while True:
         t = left.withColumns({"_a": F.row_number().over(W.partitionBy("e1").orderBy(*order)), "_b": F.row_number().over(W.partitionBy("e2").orderBy(*order))})
         best = checkpointed(t.where("_a = 1 and _b = 1").select("e1", "e2", "score"))
         if best.limit(1).count() == 0:
             break
         done = best if done is None else done.union(best)
         left = checkpointed(left.join(best.select("e1"), "e1", "left_anti").join(best.select("e2"), "e2", "left_anti"))
-    else:
-        raise RuntimeError(f"the mapping did not settle in {max_rounds} rounds")
     return left if done is None else done
 
 

@@ -131,15 +131,28 @@ bound as (select coalesce(max(size) filter (stays), min(size)) as b from (select
 cl as (select kg, entity, token from (select *, row_number() over (partition by kg, entity order by size, token) as r, count(*) over (partition by kg, entity) as n from blk join sz using (token)) where r <= ceil(n * 0.8))"""
 query("entity_records", f""", {_RECORDS} select kg, entity, text from rec""")(K.entity_records)
 query("token_blocks", f""", {_BLOCKS} select kg, entity, token from cl""")(lambda p: K.clean_blocks(K.token_blocks(K.entity_records(p))))
-# edges of large blocks are too many for SQL on whole tables; compared with brute force on a small fixture
-query("meta_blocking_weights")(lambda p: K.meta_blocking(K.clean_blocks(K.token_blocks(K.entity_records(p)))))
-query("ngram_similarity")(K.candidate_graph)
-query("ngram_match")(lambda p: K.ngram_matcher().match(p))
-# greedy one-to-one mapping: in each step the pairs that are the best of both sides are taken, and pairs that touch them go
-_GREEDY = f"""{_CAND}, gm(e1, e2, score, taken, i) as (select e1, e2, score, false, 0 from cand where score >= 0.2 union all
+# with the recipe's default all blocks of these graphs stay (96 million comparisons at sf0.01); a smoothing of 1 purges them by their sizes
+_EDGES = f"""{_BLOCKS.replace("1.025", "1.0")}, one as (select token, entity as e1 from cl where kg = 'kg1'), two as (select token, entity as e2 from cl where kg = 'kg2'),
+ed0 as (select e1, e2, count(*) as common from one join two using (token) group by all), ed as (select e1, e2, round(common / (n1 + n2 - common) * log10((select count(*) from ed0) / count(*) over (partition by e1)) * log10((select count(*) from ed0) / count(*) over (partition by e2)), 9) as weight
+  from ed0 join (select e1, count(*) as n1 from one group by e1) using (e1) join (select e2, count(*) as n2 from two group by e2) using (e2)), mb as (select * from ed where weight >= (select round(avg(weight), 9) from ed))"""
+_SIM = f"""{_EDGES}, gr as (select kg, entity, list_distinct(case when length(text) >= 3 then list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) else [text] end) as g from rec),
+sim as (select e1, e2, round(len(list_intersect(x.g, y.g)) / sqrt(len(x.g)::double * len(y.g)), 9) as score from mb join gr x on x.kg = 'kg1' and x.entity = e1 join gr y on y.kg = 'kg2' and y.entity = e2)"""
+
+
+def greedy(cand: str) -> str:
+    """SQL of the greedy one-to-one mapping of a relation with e1, e2, score of at least 0.2: gm where taken.
+
+    In each step the pairs that are the best of both sides are taken, and pairs that touch them go.
+    """
+    return f"""gm(e1, e2, score, taken, i) as (select e1, e2, score, false, 0 from {cand} where score >= 0.2 union all
   select e1, e2, score, a = 1 and b = 1, i + 1 from (select *, max((a = 1 and b = 1)::int) over (partition by e1) as u, max((a = 1 and b = 1)::int) over (partition by e2) as v from
     (select e1, e2, score, i, row_number() over (partition by e1 order by score desc, e1, e2) as a, row_number() over (partition by e2 order by score desc, e1, e2) as b from gm where not taken)) where a = 1 and b = 1 or u + v = 0)"""
-query("unique_mapping", f""", {_GREEDY} select e1, e2, {r6("score")} as score from gm where taken""")(lambda p: K.unique_mapping(M.value_scores(p), 0.2))
+
+
+query("meta_blocking_weights", f""", {_EDGES} select e1, e2, {r6("weight")} as weight from mb""")(lambda p: K.meta_blocking(K.clean_blocks(K.token_blocks(K.entity_records(p)), smoothing=1.0)))
+query("ngram_similarity", f""", {_SIM} select e1, e2, {r6("score")} as score from sim""")(lambda p: K.candidate_graph(p, smoothing=1.0))
+query("ngram_match", f""", {_SIM}, {greedy("sim")} select e1, e2, {r6("score")} as score from gm where taken""")(lambda p: K.ngram_matcher(smoothing=1.0).match(p))
+query("unique_mapping", f""", {_CAND}, {greedy("cand")} select e1, e2, {r6("score")} as score from gm where taken""")(lambda p: K.unique_mapping(M.value_scores(p), 0.2))
 query("paris_fixpoint")(lambda p: R.paris_matcher().match(p))
 
 # ---------------------------------------------------------------- evaluation

@@ -63,6 +63,21 @@ def records():
     return {k: " ".join(sorted(v)) for k, v in values.items()}
 
 
+def purge_bound(smoothing):
+    """sizes by token -> the most comparisons of a block that stays."""
+
+    def bound(sides):
+        levels = sorted({a * b for a, b in sides.values()})
+        total = lambda m: (sum(a + b for a, b in sides.values() if a * b <= m), sum(a * b for a, b in sides.values() if a * b <= m))
+        for less, most in reversed(list(zip(levels, levels[1:]))):
+            (a1, c1), (a2, c2) = total(less), total(most)
+            if a1 * c2 < smoothing * c1 * a2:
+                return most
+        return levels[0]
+
+    return bound
+
+
 def clean(bound):
     """{(kg, entity): tokens} after purging above bound(sizes by token) and filtering."""
     blocks = defaultdict(set)
@@ -88,16 +103,6 @@ def weights(kept):
     return {k: v for k, v in w.items() if v >= mean}
 
 
-def purge_bound(sides):
-    levels = sorted({a * b for a, b in sides.values()})
-    total = lambda m: (sum(a + b for a, b in sides.values() if a * b <= m), sum(a * b for a, b in sides.values() if a * b <= m))
-    for less, most in reversed(list(zip(levels, levels[1:]))):
-        (a1, c1), (a2, c2) = total(less), total(most)
-        if a1 * c2 < 1.025 * c1 * a2:
-            return most
-    return levels[0]
-
-
 def test_purging_follows_the_sizes(spark):
     # 60 tokens of 70 x 70 entities: more than any fixed 2,500 comparisons, yet not larger than the rest
     rows = [(kg, f"{kg}{i}", f"t{t}") for kg in ("kg1", "kg2") for t in range(60) for i in range(70)]
@@ -109,9 +114,9 @@ def test_purging_follows_the_sizes(spark):
 def test_linkage_reads_the_whole_graph(run):
     got = run("entity_records")
     assert {(kg, e): t for kg, e, t in got} == records() and kinds(got, 1) == {"c", "s", "p", "o"}
-    kept = clean(purge_bound)
+    kept = clean(purge_bound(1.025))
     assert sorted(run("token_blocks")) == sorted((*k, t) for k, ts in kept.items() for t in ts)
-    want = weights(kept)
+    want = weights(clean(purge_bound(1.0)))
     assert {r[:2]: r[2] for r in run("meta_blocking_weights")} == pytest.approx(want, abs=2e-6)
     sim = {r[:2]: r[2] for r in run("ngram_similarity")}
     grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
