@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, lookup, shared_path, stored
+from .common import discard, lean, lookup, release, shared_path, stored
 
 # fixed values: the field lines of the two ARC versions
 FIELDS = {
@@ -332,9 +332,11 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     refer with a null refers_to. An empty table gives an empty table; other columns are not read.
     """
     spark = pages.sparkSession
-    arcs = stored(pages_to_arc(pages, id_col, url_col, html_col), "arc")
-    path = shared_path(spark, "warc")
-    convert(arcs, path, min_bytes)
+    legacy, path = shared_path(spark, "arc"), shared_path(spark, "warc")
+    pages_to_arc(pages, id_col, url_col, html_col).write.parquet(legacy)
+    convert(spark.read.schema("name string, arc binary").parquet(legacy), path, min_bytes)
+    discard(spark, legacy)
+    release(spark)
     records = stored(read_warc(spark, path), "warc-read")
     return resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
 
