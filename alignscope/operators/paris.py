@@ -34,47 +34,76 @@ def inverse_functionality(facts: DataFrame) -> DataFrame:
     return facts.groupBy("kg", "r").agg((F.countDistinct("y") / F.count("*")).alias("inv"))
 
 
-def evidence(one: DataFrame, two: DataFrame, equal: DataFrame, sub: DataFrame | None, start: float) -> DataFrame:
+def mapped(one: DataFrame, equal: DataFrame) -> DataFrame:
+    """Statements of the first graph with their object as the second one has it: (..., y2, p); literals stay as they are."""
+    nodes = one.where("not literal").join(equal.select(F.col("e1").alias("y"), F.col("e2").alias("y2"), F.col("score").alias("p")), "y")
+    cols = [*one.columns, "y2", "p"]
+    return one.where("literal").withColumns({"y2": F.col("y"), "p": F.lit(1.0)}).select(*cols).union(nodes.select(*cols))
+
+
+def sides(one: DataFrame, two: DataFrame, equal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(r1, e1, i1, literal, y2, p) and (r2, e2, i2, literal, y2): statements that meet on literal and y2."""
+    return (
+        mapped(one, equal).select(F.col("r").alias("r1"), F.col("x").alias("e1"), F.col("inv").alias("i1"), "literal", "y2", "p"),
+        two.select(F.col("r").alias("r2"), F.col("x").alias("e2"), F.col("inv").alias("i2"), "literal", F.col("y").alias("y2")),
+    )
+
+
+def misses(met: DataFrame, sub: DataFrame | None, start: float) -> DataFrame:
     """(e1, e2, miss): log of the product of what each statement pair with equal objects leaves open."""
-    one = one.select(F.col("r").alias("r1"), F.col("x").alias("e1"), F.col("y").alias("y1"), "literal", F.col("inv").alias("i1"))
-    two = two.select(F.col("r").alias("r2"), F.col("x").alias("e2"), F.col("y").alias("y2"), F.col("literal").alias("literal2"), F.col("inv").alias("i2"))
-    values = one.where("literal").join(two.where("literal2"), F.col("y1") == F.col("y2")).withColumn("p", F.lit(1.0))
-    nodes = one.where("not literal").join(equal.select(F.col("e1").alias("y1"), F.col("e2").alias("y2"), F.col("score").alias("p")), "y1").join(two.where("not literal2"), "y2")
-    cols = ["r1", "r2", "e1", "e2", "i1", "i2", "p"]
-    t = values.select(*cols).union(nodes.select(*cols))
     if sub is None:
-        t = t.withColumns({"s12": F.lit(start), "s21": F.lit(start)})
+        t = met.withColumns({"s12": F.lit(start), "s21": F.lit(start)})
     else:
-        t = t.join(F.broadcast(sub), ["r1", "r2"], "left").na.fill(0.0, ["s12", "s21"])
+        t = met.join(sub, ["r1", "r2"], "left").na.fill(0.0, ["s12", "s21"])
         fixed = F.col("r1") == "value"
         t = t.withColumns({k: F.when(fixed & (F.col("r2") == "value"), 1.0).otherwise(F.col(k)) for k in ("s12", "s21")})
     miss = (1 - F.col("s21") * F.col("i1") * F.col("p")) * (1 - F.col("s12") * F.col("i2") * F.col("p"))
     return t.groupBy("e1", "e2").agg(F.sum(F.log(F.greatest(miss, F.lit(1e-12)))).alias("miss"))
 
 
-def equality(facts: DataFrame, equal: DataFrame, sub: DataFrame | None, start: float, keep: int) -> DataFrame:
+def hot_groups(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kg, x, g) and (kg, r, x = g, y, literal, inv): entities by the set of their hot statements, and those statements."""
+    said = F.to_json(F.sort_array(F.collect_set(F.struct("r", "y"))))
+    groups = checkpointed(f.where("hot").groupBy("kg", "x").agg(F.sha2(said, 256).alias("g")))
+    return groups, checkpointed(f.where("hot").join(groups, ["kg", "x"]).select("kg", "r", F.col("g").alias("x"), "y", "literal", "inv").distinct())
+
+
+def equality(f: DataFrame, groups: DataFrame, shared: DataFrame, equal: DataFrame, sub: DataFrame | None, start: float, keep: int) -> DataFrame:
     """(e1, e2, score): the noisy-or over statement pairs whose objects are equal; holds the `keep` best of each e1.
 
-    Two hot statements never meet entity by entity: entities with the same hot statements form a group, groups meet, and
-    of a group's partners only the first can be among the best unless other statements, which do meet, speak for them.
+    Statements that are not both hot meet entity by entity. What two hot ones add is looked up for the pairs found so. A
+    pair of hot statements alone can be among the best only where all that hot statements could add reaches the last of
+    the best found so far; for those e1 alone, entities with the same hot statements form a group, groups meet, and of a
+    group's partners only the first `keep` count.
     """
-    f = facts.join(F.broadcast(inverse_functionality(facts)), ["kg", "r"])
-    said = F.to_json(F.sort_array(F.collect_set(F.struct("r", "y"))))
-    groups = checkpointed(facts.where("hot").groupBy("kg", "x").agg(F.sha2(said, 256).alias("g")))
-    shared = f.where("hot").join(groups, ["kg", "x"]).select("kg", "r", F.col("g").alias("x"), "y", "literal", "inv").distinct()
     side = lambda t, i: t.where(F.col("kg") == f"kg{i}")
     score = lambda miss: F.round(1 - F.exp(miss), 9).alias("score")
-    common = checkpointed(evidence(side(shared, 1), side(shared, 2), equal, sub, start).select(F.col("e1").alias("g1"), F.col("e2").alias("g2"), F.col("miss").alias("more")))
-    one, two = side(f, 1), side(f, 2)
-    cold = evidence(one.where("not hot"), two, equal, sub, start).union(evidence(one.where("hot"), two.where("not hot"), equal, sub, start))
-    cold = cold.groupBy("e1", "e2").agg(F.sum("miss").alias("miss"))
+    meet = lambda one, two: (lambda a, b: a.join(b, ["literal", "y2"]))(*sides(one, two, equal))
     g1, g2 = (side(groups, i).select(F.col("x").alias(f"e{i}"), F.col("g").alias(f"g{i}")) for i in (1, 2))
-    met = cold.join(g1, "e1", "left").join(g2, "e2", "left").join(common, ["g1", "g2"], "left")
-    met = met.select("e1", "e2", score(F.col("miss") + F.coalesce("more", F.lit(0.0))))
+
+    one, two = side(f, 1), side(f, 2)
+    cold = misses(meet(one.where("not hot"), two).union(meet(one.where("hot"), two.where("not hot"))), sub, start)
+    cold = checkpointed(cold.join(g1, "e1", "left").join(g2, "e2", "left"))
+    a, b = sides(side(shared, 1), side(shared, 2), equal)
+    looked = cold.select("g1", "g2").where("g1 is not null and g2 is not null").distinct()
+    looked = looked.join(a.withColumnRenamed("e1", "g1"), "g1").join(b.withColumnRenamed("e2", "g2"), ["g2", "literal", "y2"])
+    more = misses(looked.withColumnsRenamed({"g1": "e1", "g2": "e2"}), sub, start).select(F.col("e1").alias("g1"), F.col("e2").alias("g2"), F.col("miss").alias("more"))
+    met = cold.join(more, ["g1", "g2"], "left").select("e1", "e2", score(F.col("miss") + F.coalesce("more", F.lit(0.0))))
+
+    # what each hot statement could add at most, summed over a group; a little more, as sums differ in their last digits
+    hot = shared.select("kg", "r", F.when(F.col("kg") == "kg1", F.to_json(F.struct("r", "y"))).otherwise("").alias("x"), "y", "literal", "inv").distinct()
+    most = misses(meet(side(hot, 1), side(hot, 2)), sub, start).select(F.col("e1").alias("s"), F.col("miss").alias("most"))
+    most = side(shared, 1).select(F.col("x").alias("g1"), F.to_json(F.struct("r", "y")).alias("s")).join(most, "s").groupBy("g1").agg((F.sum("most") * (1 + 1e-9)).alias("most"))
+    last = cold.withColumn("_r", F.row_number().over(W.partitionBy("e1").orderBy("miss"))).where(F.col("_r") == keep).select("e1", score(F.col("miss")).alias("last"))
+    need = checkpointed(g1.join(most, "g1").join(last, "e1", "left").where(F.col("last").isNull() | (F.col("last") <= score(F.col("most")))).select("e1", "g1"))
+    some = side(shared, 1).join(need.select(F.col("g1").alias("x")).distinct(), "x", "left_semi")
+    common = misses(meet(some, side(shared, 2)), sub, start).select(F.col("e1").alias("g1"), F.col("e2").alias("g2"), score(F.col("miss")))
     first = g2.withColumn("_r", F.row_number().over(W.partitionBy("g2").orderBy("e2"))).where(F.col("_r") <= keep).drop("_r")
     best = F.row_number().over(W.partitionBy("g1").orderBy(F.desc("score"), "e2"))
-    only = common.select("g1", "g2", score(F.col("more"))).join(first, "g2").withColumn("_r", best).where(F.col("_r") <= keep)
-    t = met.union(only.join(g1, "g1").select("e1", "e2", "score"))
+    # of a group the best by score and name are in its first groups too, so these are cut before their members are named
+    lead = F.rank().over(W.partitionBy("g1").orderBy(F.desc("score")))
+    only = common.withColumn("_l", lead).where(F.col("_l") <= keep).drop("_l").join(first, "g2").withColumn("_r", best).where(F.col("_r") <= keep)
+    t = met.union(only.join(need, "g1").select("e1", "e2", "score"))
     # a pair in both has its whole score in the first
     return t.groupBy("e1", "e2").agg(F.max("score").alias("score")).where("score > 0")
 
@@ -91,16 +120,19 @@ def subrelations(facts: DataFrame, equal: DataFrame) -> DataFrame:
     d1, d2 = m1.groupBy("r1").agg(F.sum("p").alias("d1")), m2.groupBy("r2").agg(F.sum("p").alias("d2"))
     both = m1.join(two, ["x2", "y2"]).groupBy("r1", "r2").agg(F.sum("p").alias("co"))
     share = lambda d: F.least(F.lit(1.0), F.col("co") / F.col(d))
-    return both.join(F.broadcast(d1), "r1").join(F.broadcast(d2), "r2").select("r1", "r2", share("d1").alias("s12"), share("d2").alias("s21"))
+    return both.join(d1, "r1").join(d2, "r2").select("r1", "r2", share("d1").alias("s12"), share("d2").alias("s21"))
 
 
 def paris_scores(pair: KGPair, rounds: int = 4, start: float = 0.1, keep: int = 3, hot: int = 50) -> DataFrame:
     """Rounds of equality and subrelation estimates; each entity keeps its few best, and between rounds its best match."""
     facts = checkpointed(statements(pair, hot))
+    # small where there are few relations; stored, so that its size, not a hint, decides whether a join broadcasts it
+    facts = checkpointed(facts.join(checkpointed(inverse_functionality(facts)), ["kg", "r"]))
+    groups, shared = hot_groups(facts)
     equal = facts.sparkSession.createDataFrame([], "e1 string, e2 string, score double")
     sub = None
     for _ in range(rounds):
-        scores = checkpointed(top_k(equality(facts, equal, sub, start, keep), keep))
+        scores = checkpointed(top_k(equality(facts, groups, shared, equal, sub, start, keep), keep))
         best = F.row_number().over(W.partitionBy("e1").orderBy(F.desc("score"), "e2"))
         equal = checkpointed(scores.withColumn("_r", best).where("_r = 1").drop("_r"))
         sub = checkpointed(subrelations(facts, equal))
