@@ -10,20 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import literals as L
 from ..model import KGPair
 from .graph import checkpointed
 from .matching import Matcher, top_k
-from .metrics import entity_values
 
 
 def statements(pair: KGPair, hot: int = 50) -> DataFrame:
-    """(kg, r, x, y, literal, hot): relations in both directions and attributes; hot: (r, y) has more than `hot` of them.
+    """(kg, r, x, y, literal, hot): relations in both directions and attributes (@name); hot: (r, y) has more than `hot` of them.
 
     The mark chooses how equality() joins a statement, not whether it counts.
     """
     rel = pair.rel.select("kg", F.col("relation").alias("r"), F.col("head").alias("x"), F.col("tail").alias("y"), F.lit(False).alias("literal")).distinct()
     back = rel.select("kg", F.concat(F.col("r"), F.lit("^-1")).alias("r"), F.col("y").alias("x"), F.col("x").alias("y"), "literal")
-    values = entity_values(pair).select("kg", F.lit("value").alias("r"), F.col("entity").alias("x"), F.col("value").alias("y"), F.lit(True).alias("literal"))
+    known = pair.attr.select("literal").distinct().withColumn("y", L.normalised(F.col("literal")))
+    values = pair.attr.select("kg", F.concat(F.lit("@"), "attribute").alias("r"), F.col("head").alias("x"), F.col("literal").alias("_l"))
+    values = values.join(known.withColumnRenamed("literal", "_l"), "_l").where("y <> ''").select("kg", "r", "x", "y", F.lit(True).alias("literal")).distinct()
     out = rel.union(back).union(values)
     common = out.groupBy("kg", "r", "y").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("kg", "r", "y", F.lit(True).alias("hot"))
     return out.join(common, ["kg", "r", "y"], "left").na.fill(False, ["hot"])
@@ -54,9 +56,7 @@ def misses(met: DataFrame, sub: DataFrame | None, start: float) -> DataFrame:
     if sub is None:
         t = met.withColumns({"s12": F.lit(start), "s21": F.lit(start)})
     else:
-        t = met.join(sub, ["r1", "r2"], "left").na.fill(0.0, ["s12", "s21"])
-        fixed = F.col("r1") == "value"
-        t = t.withColumns({k: F.when(fixed & (F.col("r2") == "value"), 1.0).otherwise(F.col(k)) for k in ("s12", "s21")})
+        t = met.join(sub, ["r1", "r2"])  # without an estimate a pair of relations says nothing
     miss = (1 - F.col("s21") * F.col("i1") * F.col("p")) * (1 - F.col("s12") * F.col("i2") * F.col("p"))
     return t.groupBy("e1", "e2").agg(F.sum(F.log(F.greatest(miss, F.lit(1e-12)))).alias("miss"))
 
@@ -108,19 +108,45 @@ def equality(f: DataFrame, groups: DataFrame, shared: DataFrame, equal: DataFram
     return t.groupBy("e1", "e2").agg(F.max("score").alias("score")).where("score > 0")
 
 
+def comparable(facts: DataFrame) -> DataFrame:
+    """Statements whose object can have a counterpart: a literal has one if the other graph holds it."""
+    held = facts.where("literal").select(F.when(F.col("kg") == "kg1", "kg2").otherwise("kg1").alias("kg"), "y").distinct()
+    return facts.where("not literal").union(facts.where("literal").join(held, ["kg", "y"], "left_semi").select(*facts.columns))
+
+
 def subrelations(facts: DataFrame, equal: DataFrame) -> DataFrame:
-    """(r1, r2, s12, s21): how much of each relation's mapped statements the other one holds."""
-    f = facts.where("not literal")
-    one = f.where("kg = 'kg1'").select(F.col("r").alias("r1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    two = f.where("kg = 'kg2'").select(F.col("r").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    ex, ey = equal.select(F.col("e1").alias("x1"), F.col("e2").alias("x2"), F.col("score").alias("px")), equal.select(F.col("e1").alias("y1"), F.col("e2").alias("y2"), F.col("score").alias("py"))
-    p = F.col("px") * F.col("py")
-    m1 = one.join(ex, "x1").join(ey, "y1").withColumn("p", p)
-    m2 = two.join(ex, "x2").join(ey, "y2").withColumn("p", p)
-    d1, d2 = m1.groupBy("r1").agg(F.sum("p").alias("d1")), m2.groupBy("r2").agg(F.sum("p").alias("d2"))
-    both = m1.join(two, ["x2", "y2"]).groupBy("r1", "r2").agg(F.sum("p").alias("co"))
-    share = lambda d: F.least(F.lit(1.0), F.col("co") / F.col(d))
-    return both.join(d1, "r1").join(d2, "r2").select("r1", "r2", share("d1").alias("s12"), share("d2").alias("s21"))
+    """(r1, r2, s12, s21) from comparable statements: the expected share of each relation's statements with a counterpart that the other one holds.
+
+    A statement counts with the noisy-or over its counterparts, pairs of equal subjects and equal objects: in the share's
+    numerator those that the other relation holds, in its denominator all. Between rounds an entity of the first graph has
+    one match, so a statement there has one counterpart at most; one of the second graph can have several.
+    """
+    one, two = (facts.where(F.col("kg") == f"kg{i}").select("r", "x", "y", "literal") for i in (1, 2))
+    subject = equal.select(F.col("e1").alias("x"), F.col("e2").alias("x2"), F.col("score").alias("px"))
+    here = checkpointed(mapped(one, equal).join(subject, "x").select(F.col("r").alias("r1"), "literal", "x2", "y2", (F.col("px") * F.col("p")).alias("p")))
+    there = two.select(F.col("r").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "literal")
+    both = checkpointed(here.join(there, ["x2", "y2", "literal"]))
+    left = F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12))))
+    n12 = both.groupBy("r1", "r2").agg(F.sum("p").alias("n12"))
+    n21 = both.groupBy("r1", "r2", "literal", "x2", "y2").agg((1 - F.exp(left)).alias("n")).groupBy("r1", "r2").agg(F.sum("n").alias("n21"))
+    d1 = here.groupBy("r1").agg(F.sum("p").alias("d1"))
+    d2 = counterparts(there, equal).groupBy("r2").agg(F.sum(1 - F.exp("miss")).alias("d2"))
+    return n12.join(n21, ["r1", "r2"]).join(d1, "r1").join(d2, "r2").select("r1", "r2", (F.col("n12") / F.col("d1")).alias("s12"), (F.col("n21") / F.col("d2")).alias("s21"))
+
+
+def counterparts(there: DataFrame, equal: DataFrame) -> DataFrame:
+    """(r2, miss) per statement of the second graph: log of what the pairs of its subject's and object's matches leave open.
+
+    Matches of an entity are folded to (score, how many) first, so that entities with many do not meet match by match.
+    """
+    def folded(e: str, p: str, n: str) -> DataFrame:
+        return equal.groupBy(F.col("e2").alias(e), F.col("score").alias(p)).agg(F.count("*").alias(n))
+
+    objects = there.where("not literal").join(folded("y2", "py", "m"), "y2")
+    cols = [*there.columns, "py", "m"]
+    objects = objects.select(*cols).union(there.where("literal").withColumns({"py": F.lit(1.0), "m": F.lit(1).cast("long")}).select(*cols))
+    t = objects.join(folded("x2", "px", "n"), "x2")
+    return t.groupBy("r2", "literal", "x2", "y2").agg(F.sum(F.col("n") * F.col("m") * F.log(F.greatest(1 - F.col("px") * F.col("py"), F.lit(1e-12)))).alias("miss"))
 
 
 def paris_scores(pair: KGPair, rounds: int = 4, start: float = 0.1, keep: int = 3, hot: int = 50) -> DataFrame:
@@ -129,13 +155,14 @@ def paris_scores(pair: KGPair, rounds: int = 4, start: float = 0.1, keep: int =
     # small where there are few relations; stored, so that its size, not a hint, decides whether a join broadcasts it
     facts = checkpointed(facts.join(checkpointed(inverse_functionality(facts)), ["kg", "r"]))
     groups, shared = hot_groups(facts)
+    compared = checkpointed(comparable(facts.select("kg", "r", "x", "y", "literal")))
     equal = facts.sparkSession.createDataFrame([], "e1 string, e2 string, score double")
     sub = None
     for _ in range(rounds):
         scores = checkpointed(top_k(equality(facts, groups, shared, equal, sub, start, keep), keep))
         best = F.row_number().over(W.partitionBy("e1").orderBy(F.desc("score"), "e2"))
         equal = checkpointed(scores.withColumn("_r", best).where("_r = 1").drop("_r"))
-        sub = checkpointed(subrelations(facts, equal))
+        sub = checkpointed(subrelations(compared, equal))
     return equal
 
 

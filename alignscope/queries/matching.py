@@ -95,30 +95,8 @@ query("relation_alignment", f""", {_ALIGNED} select r1, r2, {r6("weight")} as we
 query("relation_functionality", f""", d as (select distinct kg, relation, head, tail from rel) select kg, relation, {r6("count(distinct head) / count(*)")} as fun, {r6("count(distinct tail) / count(*)")} as inv_fun from d group by kg, relation""")(lambda p: M.relation_functionality(p.rel))
 
 
-def order_pair(p: KGPair) -> KGPair:
-    """The relations of orders and nations alone: the part over which the SQL of structural_round1 is written."""
-    keep = F.col("relation").rlike("(placedBy|contains|inNation|hasOrder|item|country)$")
-    return p.with_frames(rel=p.rel.where(keep))
-
-
-_ROUND = f"""
-, orel as (select * from rel where regexp_matches(relation, '(placedBy|contains|inNation|hasOrder|item|country)$')), {_SEED},
-ed as (select kg, 'out' as way, head as x, tail as y, count(*)::double as n from orel group by all union all select kg, 'in', tail, head, count(*)::double from orel group by all),
-mp0 as (select way, x as e1, e2 as z, sum(n) as n from ed join seed on y = seed.e1 where kg = 'kg1' group by all), mp as (select *, n / sqrt(sum(n * n) over (partition by way, e1)) as w from mp0),
-un as (select way, x as e2, y as z, n / sqrt(sum(n * n) over (partition by way, x)) as w from ed where kg = 'kg2'),
-st as (select e1, e2, round(sum(mp.w * un.w), 9) as score from mp join un using (way, z) group by all)"""
-
-
-@query("structural_round1", f"""{_ROUND} select e1, e2, {r6("score")} as score from (select *, row_number() over (partition by e1 order by score desc, e2) as r from st) where r <= 10""")
-def structural_round1(p):
-    p = order_pair(p)
-    seeds = M.seed_pairs(p)
-    # no relation joins two seeded entities here, so the one block is the untyped one
-    return M.top_k(M.propagate(p, seeds, M.align_relations(p, seeds)), 10)
-
-
-# over the whole graph, where availableFrom joins seeded entities and gives typed blocks; no SQL
-query("structural_round1_whole")(lambda p: M.top_k(M.propagate(p, M.seed_pairs(p), M.align_relations(p, M.seed_pairs(p))), 10))
+# SQL would make all pairs of entities at types and suppliers; compared with brute force on a small fixture
+query("structural_round1")(lambda p: M.top_k(M.propagate(p, M.seed_pairs(p), M.align_relations(p, M.seed_pairs(p))), 10))
 query("structural_full")(lambda p: M.structural().match(p))
 
 # ---------------------------------------------------------------- linkage and the fixpoint

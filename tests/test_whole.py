@@ -217,7 +217,7 @@ def test_structure_uses_every_relation_and_five_rounds(run):
     al = aligned(seeds)
     assert f"{L}p/availableFrom" in al
     one = propagated(seeds, al)
-    assert {r[:2]: r[2] for r in run("structural_round1_whole")} == pytest.approx({(a, b): s for a, x in one.items() for s, b in x}, abs=2e-6)
+    assert {r[:2]: r[2] for r in run("structural_round1")} == pytest.approx({(a, b): s for a, x in one.items() for s, b in x}, abs=2e-6)
     for _ in range(5):
         last = {a: [(s / x[0][0], b) for s, b in x] for a, x in propagated(seeds, al).items()}
         lead = {a: (x[0][1], round(x[0][0] - (x[1][0] if len(x) > 1 else 0), 9)) for a, x in last.items()}
@@ -285,9 +285,9 @@ def test_fixpoint_counts_hub_statements(spark):
     rel, attr = [], []
     for kg, e in (("kg1", "a"), ("kg2", "b")):
         rel += [(kg, f"{e}{i:02}", "in", f"{e}n{i % 7 == 0:d}") for i in range(n)] + [(kg, f"{e}{i:02}", "by", f"{e}{(i * 5 + 1) % n:02}") for i in range(20)]
-        attr += [(kg, f"{e}{i:02}", "is", '"common"') for i in range(n)] + [(kg, f"{e}{i:02}", "name", f'"x{i % 9}"') for i in range(0, n, 2)] + [(kg, f"{e}n{i}", "name", f'"place {i}"') for i in (0, 1)]
+        attr += [(kg, f"{e}{i:02}", "is", '"common"') for i in range(n)] + [(kg, f"{e}{i:02}", "name", f'"x{i % 9}"' if i % 9 else f'"{e} alone"') for i in range(0, n, 2)] + [(kg, f"{e}n{i}", "name", f'"place {i}"') for i in (0, 1)]
     pair = KGPair("hubs", spark.createDataFrame(rel, REL), spark.createDataFrame(attr, ATTR), spark.createDataFrame([], ALIGN))
-    facts = {(kg, r, h, t, False) for kg, h, r, t in rel} | {(kg, f"{r}^-1", t, h, False) for kg, h, r, t in rel} | {(kg, "value", h, v.strip('"'), True) for kg, h, _, v in attr}
+    facts = {(kg, r, h, t, False) for kg, h, r, t in rel} | {(kg, f"{r}^-1", t, h, False) for kg, h, r, t in rel} | {(kg, f"@{a}", h, v.strip('"'), True) for kg, h, a, v in attr}
     of = defaultdict(list)
     for f in facts:
         of[f[:2]].append(f)
@@ -299,27 +299,31 @@ def test_fixpoint_counts_hub_statements(spark):
         for (_, r1, x1, y1, l1), (_, r2, x2, y2, l2) in product(one, two):
             p = float(y1 == y2) if l1 and l2 else equal.get(y1, ("", 0))[1] * (equal.get(y1, ("",))[0] == y2) if not l1 and not l2 else 0
             if p:
-                s12, s21 = (0.1, 0.1) if sub is None else (1, 1) if l1 else sub.get((r1, r2), (0, 0))
+                s12, s21 = (0.1, 0.1) if sub is None else sub.get((r1, r2), (0, 0))
                 miss[x1, x2] += math.log(max((1 - s21 * inv["kg1", r1] * p) * (1 - s12 * inv["kg2", r2] * p), 1e-12))
         equal = {}
         for (a, b), m in sorted(miss.items()):
             if (s := round(1 - math.exp(m), 9)) > equal.get(a, ("", 0))[1]:
                 equal[a] = (b, s)
-        d1, d2, co, s2 = Counter(), Counter(), Counter(), defaultdict(list)
-        back = defaultdict(list)
-        for a, (b, s) in equal.items():
-            back[b].append((a, s))
-        for _, r, x, y, lit in two:
-            if not lit:
-                s2[x, y].append(r)
-                d2[r] += sum(s for _, s in back[x]) * sum(s for _, s in back[y])
-        for _, r, x, y, lit in one:
-            if not lit and x in equal and y in equal:
-                p = equal[x][1] * equal[y][1]
-                d1[r] += p
-                for r2 in s2[equal[x][0], equal[y][0]]:
-                    co[r, r2] += p
-        sub = {(r1, r2): (min(1, c / d1[r1]), min(1, c / d2[r2])) for (r1, r2), c in co.items()}
+        # each statement's counterparts in the other graph with their probabilities, from all pairs of statements
+        back = defaultdict(dict)
+        for e, (b, s) in equal.items():
+            back[b][e] = s
+        match = lambda e, lit, there: ({e: 1.0 for v in values[there] if v == e} if lit else dict([equal[e]]) if there and e in equal else {} if there else back[e])
+        known = {(r, x, y) for _, r, x, y, _ in facts}
+        names = [sorted({f[1] for f in side}) for side in (one, two)]
+        values = [{f[3] for f in side if f[4]} for side in (one, two)]
+
+        def share(mine, to, r, other):
+            up = down = 0.0
+            for _, q, x, y, lit in mine:
+                if q == r:
+                    pairs = [(a, b, p * o) for a, p in match(x, False, to).items() for b, o in match(y, lit, to).items()]
+                    up += 1 - math.prod(1 - p for a, b, p in pairs if (other, a, b) in known)
+                    down += 1 - math.prod(1 - p for *_, p in pairs)
+            return up / down if down else 0
+
+        sub = {(r, q): (share(one, True, r, q), share(two, False, q, r)) for r, q in product(*names)}
     assert len(equal) == n + 2
     for hot in (50, 3):
         got = {r.e1: (r.e2, r.score) for r in paris.paris_scores(pair, rounds=2, hot=hot).collect()}
