@@ -21,10 +21,13 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 #: Character classes: alphabet (after `fold`), window, least entropy in bits, whether case is folded.
 CLASSES = {"hex": ("0123456789abcdef", 20, 3.05, True), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 20, 3.7, False)}
-#: A candidate that contains one of these is no secret: placeholders, counted-up samples, paths, words and bare numbers.
-ALLOW = "(?i:example|sample|placeholder|changeme|xxxxxx|0123456789|abcdefghij)|^[A-Za-z+/_=-]+$|^[0-9+/_=-]+$|^(?:[A-Za-z0-9]{1,19}[+/_=-])+[A-Za-z0-9]{0,19}$"
-#: ALLOW with paths only of words: every segment holds letters or digits alone, as random keys hardly do.
-ALLOW_WORDS = ALLOW.removesuffix("|^(?:[A-Za-z0-9]{1,19}[+/_=-])+[A-Za-z0-9]{0,19}$") + "|^(?:(?:[A-Za-z]{1,19}|[0-9]{1,19})[+/_=-])+(?:[A-Za-z]{0,19}|[0-9]{0,19})$"
+#: A candidate that contains one of these is no secret: placeholders, counted-up samples, words and bare numbers.
+ALLOW = "(?i:example|sample|placeholder|changeme|xxxxxx|0123456789|abcdefghij)|^[A-Za-z+/_=-]+$|^[0-9+/_=-]+$"
+#: Nor is a path: separated, and nowhere broken. No pattern repeats a group, which would take stack for every repeat.
+SEPARATOR = "[+/_=-]"
+BROKEN = "^[+/_=-]|[+/_=-]{2}|[A-Za-z0-9]{20}"
+#: BROKEN for paths only of words: every segment holds letters or digits alone, as random keys hardly do.
+BROKEN_WORDS = BROKEN + "|[A-Za-z][0-9]|[0-9][A-Za-z]"
 
 _EMPTY = "cast(array() as array<struct<start:int,rank:int,stop:int>>)"
 
@@ -73,7 +76,7 @@ def _step(width: int, least: float, f) -> str:
         'hi', if({high}, e.i + 1, s.hi))), 1)"""
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: str = ALLOW) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: str = ALLOW, broken: str = BROKEN) -> DataFrame:
     """One row per row of docs: (doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans).
 
     spans lists kind:start:end in code points by start, then kind, comma-joined; base_sha256 is the digest of the
@@ -91,7 +94,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the windows of each candidate that the allow-list lets through
     none = "named_struct('lo', -1, 'hi', -1)"
     scored = ", ".join(f"{_entropy(k)}" for k in CLASSES)
-    t = t.withColumn("xe", F.expr(f"transform(x, x -> case when x rlike {q(allow)} then array({', '.join([none] * len(CLASSES))}) else array({scored}) end)"))
+    t = t.withColumn("xe", F.expr(f"transform(x, x -> case when x rlike {q(allow)} or x rlike {q(SEPARATOR)} and not x rlike {q(broken)} then array({', '.join([none] * len(CLASSES))}) else array({scored}) end)"))
     t = t.withColumn("xl", F.expr("transform(xe, w -> array_min(transform(filter(w, v -> v.lo >= 0), v -> v.lo)))")).withColumn("xh", F.expr("transform(xe, w -> array_max(transform(w, v -> v.hi)))"))
     t = t.select(
         "doc_id",
@@ -116,7 +119,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_random_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As query, but keys whose segments mix letters and digits are not taken for paths."""
-    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), allow=ALLOW_WORDS)
+    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), broken=BROKEN_WORDS)
 
 
 def _duck_spans(kind: int, rx: str, keep: str = "true") -> str:
@@ -137,7 +140,7 @@ SQL = f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 base as (select doc_id, t, {_duck_spans(1, ASSIGN, "length(v.g) >= 8")} as s1, {_duck_spans(2, ACCESS)} as s2, {_duck_spans(3, HEX)} as s3 from d),
 candidate as (select doc_id, unnest({_duck_spans(4, CANDIDATE)}) as c from d),
-hull as (select doc_id, c.start as pos0, {_duck_hull("hex")} as jh, {_duck_hull("base64")} as jb from (select doc_id, c, c.m as m from candidate where not regexp_matches(c.m, '{ALLOW}'))),
+hull as (select doc_id, c.start as pos0, {_duck_hull("hex")} as jh, {_duck_hull("base64")} as jb from (select doc_id, c, c.m as m from candidate where not regexp_matches(c.m, '{ALLOW}') and (not regexp_matches(c.m, '{SEPARATOR}') or regexp_matches(c.m, '{BROKEN}')))),
 found as (select doc_id, list(struct_pack(start := pos0 + least(coalesce(list_min(jh), 1e9), coalesce(list_min(jb), 1e9))::bigint - 1, rank := 4,
     stop := pos0 + greatest(coalesce(list_max(jh) + {CLASSES["hex"][1]}, 0), coalesce(list_max(jb) + {CLASSES["base64"][1]}, 0)) - 1)) as s4 from hull where len(jh) + len(jb) > 0 group by doc_id),
 -- base spans with stops

@@ -105,7 +105,8 @@ def spans_by_hand(text):
     out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     base = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
     for m in re.finditer(secrets.CANDIDATE, text):
-        if re.search(secrets.ALLOW, m[0]):
+        path = re.search(secrets.SEPARATOR, m[0]) and not re.search(secrets.BROKEN, m[0])
+        if path or re.search(secrets.ALLOW, m[0]):
             continue
         hull = []
         for alphabet, width, least, fold in secrets.CLASSES.values():

@@ -11,8 +11,16 @@ def test_random_keys_are_not_paths(spark):
     keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ9tKEYabc"] + ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(300)]
     paths = ["usr/local/share/documents/report", "alpha-beta-2024-01-15-release-notes", "some_long_snake_case_identifier_here"]
     docs = spark.createDataFrame(list(enumerate(keys + paths)), "doc_id long, text string")
-    found = lambda allow: {r.doc_id for r in secrets.secret_scan(docs, allow=allow).where("n_entropy > 0").collect()}
-    strict, loose = found(secrets.ALLOW_WORDS), found(secrets.ALLOW)
+    found = lambda broken: {r.doc_id for r in secrets.secret_scan(docs, broken=broken).where("n_entropy > 0").collect()}
+    strict, loose = found(secrets.BROKEN_WORDS), found(secrets.BROKEN)
     print(len(strict), len(loose))
     assert 0 in strict and 0 not in loose and loose < strict and len(strict) >= 0.99 * len(keys)
     assert max(strict) < len(keys) and "op2_secrets_random_keys" in registry.QUERIES
+
+
+def test_long_candidates(spark):
+    """Neither many segments nor one long run takes stack, and a long key is found whole."""
+    texts = ["ab1/" * 300_000, "aB3dE5gH7jK9mN1pQ2rS" * 5_000, "ab1/" * 300_000 + "aB3dE5gH7jK9mN1pQ2rS"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secret_scan(docs).collect()}
+    assert got[0] == "" and got[1] == "entropy:0:100000" and got[2].startswith("entropy:")
