@@ -8,7 +8,6 @@ QUERIES = {
     "op10_sentencepiece": sentencepiece_trie.query,
     "op1_near_dup": near_dup.query,
     "op2_secrets": secrets.query,
-    "op2_secrets_random_keys": secrets.query_random_keys,
     "op3_url_filter": url_filter.query,
     "op4_language_id": language_id.query,
     "op5_warc": warc.query,

@@ -23,11 +23,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 CLASSES = {"hex": ("0123456789abcdef", 20, 3.05, True), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 20, 3.7, False)}
 #: A candidate that contains one of these is no secret: placeholders, counted-up samples, words and bare numbers.
 ALLOW = "(?i:example|sample|placeholder|changeme|xxxxxx|0123456789|abcdefghij)|^[A-Za-z+/_=-]+$|^[0-9+/_=-]+$"
-#: Nor is a path: separated, and nowhere broken. No pattern repeats a group, which would take stack for every repeat.
+#: Nor is a path of words: separated, and nowhere broken. Every segment holds letters or digits alone, as random keys
+#: hardly do. No pattern repeats a group, which would take stack for every repeat.
 SEPARATOR = "[+/_=-]"
-BROKEN = "^[+/_=-]|[+/_=-]{2}|[A-Za-z0-9]{20}"
-#: BROKEN for paths only of words: every segment holds letters or digits alone, as random keys hardly do.
-BROKEN_WORDS = BROKEN + "|[A-Za-z][0-9]|[0-9][A-Za-z]"
+BROKEN = "^[+/_=-]|[+/_=-]{2}|[A-Za-z0-9]{20}|[A-Za-z][0-9]|[0-9][A-Za-z]"
 
 _EMPTY = "cast(array() as array<struct<start:int,rank:int,stop:int>>)"
 
@@ -117,11 +116,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def query_random_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As query, but keys whose segments mix letters and digits are not taken for paths."""
-    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), broken=BROKEN_WORDS)
-
-
 def _duck_spans(kind: int, rx: str, keep: str = "true") -> str:
     rx = rx.replace("'", "''")
     return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{rx}', 0)) + 1), lambda i: struct_pack(

@@ -2,7 +2,7 @@
 
 import random
 
-from alignscope.llm import registry, secrets
+from alignscope.llm import secrets
 
 
 def test_random_keys_are_not_paths(spark):
@@ -11,11 +11,8 @@ def test_random_keys_are_not_paths(spark):
     keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ9tKEYabc"] + ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(300)]
     paths = ["usr/local/share/documents/report", "alpha-beta-2024-01-15-release-notes", "some_long_snake_case_identifier_here"]
     docs = spark.createDataFrame(list(enumerate(keys + paths)), "doc_id long, text string")
-    found = lambda broken: {r.doc_id for r in secrets.secret_scan(docs, broken=broken).where("n_entropy > 0").collect()}
-    strict, loose = found(secrets.BROKEN_WORDS), found(secrets.BROKEN)
-    print(len(strict), len(loose))
-    assert 0 in strict and 0 not in loose and loose < strict and len(strict) >= 0.99 * len(keys)
-    assert max(strict) < len(keys) and "op2_secrets_random_keys" in registry.QUERIES
+    found = {r.doc_id for r in secrets.secret_scan(docs).where("n_entropy > 0").collect()}
+    assert 0 in found and len(found) >= 0.99 * len(keys) and max(found) < len(keys)
 
 
 def test_long_candidates(spark):
