@@ -30,7 +30,7 @@ def write(rel: DataFrame, attr: DataFrame, path: str, kind: str = "e") -> int:
     return rel.sparkSession.read.text(path).count()
 
 
-STATEMENT = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)") \.$'
+STATEMENT = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"([^"\\]*+(?:\\.[^"\\]*+)*+)") \.$'
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +50,7 @@ def classify_objects(attr: DataFrame) -> DataFrame:
 
 
 #: A statement as the format has it: IRIs or blank nodes, and literals with a language or a type.
-LINE = r'^\s*(?:<[^<>"{}|^`\\\x00-\x20]*>|_:\S+)\s+<[^<>"{}|^`\\\x00-\x20]*>\s+(?:<[^<>"{}|^`\\\x00-\x20]*>|_:\S+|"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>"{}|^`\\\x00-\x20]*>)?)\s*\.\s*(?:#.*)?$'
+LINE = r'^\s*(?:<[^<>"{}|^`\\\x00-\x20]*>|_:\S+)\s+<[^<>"{}|^`\\\x00-\x20]*>\s+(?:<[^<>"{}|^`\\\x00-\x20]*>|_:\S+|"[^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>"{}|^`\\\x00-\x20]*>)?)\s*\.\s*(?:#.*)?$'
 
 
 def probe(spark: SparkSession, paths: list[str]) -> DataFrame:

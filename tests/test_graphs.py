@@ -358,3 +358,14 @@ def test_probe_and_store_comparison(spark, pair, tmp_path):
     got = {r.path: (r.n_lines, r.n_statements, r.parses) for r in ntriples.probe(spark, [path, str(tmp_path / "bad.nt")]).collect()}
     assert got == {path: (10, 10, True), str(tmp_path / "bad.nt"): (4, 3, False)}
     assert tuple(ntriples.store_comparison(ntriples.read(spark, path), pair.side("kg1")).first()) == (10, 5, 10, 5)
+
+
+def test_long_literal(spark, tmp_path):
+    """A literal of many characters and escapes takes no stack."""
+    path, long = str(tmp_path / "long"), 'a "quoted"\tpart\\' * 60_000
+    attr = spark.createDataFrame([("h", "name", f'"{long}"')], "head string, attribute string, literal string")
+    none = spark.createDataFrame([], "head string, relation string, tail string")
+    assert ntriples.write(none, attr, path) == 1
+    expected = attr.select(L.value(F.col("literal")).alias("v")).first().v
+    assert [(r.object, r.is_literal) for r in ntriples.read(spark, path).collect()] == [(expected, True)]
+    assert [(r.n_statements, r.parses) for r in ntriples.probe(spark, [path]).collect()] == [(1, True)]
