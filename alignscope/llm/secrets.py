@@ -31,13 +31,18 @@ BROKEN = "^[+/_=-]|[+/_=-]{2}|[A-Za-z0-9]{20}|[A-Za-z][0-9]|[0-9][A-Za-z]"
 _EMPTY = "cast(array() as array<struct<start:int,rank:int,stop:int>>)"
 
 
-def _spans(matches: str, gaps: str, rank: int, keep: str = "true", lo: str = "0", hi: str | None = None) -> str:
-    """Spans of matches from the lengths of what lies between; `keep` may use i (0-based)."""
+def _spans(matches: str, gaps: str, rank: int, keep: str = "true", lo: str = "0", hi: str | None = None, block: int = 256) -> str:
+    """Spans of matches from the lengths of what lies between; `keep` may use i (0-based).
+
+    Appending copies an array, so spans are gathered in blocks and the blocks joined once: the work grows with the matches.
+    """
     hi = hi or f"length({matches}[i])"
-    return f"""case when size({matches}) > 0 then aggregate(sequence(0, size({matches}) - 1), named_struct('at', 0, 'out', {_EMPTY}),
-        (s, i) -> named_struct('at', s.at + length({gaps}[i]) + length({matches}[i]),
-            'out', case when {keep} then array_append(s.out, named_struct('start', s.at + length({gaps}[i]) + {lo}, 'rank', {rank}, 'stop', s.at + length({gaps}[i]) + {hi})) else s.out end),
-        s -> s.out) else {_EMPTY} end"""
+    inner = f"""aggregate(sequence(b * {block}, least(size({matches}), (b + 1) * {block}) - 1), named_struct('at', s.at, 'out', {_EMPTY}),
+        (p, i) -> named_struct('at', p.at + length({gaps}[i]) + length({matches}[i]),
+            'out', case when {keep} then array_append(p.out, named_struct('start', p.at + length({gaps}[i]) + {lo}, 'rank', {rank}, 'stop', p.at + length({gaps}[i]) + {hi})) else p.out end))"""
+    return f"""case when size({matches}) > 0 then aggregate(sequence(0, int((size({matches}) - 1) div {block})), named_struct('at', 0, 'out', cast(array() as array<array<struct<start:int,rank:int,stop:int>>>)),
+        (s, b) -> element_at(transform(array({inner}), r -> named_struct('at', r.at, 'out', array_append(s.out, r.out))), 1),
+        s -> flatten(s.out)) else {_EMPTY} end"""
 
 
 def _entropy(kind: str) -> str:

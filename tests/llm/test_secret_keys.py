@@ -21,3 +21,11 @@ def test_long_candidates(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secrets.secret_scan(docs).collect()}
     assert got[0] == "" and got[1] == "entropy:0:100000" and got[2].startswith("entropy:")
+
+
+def test_many_matches(spark):
+    """A text with 200,000 matches: more than one block of spans, in time that grows with their number."""
+    n = 200_000
+    docs = spark.createDataFrame([(1, "password=abcdefgh1 token: x " * n)], "doc_id long, text string")
+    row = secrets.secret_scan(docs).first()
+    assert row.n_assign == n and row.spans.split(",") == [f"assign:{28 * i}:{28 * i + 18}" for i in range(n)]
