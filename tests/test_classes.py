@@ -68,3 +68,13 @@ def test_copies_are_one_class(spark):
     assert scores.count() == 2
     best = rows(matching.value_overlap(max_df_ratio=1.0).match(pair))
     assert len(best) == n and best["kg1e2999", "kg2e0002"] == 1 and best["kg1e0001", "kg2e0000"] == 1
+
+
+def test_normalised_scores_of_all_pairs(some):
+    pair, every = some
+    top = {a: -x[0][0] for a, x in ordered(every).items()}
+    got = matching.normalised_value_scores(pair, RATIO)
+    # nothing is exchanged once pairs of members are made
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.lstrip().startswith("Project") and "Window" not in plan.split("Generate")[0]
+    assert rows(got) == pytest.approx({(a, b): s / top[a] for (a, b), s in every.items()}, abs=1e-7) and got.count() == len(every)
