@@ -106,5 +106,40 @@ def unique_mapping(scores: DataFrame, threshold: float) -> DataFrame:
     return left if done is None else done
 
 
+def unique_class_mapping(scores: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """unique_mapping() of the pairs of members, from (c1, c2, score) and (kg, entity, c, r) with r the place in the class by name.
+
+    Members of a class are taken in order of names, so a class is known by how many are taken. Where two classes are best
+    for each other by their next members, all pairs of next members are taken up to the first name at which another class
+    of the same score would come before.
+    """
+    sides = [members.where(F.col("kg") == f"kg{i}").select(F.col("c").alias(f"c{i}"), F.col("entity").alias(f"h{i}"), F.col("r").alias(f"r{i}")) for i in (1, 2)]
+    left = checkpointed(scores.where(F.col("score") >= threshold).select("c1", "c2", "score"))
+    done = None
+    while True:
+        t = left
+        for i, side in enumerate(sides, 1):
+            taken = left.select(f"c{i}").distinct().withColumn(f"o{i}", F.lit(0)) if done is None else done.groupBy(f"c{i}").agg(F.sum("n").alias(f"o{i}"))
+            after = side.join(taken, f"c{i}", "left").where(F.col(f"r{i}") == F.coalesce(f"o{i}", F.lit(0)) + 1)
+            t = t.join(after.drop(f"o{i}"), f"c{i}")
+        t = checkpointed(t)
+        order = {i: W.partitionBy(f"c{i}").orderBy(F.desc("score"), f"h{3 - i}") for i in (1, 2)}
+        # the next class of the same score, by the name of its next member
+        rival = {i: F.when(F.lead("score").over(order[i]) == F.col("score"), F.lead(f"h{3 - i}").over(order[i])) for i in (1, 2)}
+        best = t.withColumns({"_a": F.row_number().over(order[1]), "_b": F.row_number().over(order[2]), "x2": rival[1], "x1": rival[2]}).where("_a = 1 and _b = 1").drop("_a", "_b")
+        for i, side in enumerate(sides, 1):
+            before = side.select(f"c{i}", F.col(f"h{i}").alias("_h"), F.col(f"r{i}").alias("_r")).join(best.select(f"c{i}", f"x{i}"), f"c{i}").where(F.col(f"x{i}").isNull() | (F.col("_h") < F.col(f"x{i}")))
+            best = best.join(before.groupBy(f"c{i}").agg(F.max("_r").alias(f"m{i}")), f"c{i}")
+        best = checkpointed(best.select("c1", "c2", "score", "r1", "r2", (F.least(F.col("m1") - F.col("r1"), F.col("m2") - F.col("r2")) + 1).alias("n")))
+        if best.limit(1).count() == 0:
+            break
+        done = best if done is None else done.union(best)
+        left = t.select("c1", "c2", "score")
+    if done is None:
+        done = best
+    one = sides[0].join(done.withColumnRenamed("r1", "_o"), "c1").where("r1 >= _o and r1 < _o + n").select(F.col("h1").alias("e1"), "c2", (F.col("r2") + F.col("r1") - F.col("_o")).alias("r2"), "score")
+    return one.join(sides[1], ["c2", "r2"]).select("e1", F.col("h2").alias("e2"), "score")
+
+
 def ngram_matcher(similarity_threshold: float = 0.2, **options) -> Matcher:
     return Matcher("ngram_blocking", "value", False, lambda p, s: candidate_graph(p, **options), lambda t: unique_mapping(t, similarity_threshold))

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from alignscope.model import ALIGN, ATTR, REL, KGPair
-from alignscope.operators import matching
+from alignscope.operators import linkage, matching
 
 RATIO = 0.2
 
@@ -78,3 +78,30 @@ def test_normalised_scores_of_all_pairs(some):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.lstrip().startswith("Project") and "Window" not in plan.split("Generate")[0]
     assert rows(got) == pytest.approx({(a, b): s / top[a] for (a, b), s in every.items()}, abs=1e-7) and got.count() == len(every)
+
+
+def greedy(scores, threshold):
+    used, out = set(), {}
+    for (a, b), s in sorted(scores.items(), key=lambda x: (-x[1], x[0])):
+        if s >= threshold and (1, a) not in used and (2, b) not in used:
+            used |= {(1, a), (2, b)}
+            out[a, b] = s
+    return out
+
+
+def test_mapping_of_classes_is_that_of_all_pairs(spark, some):
+    pair, every = some
+    got = linkage.unique_class_mapping(matching.class_scores(pair, RATIO), matching.value_classes(pair, RATIO)[0], 0.2)
+    assert rows(got) == pytest.approx(greedy(every, 0.2), abs=1e-8)
+    # scores of few levels, names of all classes mixed
+    rng = random.Random(9)
+    members = [(f"kg{i}", f"x{n:04}", f"{i}c{rng.randrange(12)}") for i in (1, 2) for n in rng.sample(range(9000), 150)]
+    place = defaultdict(int)
+    for k, m in enumerate(sorted(members)):
+        place[m[0], m[2]] += 1
+        members[k] = (*m, place[m[0], m[2]])
+    scores = {(f"1c{i}", f"2c{j}"): rng.randrange(4) / 3 for i in range(12) for j in range(12) if rng.random() < 0.6}
+    pairs = {(a[1], b[1]): scores[a[2], b[2]] for a in members for b in members if a[0] == "kg1" and b[0] == "kg2" and (a[2], b[2]) in scores}
+    got = linkage.unique_class_mapping(spark.createDataFrame([(*k, s) for k, s in scores.items()], "c1 string, c2 string, score double"), spark.createDataFrame(members, "kg string, entity string, c string, r int"), 0.3)
+    assert rows(got) == greedy(pairs, 0.3)
+    assert linkage.unique_class_mapping(matching.class_scores(pair, RATIO), matching.value_classes(pair, RATIO)[0], 2.0).count() == 0
