@@ -24,7 +24,7 @@ def features(pair: KGPair, split: str = "test", largest: DataFrame | None = None
     d1, d2 = (deg.where(F.col("kg") == f"kg{i}").select(F.col("entity").alias(e), F.col("d").alias(f"degree_kg{i}")) for i, e in ((1, "e1"), (2, "e2_gold")))
     n_attr = pair.attribute_counts().where("kg = 'kg1'").select(F.col("entity").alias("e1"), F.col("n_attr").alias("n_attr_kg1"))
     gold = scope.where("e2_gold <> ''").select("e1", F.col("e2_gold").alias("e2"))
-    shared = shared_values(entity_values(pair), gold).select("e1", F.col("shared").alias("shared_literals"))
+    shared = shared_values(pair.once("valuesFalse", lambda: entity_values(pair)), gold).select("e1", F.col("shared").alias("shared_literals"))
     largest = G.largest_component(pair) if largest is None else largest
     l1, l2 = (largest.where(F.col("kg") == f"kg{i}").select(F.col("entity").alias(e), F.lit(True).alias(f"in{i}")) for i, e in ((1, "e1"), (2, "e2_gold")))
     t = scope.join(d1, "e1", "left").join(d2, "e2_gold", "left").join(n_attr, "e1", "left").join(shared, "e1", "left").join(l1, "e1", "left").join(l2, "e2_gold", "left")

@@ -329,3 +329,22 @@ def test_fixpoint_counts_hub_statements(spark):
         got = {r.e1: (r.e2, r.score) for r in paris.paris_scores(pair, rounds=2, hot=hot).collect()}
         assert {a: b for a, (b, _) in got.items()} == {a: b for a, (b, _) in equal.items()}
         assert {a: s for a, (_, s) in got.items()} == pytest.approx({a: s for a, (_, s) in equal.items()}, abs=1e-7)
+
+
+def test_stars_of_a_task():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 3_000_000  # two paths and a cycle, in mixed order, over several contractions
+    rng = np.random.default_rng(1)
+    ids = rng.permutation(10 * n)[:n].astype("int64")
+    a, b = ids[:-1].copy(), ids[1:].copy()
+    b[1_000_000] = a[1_000_000]
+    mixed = rng.permutation(n - 1)
+    parts = np.array_split(mixed, 50) + np.array_split(mixed, 50)
+    batches = (pa.RecordBatch.from_arrays([pa.array(a[p]), pa.array(b[p])], ["a", "b"]) for p in parts)
+    out = pa.Table.from_batches(list(graph._contract_all(batches)))
+    got = dict(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+    first, second = ids[:1_000_001], ids[1_000_001:]
+    want = {x: least for part in (first, second) for least in (int(part.min()),) for x in part.tolist() if x != least}
+    assert got == want
