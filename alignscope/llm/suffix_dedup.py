@@ -443,7 +443,11 @@ def repeated_strings(docs: DataFrame, bucket_bytes: int = 24 << 20, hot_rows: in
     firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.struct("w1", "w2").alias("w"), "first")
     again = lookup(windows.withColumn("w", F.struct("w1", "w2")).drop("w1", "w2"), firsts, "w", "start").where("first is not null and struct(doc_id, start) <> first")
     late = again.groupBy("doc_id", "pos").agg(F.expr("bit_or(shiftleft(1L, cast(j as int)))").alias("mask"))
-    return settled.union(cold).union(late.select("doc_id", "pos", "mask"))
+    # stored, so that the surroundings' shuffle goes before the texts are moved once more
+    masks = stored(settled.union(cold).union(late.select("doc_id", "pos", "mask")), "masks")
+    del open_rows, counts, cold, firsts, again, late
+    release(spark)
+    return masks
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
