@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import gc
-import time
 import uuid
 
 import numpy as np
@@ -15,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
+from ..storage import discard, release, shared_folder, shuffles  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,31 +43,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a table of the shared folder that nothing reads any more."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def shuffles(spark: SparkSession) -> int:
-    """How many shuffles Spark keeps the files of."""
-    return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that are no longer referenced, instead of at its next collection.
-
-    A frame that just ended is often held until a second collection, and files go on a thread of their own: collects until
-    two collections in a row free nothing.
-    """
-    seen = [shuffles(spark)]
-    while len(seen) < 12 and len(set(seen[-3:])) > 1 or len(seen) < 4:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-        seen.append(shuffles(spark))
-
-
 # ---------------------------------------------------------------- joins and components
 
 
