@@ -27,11 +27,11 @@ def dropped(*frames: DataFrame) -> None:
             discard(t.sparkSession, place)
 
 
-def statements(pair: KGPair, hot: int = 50) -> DataFrame:
+def statements(pair: KGPair, hot: int = 50, made: list[DataFrame] | None = None) -> DataFrame:
     """(kg, r, x, y, literal, hot): relations in both directions and attributes (@name); hot: (r, y) has more than `hot` of them.
 
     Entities are ordinals, relations and values are hashes without collisions, so that no names are moved. The mark chooses
-    how equality() joins a statement, not whether it counts.
+    how equality() joins a statement, not whether it counts. Tables that are stored on the way are added to `made`.
     """
     none = F.lit("").alias("kg")
     back = F.concat("relation", F.lit("^-1"))
@@ -52,6 +52,8 @@ def statements(pair: KGPair, hot: int = 50) -> DataFrame:
     values = attr.select("kg", name("none", "r").alias("r"), entity("kg", "head").alias("hx"), F.col("literal").alias("_l"))
     values = at(values.join(known, "_l").select("kg", "r", "hx", "y").distinct(), "x").select("kg", "r", "x", "y", F.lit(True).alias("literal"))
     out = checkpointed(rel.select("kg", "r", "x", "y", F.lit(False).alias("literal")).union(rel.select("kg", "back", "y", "x", F.lit(False))).union(values))
+    if made is not None:
+        made += [rel, out]
     common = out.groupBy("kg", "r", "y").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("kg", "r", "y", F.lit(True).alias("hot"))
     return out.join(common, ["kg", "r", "y"], "left").na.fill(False, ["hot"])
 
@@ -207,12 +209,18 @@ def counterparts(there: DataFrame, equal: DataFrame) -> DataFrame:
 def paris_scores(pair: KGPair, rounds: int = 4, start: float = 0.1, keep: int = 3, hot: int = 50, products: int = PRODUCTS) -> DataFrame:
     """Rounds of equality and subrelation estimates; each entity keeps its few best, and between rounds its best match."""
     spark = pair.rel.sparkSession
-    facts = checkpointed(statements(pair, hot))
+    made: list[DataFrame] = []
+    facts = checkpointed(statements(pair, hot, made))
+    dropped(*made)
+    made = [facts]
     # small where there are few relations; stored, so that its size, not a hint, decides whether a join broadcasts it
     facts = checkpointed(facts.join(checkpointed(inverse_functionality(facts)), ["kg", "r"]))
+    dropped(*made)
+    made = [facts]
     release(spark)
     groups, shared = hot_groups(facts)
     facts = checkpointed(facts.join(groups, ["kg", "x"], "left").withColumn("slot", F.coalesce("g", "x")).drop("g"))
+    dropped(*made)
     compared = checkpointed(comparable(facts.select("kg", "r", "x", "y", "literal")))
     equal = spark.createDataFrame([], "e1 long, e2 long, score double")
     sub = None
@@ -222,7 +230,7 @@ def paris_scores(pair: KGPair, rounds: int = 4, start: float = 0.1, keep: int =
         parts = []
         for part in range(n):
             release(spark)
-            made: list[DataFrame] = []
+            made = []
             scores = top_k(equality(f, groups, shared, equal, sub, start, keep, (part, n), made), keep)
             best = F.row_number().over(W.partitionBy("e1").orderBy(F.desc("score"), "e2"))
             parts.append(checkpointed(scores.withColumn("_r", best).where("_r = 1").drop("_r")))
