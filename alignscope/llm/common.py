@@ -84,14 +84,27 @@ def _stars(parent, root):
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
+def contracted(edges: DataFrame, made_by=None) -> DataFrame:
+    """Edges (a, b) of each task as local spanning stars.
+
+    made_by makes the edges from the task's batches in the same pass: a pass over another's rows would take a second
+    worker for each task, whose memory stays when it is done.
+    """
+    return edges.mapInArrow(lean((lambda batches: _contract(made_by(batches))) if made_by else _contract), "a long, b long")
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
+    """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component."""
+    return settled(contracted(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")), max_rounds)
 
-    Alternating large-star and small-star rounds over stored tables after a local contraction; the driver sees
-    only a count and a checksum of each round. Hot nodes are salted. Raises if max_rounds do not suffice.
+
+def settled(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """components() of edges (a, b) that contracted() has made.
+
+    Alternating large-star and small-star rounds over stored tables; the driver sees only a count and a checksum of
+    each round. Hot nodes are salted. Raises if max_rounds do not suffice.
     """
-    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(_contract), "a long, b long").distinct()
-    e = stored(e, "edges")
+    e = stored(edges.distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         # large star: neighbours above a node go to the least of its neighbourhood
@@ -115,17 +128,44 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 # ---------------------------------------------------------------- Python workers
 
 
-def lean(run):
-    """run, after whose last batch the worker gives unused memory back: workers outlive their tasks."""
+_outlasting: dict[str, object] = {}
+
+
+def outlasting(cached):
+    """A cached function whose values outlast a task; the worker's next run that does not keep it lets them go."""
+    _outlasting[cached.__name__] = cached
+    return cached
+
+
+def give_back() -> None:
+    """Unused memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget(but: str | None = None) -> None:
+    """Lets go what outlasting functions hold, all but one."""
+    held = [f for name, f in _outlasting.items() if name != but and f.cache_info().currsize]
+    for f in held:
+        f.cache_clear()
+    if held:
+        give_back()
+
+
+def lean(run, keeps: str | None = None):
+    """run, after whose last batch the worker gives unused memory back: workers outlive their tasks.
+
+    keeps names the outlasting function that run uses; what others hold in this worker goes first.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
+        forget(keeps)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, components, lean, long_of, lookup, mix, stored
+from .common import Words, chunks, components, contracted, lean, long_of, lookup, mix, settled, stored
 
 WIDTH, THRESHOLD = 5, (4, 5)  # words of a shingle; least similarity as a fraction
 TREES, DEPTH, RECALL = 20, 6, 0.99999
@@ -190,7 +190,7 @@ def _runs(batches):
 
 
 def candidates(signed: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """Edges (a, b) that connect all documents under one node of a trie, at the level that shorten() finds; signed has (node, sig).
+    """Edges (a, b), contracted, that connect all documents under one node of a trie, at the level that shorten() finds; signed has (node, sig).
 
     The driver sees one small table of counts by level and agreement. Levels end where even a pair at the threshold
     would be found all but once in a million times.
@@ -202,8 +202,8 @@ def candidates(signed: DataFrame, threshold: float, trees: int = TREES, depth: i
         matches[r.a][r.b] = r.n
     cut = shorten(matches, threshold, trees, depth, recall)
     prefix = F.xxhash64(F.substring("key", 1, 1 + 4 * cut)).alias("prefix")
-    over_all = forest.where("key is not null").select(prefix, "a").repartition("prefix").sortWithinPartitions("prefix", "a").mapInArrow(lean(_runs), "a long, b long")
-    return forest.where("key is null and n is null").select("a", "b").union(over_all)
+    over_all = contracted(forest.where("key is not null").select(prefix, "a").repartition("prefix").sortWithinPartitions("prefix", "a"), _runs)
+    return contracted(forest.where("key is null and n is null").select("a", "b")).union(over_all)
 
 
 # ---------------------------------------------------------------- verification
@@ -320,7 +320,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = stored(groups, "groups")
     # one signature for each distinct set: the row of its least id
     firsts = signed.select(F.col("doc_id").alias("node"), "d1", "d2", "sig").join(groups, ["node", "d1", "d2"]).dropDuplicates(["node"])
-    families = components(candidates(firsts, threshold[0] / threshold[1], trees, depth, recall))
+    families = settled(candidates(firsts, threshold[0] / threshold[1], trees, depth, recall))
     members = families.join(groups.groupBy("node").agg(F.sum("copies").alias("copies"), F.max("n").alias("n")), "node")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")).select("root", "blocks")
     members = lookup(members, sizes, "root", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

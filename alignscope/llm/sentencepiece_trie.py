@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, outlasting
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -210,9 +210,10 @@ class PieceModel:
         return out.cast(pa.string())
 
 
+@outlasting
 @lru_cache(maxsize=2)
 def piece_model(content: bytes) -> PieceModel:
-    """One model for each worker, whose memory of words outlasts a task."""
+    """One model for each worker, whose memory of words outlasts a task but not the worker's next run of another kind."""
     return PieceModel(content)
 
 
@@ -246,7 +247,7 @@ def encode(docs: DataFrame, content: bytes, id_col: str = "doc_id", text_col: st
                 ids = model.encode_texts(part.column(1))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, *([model.decode_ids(ids)] if decoded else [])], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), ", ".join(f"{n} {_FIELDS[n]}" for n in names))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run, "piece_model"), ", ".join(f"{n} {_FIELDS[n]}" for n in names))
 
 
 def decode(encoded: DataFrame, content: bytes) -> DataFrame:
@@ -258,7 +259,7 @@ def decode(encoded: DataFrame, content: bytes) -> DataFrame:
             for part in _parts(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, model.decode_ids(part.column(2))], list(_FIELDS))
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in _FIELDS.items()))
+    return encoded.select("doc_id", "text", "ids").mapInArrow(lean(run, "piece_model"), ", ".join(f"{n} {t}" for n, t in _FIELDS.items()))
 
 
 def round_trip():
