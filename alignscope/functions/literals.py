@@ -86,6 +86,12 @@ def normalised_ascii(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(value(raw)), r"\s+", " "))
 
 
+def folded_ascii(raw: Column) -> Column:
+    """normalised() of what is ASCII, without Python: white space is what str.split() takes for it."""
+    one = F.regexp_replace(F.lower(value(raw)), r"[\x09-\x0d\x1c-\x20]+", " ")
+    return F.regexp_replace(one, "^ | $", "")
+
+
 def tokens(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit("([0-9a-z]+)"), F.lit(1))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import ratio
 from ..model import KGPair
 from . import graph as G
-from .metrics import entity_values, shared_values
+from .numbered import digest, largest_roots, number, numbers, value_sets
 
 #: The classes in the order of reports; those that no method of the family could solve.
 CLASSES = ("correct", "true_negative", "false_on_unmatched", "no_signal", "structurally_unreachable", "no_shared_literal", "abstained", "wrong_candidate")
@@ -18,16 +18,23 @@ NO_ERROR = ("correct", "true_negative")
 
 
 def features(pair: KGPair, split: str = "test", largest: DataFrame | None = None) -> DataFrame:
-    """Per entity of the split: gold partner, degrees, attributes, shared values, both sides in the largest component."""
-    scope = pair.split(split).groupBy("e1").agg(F.max("e2").alias("e2_gold"))
-    deg = pair.degrees().select("kg", "entity", F.col("total_degree").alias("d"))
-    d1, d2 = (deg.where(F.col("kg") == f"kg{i}").select(F.col("entity").alias(e), F.col("d").alias(f"degree_kg{i}")) for i, e in ((1, "e1"), (2, "e2_gold")))
-    n_attr = pair.attribute_counts().where("kg = 'kg1'").select(F.col("entity").alias("e1"), F.col("n_attr").alias("n_attr_kg1"))
-    gold = scope.where("e2_gold <> ''").select("e1", F.col("e2_gold").alias("e2"))
-    shared = shared_values(pair.once("valuesFalse", lambda: entity_values(pair)), gold).select("e1", F.col("shared").alias("shared_literals"))
-    largest = G.largest_component(pair) if largest is None else largest
-    l1, l2 = (largest.where(F.col("kg") == f"kg{i}").select(F.col("entity").alias(e), F.lit(True).alias(f"in{i}")) for i, e in ((1, "e1"), (2, "e2_gold")))
-    t = scope.join(d1, "e1", "left").join(d2, "e2_gold", "left").join(n_attr, "e1", "left").join(shared, "e1", "left").join(l1, "e1", "left").join(l2, "e2_gold", "left")
+    """Per entity of the split: gold partner, degrees, attributes, shared values, both sides in the largest component; set: the digest of its values."""
+    t = pair.split(split).groupBy("e1").agg(F.max("e2").alias("e2_gold"))
+    sets = value_sets(pair)
+    table, seed = numbers(pair)
+    roots = largest_roots(pair) if largest is None else None
+    if roots is None:
+        largest = G.largest_component(pair) if largest is None else largest
+    for i, e in ((1, "e1"), (2, "e2_gold")):
+        kg, mark = f"kg{i}", F.col("root") == (roots or {}).get(f"kg{i}")
+        own = table.where(F.col("id").bitwiseAND(F.lit(1)) == i - 1).select(F.col("id").alias("_id"), F.col("degree").alias(f"degree_{kg}"), *([mark.alias(f"in{i}")] if roots else []))
+        t = t.withColumn("_id", number(seed, F.lit(kg), F.col(e))).join(own, "_id", "left").drop("_id")
+        t = t.join(sets.where(F.col("kg") == kg).select(F.col("entity").alias(e), F.col("n_attr").alias(f"n_attr_{kg}"), F.col("has").alias(f"_has{i}")), e, "left")
+        if not roots:
+            t = t.join(largest.where(F.col("kg") == kg).select(F.col("entity").alias(e), F.lit(True).alias(f"in{i}")), e, "left")
+    shared = F.when(F.col("e2_gold") != "", F.size(F.array_intersect("_has1", "_has2"))).cast("long")
+    t = t.withColumns({"shared_literals": F.when(shared > 0, shared), "set": digest("_has1")})
+    t = t.select("e1", "e2_gold", "degree_kg1", "degree_kg2", "n_attr_kg1", "shared_literals", "in1", "in2", "set")
     return t.na.fill(0, ["degree_kg1", "degree_kg2", "n_attr_kg1", "shared_literals"]).na.fill(False, ["in1", "in2"])
 
 
